@@ -1,0 +1,66 @@
+"""Mark rows by a property of their key, balanced even when few keys hold most rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# At most this many keys count as hot, whatever the data, so they are safe to broadcast.
+HOT_KEYS = 4096
+# Rows of hot keys, and rows that cannot match, go to this many places instead of one.
+SPREAD = 4096
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def row_place(columns: Sequence[str], places: int) -> Column:
+    """A place for a row that deals the rows of one key out by the task that holds them.
+
+    A retried task works out the same places again, which a random number would not.
+    """
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *columns), F.lit(places))
+
+
+def mark_by_key(
+    df: DataFrame,
+    keys: Sequence[str],
+    property_of_key: Column,
+    flag: str,
+    can_match: Column | None = None,
+) -> DataFrame:
+    """Add boolean ``flag``: whether ``property_of_key``, an aggregate, holds over the rows' key.
+
+    Null equals null. Rows for which ``can_match`` is not true are left out of the aggregate and
+    get false. The aggregate is combined before its shuffle. Its most frequent keys, at most
+    ``HOT_KEYS``, reach the rows by broadcast; only rows of other keys are joined on their key.
+    """
+    keys = list(keys)
+    matchable = F.lit(True) if can_match is None else F.coalesce(can_match, F.lit(False))
+    per_key = (
+        df.where(matchable)
+        .groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys])
+        .agg(F.count(F.lit(1)).alias("_n"), property_of_key.alias("_holds"))
+    )
+    names = [f"_m_{k}" for k in keys]
+    hot = (
+        per_key.orderBy(F.desc("_n"), *names)
+        .limit(HOT_KEYS)
+        .select(*[F.col(f"_m_{k}").alias(f"_h_{k}") for k in keys], F.col("_holds").alias("_hot"))
+    )
+    # taken from the count, so that the planner can neither fold it nor join on the keys alone
+    holding = per_key.where("_holds").select(
+        *names, F.when(F.col("_n") > 0, F.lit(0).cast("bigint")).alias("_m_place")
+    )
+    rows = df.withColumns({"_matchable": matchable, "_place": row_place(keys, SPREAD) + 1})
+    rows = rows.join(F.broadcast(hot), _same(keys, [f"_h_{k}" for k in keys]), "left")
+    settled = F.col("_hot").isNotNull() | ~F.col("_matchable")
+    rows = rows.withColumn("_place", F.when(settled, F.col("_place")).otherwise(0))
+    joined = rows.join(holding, _same([*keys, "_place"], [*names, "_m_place"]), "left")
+    hit = F.col("_matchable") & F.coalesce(F.col("_hot"), F.col("_m_place").isNotNull())
+    return joined.select(*df.columns, hit.alias(flag))
