@@ -58,13 +58,14 @@ def category_default(value: Column, default: str, unknown_is_missing: bool = Fal
 
 
 def _first_rule(agent: Column, rules: Sequence[tuple[tuple[str, ...], str]]) -> Column:
-    result = F.lit("unknown")
+    result = F.lit(None).cast("string")
     for tokens, label in reversed(rules):
         result = F.when(reduce(or_, [agent.contains(t) for t in tokens]), label).otherwise(result)
     return result
 
 
 def device_class(agent: Column) -> Column:
+    """Device class of a user agent, null if no rule fits."""
     return _first_rule(agent, DEVICE_RULES)
 
 

@@ -297,11 +297,12 @@ def bidder_statistics(
     no_all: bool = False,
     no_all_rtb: bool = False,
     dedupe_keys: bool = True,
-    written: bool = False,
+    written: bool = True,
 ) -> GroupStatistics:
     """``group_aggregates`` over ``fan_out_groups``, aggregating rows before they are copied.
 
-    ``written=True`` writes the cells once, so that several tables share one pass over ``df``.
+    The cells are written first, so that all tables share one pass over ``df``; ``written=False``
+    keeps the plan lazy at the price of a pass for each use.
     """
     categories = _as_categories(categories)
     keys = {CELL[0]: bidder.cast("string"), CELL[1]: id_hash.isNotNull()}

@@ -12,7 +12,7 @@ from hashgrove.functions.text import (
     first_filled,
     os_class,
 )
-from hashgrove.operators.skew import mark_by_key
+from hashgrove.operators.skew import attach_by_key
 
 # Defaults for missing data and labels of missing categories.
 NO_DECISION, NO_ATTEMPT, NO_TEMPLATE = "", -1, -1
@@ -62,8 +62,10 @@ def flag_broken_drops(df: DataFrame) -> DataFrame:
     """Set ``is_broken_drop`` on every impression that shares its key with a broken drop."""
     keyed = df.select("*", *[k.alias(f"_{n}") for k, n in zip(drop_keys(), DROP_KEYS)])
     names = [f"_{n}" for n in DROP_KEYS]
-    marked = mark_by_key(keyed, names, F.bool_or("is_broken_drop"), "_hit")
-    return marked.withColumn("is_broken_drop", F.expr("is_broken_drop or _hit")).drop(*names, "_hit")
+    broken = {"_broken": F.bool_or("is_broken_drop")}
+    marked = attach_by_key(keyed, names, broken, worth_joining=F.col("_broken"))
+    hit = F.expr("is_broken_drop or coalesce(_broken, false)")
+    return marked.withColumn("is_broken_drop", hit).drop(*names, "_broken")
 
 
 def expected_profit() -> Column:
@@ -75,15 +77,15 @@ def expected_profit() -> Column:
 
 
 def device_category(agent: Column) -> Column:
-    return category_default(device_class(agent), UNKNOWN_DEVICE, unknown_is_missing=True)
+    return F.coalesce(device_class(agent), F.lit(UNKNOWN_DEVICE))
 
 
 def os_category(agent: Column) -> Column:
-    return category_default(os_class(agent), UNKNOWN_OS, unknown_is_missing=True)
+    return F.coalesce(os_class(agent), F.lit(UNKNOWN_OS))
 
 
 def browser_category(agent: Column) -> Column:
-    return category_default(browser_class(agent), UNKNOWN_BROWSER, unknown_is_missing=True)
+    return F.coalesce(browser_class(agent), F.lit(UNKNOWN_BROWSER))
 
 
 def pricing_category(pricing_type: Column) -> Column:

@@ -83,48 +83,59 @@ class _PairLog:
         self.paths.append(path)
         return written
 
+    def first(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.paths[0])
+
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
-def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """All pairs (src, dst) with a path of one or more edges from src to dst.
-
-    Round i finds the pairs whose shortest path has between 2^i and 2^(i+1) edges: such a path
-    splits into one of the newest length and one known already. So the number of rounds is the
-    logarithm of the longest path, and only new pairs are extended and written. Rounds go to the
-    shared folder, so no lineage builds up.
-    """
+def _reach(edges: DataFrame, max_rounds: int) -> _PairLog:
     log = _PairLog(edges.sparkSession, _pairs(edges).schema)
     newest = log.add(_pairs(edges).where("src is not null and dst is not null").distinct())
     for _ in range(max_rounds):
         known = log.all()
-        extended = (
-            newest.select("src", F.col("dst").alias("_mid"))
-            .join(known.select(F.col("src").alias("_mid"), "dst"), "_mid")
+        extended = newest.select("src", F.col("dst").alias("_mid")).join(
+            known.select(F.col("src").alias("_mid"), "dst"), "_mid"
+        )
+        # one aggregate removes repeats and known pairs alike, combining before its shuffle
+        newest = log.add(
+            extended.select("src", "dst", F.lit(False).alias("_known"))
+            .unionByName(known.withColumn("_known", F.lit(True)))
+            .groupBy("src", "dst")
+            .agg(F.bool_or("_known").alias("_known"))
+            .where("not _known")
             .select("src", "dst")
-            .distinct()
-            .join(known, ["src", "dst"], "left_anti")
         )
-        newest = log.add(extended)
         if newest.isEmpty():
-            return log.all()
+            return log
     raise RuntimeError(f"paths longer than 2^{max_rounds} edges")
 
 
+def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """All pairs (src, dst) with a path of one or more edges from src to dst.
+
+    Round i finds the pairs whose shortest path has between 2^i and 2^(i+1) edges: such a path
+    splits into one of the newest length and one known already. So the number of rounds is the
+    logarithm of the longest path, and only new pairs are extended and written. Rounds go to the
+    shared folder, so no lineage builds up.
+    """
+    return _reach(edges, max_rounds).all()
+
+
 def cycles(reach: DataFrame) -> DataFrame:
     """Tasks that reach themselves, from a closure."""
     return reach.where("src = dst").select(F.col("src").alias("task"))
 
 
-def reduction(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+def reduction(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Edges without those that another direct successor of the same task makes redundant.
 
     An edge (n, t) is redundant if some direct successor of n reaches t. Raises on a cycle, where
     this rule would drop edges that nothing replaces.
     """
-    direct = _pairs(edges).distinct()
-    reach = closure(edges) if reach is None else reach
+    log = _reach(edges, max_rounds)
+    direct, reach = log.first(), log.all()
     if not cycles(reach).isEmpty():
         raise ValueError("dependencies form a cycle")
     detours = (
@@ -132,7 +143,15 @@ def reduction(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
         .join(reach.select(F.col("src").alias("_mid"), "dst"), "_mid")
         .select("src", "dst")
     )
-    return direct.join(detours, ["src", "dst"], "left_anti")
+    # as in a closure round, an aggregate stands in for distinct and anti join
+    return (
+        direct.withColumn("_detour", F.lit(False))
+        .unionByName(detours.withColumn("_detour", F.lit(True)))
+        .groupBy("src", "dst")
+        .agg(F.bool_or("_detour").alias("_detour"), F.bool_or(~F.col("_detour")).alias("_edge"))
+        .where("_edge and not _detour")
+        .select("src", "dst")
+    )
 
 
 # --- rules and labels ----------------------------------------------------------------------------

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashgrove.functions.sizes import row_size, size_estimate
+from hashgrove.operators.skew import attach_by_key
+from hashgrove.session import materialize
 
 
 def map_merge_agg(
@@ -62,15 +64,15 @@ def size_outliers(
 
     Quartiles come from mergeable sketches, off by at most one in ``accuracy`` ranks.
     """
-    sizes = df.select(id_col, group, row_size(df).alias("bytes"))
-    quartiles = sizes.groupBy(group).agg(
-        F.percentile_approx("bytes", [0.25, 0.75], accuracy).alias("_q")
-    )
+    # the rows may be large and their sizes are needed twice
+    sizes = materialize(df.select(id_col, group, row_size(df).alias("bytes")), "sizes")
+    quartiles = F.percentile_approx("bytes", [0.25, 0.75], accuracy)
     low, high = F.col("_q")[0], F.col("_q")[1]
-    bounds = quartiles.select(group, (high + F.lit(reach) * (high - low)).alias("bound"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("bytes"), id_col))
     return (
-        sizes.join(bounds, group)
+        attach_by_key(sizes, [group], {"_q": quartiles})
+        .withColumn("bound", high + F.lit(reach) * (high - low))
+        .drop("_q")
         .where(F.col("bytes") > F.col("bound"))
         .withColumn("rank", rank)
         .where(F.col("rank") <= top)

@@ -1,8 +1,8 @@
-"""Mark rows by a property of their key, balanced even when few keys hold most rows."""
+"""Give rows the aggregates of their key, balanced even when few keys hold most rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -27,40 +27,48 @@ def row_place(columns: Sequence[str], places: int) -> Column:
     return F.pmod(F.xxhash64(F.spark_partition_id(), *columns), F.lit(places))
 
 
-def mark_by_key(
+def attach_by_key(
     df: DataFrame,
     keys: Sequence[str],
-    property_of_key: Column,
-    flag: str,
+    aggregates: Mapping[str, Column],
     can_match: Column | None = None,
+    worth_joining: Column | None = None,
 ) -> DataFrame:
-    """Add boolean ``flag``: whether ``property_of_key``, an aggregate, holds over the rows' key.
+    """Add to each row the ``aggregates`` over all rows of its key; null equals null.
 
-    Null equals null. Rows for which ``can_match`` is not true are left out of the aggregate and
-    get false. The aggregate is combined before its shuffle. Its most frequent keys, at most
-    ``HOT_KEYS``, reach the rows by broadcast; only rows of other keys are joined on their key.
+    Rows for which ``can_match`` is not true are left out and get null. The aggregates are combined
+    before their shuffle. The most frequent keys, at most ``HOT_KEYS``, reach the rows by broadcast;
+    only rows of other keys are joined on their key, with those keys of which the aggregates satisfy
+    ``worth_joining``, the rest getting null.
     """
-    keys = list(keys)
+    keys, names = list(keys), list(aggregates)
     matchable = F.lit(True) if can_match is None else F.coalesce(can_match, F.lit(False))
     per_key = (
         df.where(matchable)
         .groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys])
-        .agg(F.count(F.lit(1)).alias("_n"), property_of_key.alias("_holds"))
+        .agg(F.count(F.lit(1)).alias("_n"), *[a.alias(n) for n, a in aggregates.items()])
     )
-    names = [f"_m_{k}" for k in keys]
     hot = (
-        per_key.orderBy(F.desc("_n"), *names)
+        per_key.orderBy(F.desc("_n"), *[f"_m_{k}" for k in keys])
         .limit(HOT_KEYS)
-        .select(*[F.col(f"_m_{k}").alias(f"_h_{k}") for k in keys], F.col("_holds").alias("_hot"))
+        .select(
+            *[F.col(f"_m_{k}").alias(f"_h_{k}") for k in keys],
+            F.struct(*names).alias("_hot"),
+        )
     )
-    # taken from the count, so that the planner can neither fold it nor join on the keys alone
-    holding = per_key.where("_holds").select(
-        *names, F.when(F.col("_n") > 0, F.lit(0).cast("bigint")).alias("_m_place")
+    others = per_key if worth_joining is None else per_key.where(worth_joining)
+    others = others.select(
+        *[f"_m_{k}" for k in keys],
+        F.struct(*names).alias("_other"),
+        # taken from the count, so that the planner can neither fold it nor join on the keys alone
+        F.when(F.col("_n") > 0, F.lit(0).cast("bigint")).alias("_m_place"),
     )
     rows = df.withColumns({"_matchable": matchable, "_place": row_place(keys, SPREAD) + 1})
     rows = rows.join(F.broadcast(hot), _same(keys, [f"_h_{k}" for k in keys]), "left")
     settled = F.col("_hot").isNotNull() | ~F.col("_matchable")
     rows = rows.withColumn("_place", F.when(settled, F.col("_place")).otherwise(0))
-    joined = rows.join(holding, _same([*keys, "_place"], [*names, "_m_place"]), "left")
-    hit = F.col("_matchable") & F.coalesce(F.col("_hot"), F.col("_m_place").isNotNull())
-    return joined.select(*df.columns, hit.alias(flag))
+    joined = rows.join(
+        others, _same([*keys, "_place"], [*[f"_m_{k}" for k in keys], "_m_place"]), "left"
+    )
+    found = F.when(F.col("_matchable"), F.coalesce("_hot", "_other"))
+    return joined.select(*df.columns, *[found[n].alias(n) for n in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hashgrove.operators.skew import mark_by_key
+from hashgrove.operators.skew import attach_by_key
 
 
 def _has_both(first_party: str, third_party: str) -> Column:
@@ -30,11 +30,12 @@ def remove_scrapers(
     """Drop every row of a scraper's first-party cookie; rows without a cookie stay."""
     # two different ids exist exactly if the smallest and the largest differ
     ids = F.when(F.col(third_party) != "", F.col(third_party))
-    marked = mark_by_key(
+    several = F.coalesce(F.min(ids) != F.max(ids), F.lit(False))
+    marked = attach_by_key(
         df,
         [first_party],
-        F.coalesce(F.min(ids) != F.max(ids), F.lit(False)),
-        "_scraper",
+        {"_scraper": several},
         can_match=F.col(first_party) != "",
+        worth_joining=F.col("_scraper"),
     )
-    return marked.where("not _scraper").drop("_scraper")
+    return marked.where("not coalesce(_scraper, false)").drop("_scraper")

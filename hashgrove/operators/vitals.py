@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hashgrove.session import materialize
+
 READINGS = ("body_temperature", "heart_rate", "blood_oxygen")
 
 
@@ -67,7 +69,9 @@ def _person_features(df: DataFrame) -> DataFrame:
         *[F.avg(F.col(f"{r}_missing").cast("double")).alias(f"{r}_missing") for r in READINGS],
     )
     inputs = ["age", *READINGS, *[f"{r}_missing" for r in READINGS]]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(means)
+    # one row per person, read again by each pass of the fit
+    written = materialize(means, "person-features")
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(written)
 
 
 def confirmed_classifier(
@@ -78,11 +82,14 @@ def confirmed_classifier(
     Persons, not readings, are split, by a hash of their id.
     """
     persons = _person_features(df)
+    # names both classes, should the training persons have only one
+    both = {"ml_attr": {"type": "nominal", "vals": ["0", "1"]}}
+    persons = persons.withColumn("label", F.col("label").alias("label", metadata=both))
     place = F.pmod(F.xxhash64("person_id"), F.lit(100))
     train, held_out = persons.where(place < train_percent), persons.where(place >= train_percent)
     share = train.agg(F.avg("label").alias("share")).select("share").scalar()
     weighted = train.withColumn(
-        "weight", F.when(F.col("label") == 1, 1 - share).otherwise(share)
+        "weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share))
     )
     model = LogisticRegression(weightCol="weight", maxIter=20).fit(weighted)
     scored = model.transform(held_out)

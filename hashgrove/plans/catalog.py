@@ -191,7 +191,7 @@ def group_sums(spark, folder):
 
 @query
 def group_proportions(spark, folder):
-    stats = _statistics(spark, folder, written=True)
+    stats = _statistics(spark, folder)
     rtb = groups.proportion_statistic(stats, "isRtb", "spend")
     clicks = groups.proportion_statistic(stats, "clicks", "spend")
     return rtb.unionByName(clicks).select("bidder", "grp", "measure", big("hits"), big("total"))
@@ -210,26 +210,26 @@ def group_categories_approx(spark, folder):
 
 @query
 def group_category_statistic(spark, folder):
-    stats = _statistics(spark, folder, written=True)
+    stats = _statistics(spark, folder)
     found = groups.category_statistic(stats, "deviceTypes", "spend")
     return found.select("bidder", "grp", "measure", "value", big("n"), big("total"))
 
 
 @query
 def group_pairs(spark, folder):
-    pairs = groups.compare_groups(_statistics(spark, folder, written=True).moments)
+    pairs = groups.compare_groups(_statistics(spark, folder).moments)
     return pairs.select("bidder", "grp_a", "grp_b", "measure", rounded("diff"), rounded("z"))
 
 
 @query
 def group_vs_rest(spark, folder):
-    rest = groups.compare_with_rest(_statistics(spark, folder, written=True).moments)
+    rest = groups.compare_with_rest(_statistics(spark, folder).moments)
     return rest.select("bidder", "grp", "measure", rounded("diff"), rounded("z"))
 
 
 @query
 def group_report(spark, folder):
-    report = groups.group_report(_statistics(spark, folder, written=True), REPORT_DAY)
+    report = groups.group_report(_statistics(spark, folder), REPORT_DAY)
 
     def frequencies(column: str) -> list[Column]:
         values = F.map_values(F.col(column)["frequencies"])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY = "date"
+MARKER = "_SUCCESS"
 
 
 def day_folder(root: str, day: date) -> str:
@@ -25,11 +27,23 @@ def read_day(spark: SparkSession, root: str, day: date) -> DataFrame:
     return spark.read.parquet(day_folder(root, day))
 
 
-def write_dated(df: DataFrame, root: str) -> None:
-    """Replace the days that occur in ``df``'s ``date`` column and keep all others."""
+def mark_complete(spark: SparkSession, root: str, days: Iterable[date]) -> None:
+    """Put an empty success marker into each day's folder, for readers that wait for it."""
+    jvm = spark._jvm
+    for day in days:
+        path = jvm.org.apache.hadoop.fs.Path(f"{day_folder(root, day)}/{MARKER}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True).close()
+
+
+def write_dated(df: DataFrame, root: str, days: Iterable[date] = ()) -> None:
+    """Replace the days that occur in ``df``'s ``date`` column and keep all others.
+
+    ``days`` get a success marker afterwards: a write of several days leaves none of its own.
+    """
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY)
         .parquet(root)
     )
+    mark_complete(df.sparkSession, root, days)

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MARKER = "_SUCCESS"
-
 # The fields of a marker document.
 MARKER_SCHEMA = T.StructType(
     [
@@ -29,6 +27,8 @@ MARKER_SCHEMA = T.StructType(
 # Fixed values: <dataset>/<shard>/<yyyyMMdd>/part-r-<part>-job_<job id>.<codec>
 FILE_PATTERN = r"/([^/]+)/(\d{8})/part-[a-z]-(\d+)-(job_[0-9]+_[0-9]+)\.([a-z0-9]+)$"
 PLACE_PATTERN = r"/([^/]+)/(\d{8})/_SUCCESS$"
+# the same for folders <dataset>/date=<yyyy-MM-dd>/
+DATED_PATTERN = r"/([^/]+)/(?:date=)?([0-9-]+)/_SUCCESS$"
 ATTEMPT_PATTERN = r"attempt_(\d{14})_"
 
 
@@ -104,7 +104,7 @@ def with_commit_window(
         {
             "started": started,
             "finished": finished,
-            "elapsed_s": (F.col(finished_ms) / 1000 - F.unix_timestamp(started)).cast("bigint"),
+            "elapsed_s": F.round(F.col(finished_ms) / 1000 - F.unix_timestamp(started)).cast("bigint"),
         }
     )
 
@@ -123,6 +123,14 @@ def marker_summary(markers: DataFrame) -> DataFrame:
     )
 
 
+def listed_inputs(spark: SparkSession, pattern: str) -> DataFrame:
+    """(input, day) of each success marker that matches a glob pattern."""
+    return list_markers(spark, pattern).select(
+        F.regexp_extract("path", DATED_PATTERN, 1).alias("input"),
+        F.replace(F.regexp_extract("path", DATED_PATTERN, 2), F.lit("-"), F.lit("")).alias("day"),
+    )
+
+
 def input_readiness(required: DataFrame, listed: DataFrame, by: str = "job") -> DataFrame:
     """Per job: whether every required input has its marker, and how many lack it.
 
