@@ -27,8 +27,11 @@ def size_estimate(value: Column, dtype: T.DataType) -> Column:
     if _is_scalar(dtype):
         return F.lit(WORD).cast("bigint")
     if isinstance(dtype, T.StringType):
-        # two bytes per UTF-16 unit; length() would count code points
-        size = F.octet_length(F.encode(value, "UTF-16BE")).cast("bigint") + WORD
+        # two bytes per UTF-16 unit; length() counts code points, the same in ASCII text only
+        points = F.char_length(value)
+        ascii_only = points == F.octet_length(value)
+        units = F.when(ascii_only, points * 2).otherwise(F.octet_length(F.encode(value, "UTF-16BE")))
+        size = units.cast("bigint") + WORD
     elif isinstance(dtype, T.ArrayType):
         size = _total(value, dtype.elementType) + F.size(value) * WORD + WORD
     elif isinstance(dtype, T.MapType):

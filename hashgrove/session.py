@@ -19,6 +19,7 @@ DEFAULTS = {
 }
 
 _own_folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def spark_session(app: str, **conf: str) -> SparkSession:
@@ -45,7 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediates of this application. DataFrames that read them become invalid."""
+    jvm = spark._jvm
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -97,8 +97,9 @@ def with_commit_window(
     df: DataFrame, finished_ms: str = "timestamp", description: str = "description"
 ) -> DataFrame:
     """Add start (from the attempt named in the description), end and seconds between."""
-    text = F.regexp_extract(F.col(description), ATTEMPT_PATTERN, 1)
-    started = F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit("yyyyMMddHHmmss"))
+    text = F.nullif(F.regexp_extract(F.col(description), ATTEMPT_PATTERN, 1), F.lit(""))
+    # attempts are named in UTC, whatever the session's time zone
+    started = F.try_to_timestamp(F.concat(text, F.lit("+0000")), F.lit("yyyyMMddHHmmssZ"))
     finished = F.timestamp_millis(F.col(finished_ms))
     return df.withColumns(
         {

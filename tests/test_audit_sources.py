@@ -121,6 +121,15 @@ def test_markers(spark, marker_root):
     assert spread["committer_commits_completed"] == (1, 3) and spread["ops (Hz)"] == (0, 0)
 
 
+def test_commit_window_ignores_the_session_time_zone(spark, marker_root):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = markers.marker_summary(markers.read_markers(spark, f"{marker_root}/2/*/_SUCCESS"))
+        assert rows(found, "elapsed_s") == [(10,)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_no_markers(spark, tmp_path):
     assert markers.read_markers(spark, f"{tmp_path}/*/_SUCCESS").count() == 0
 

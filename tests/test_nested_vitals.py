@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,14 @@ def test_materialize_keeps_the_schema(spark):
     assert rows(written, "id") == [(0,), (1,), (2,)]
 
 
+def test_release_deletes_what_was_written(spark):
+    path = session.fresh_path(spark, "gone")
+    spark.range(1).write.parquet(path)
+    session._written[spark.sparkContext.applicationId] = [path]
+    session.release(spark)
+    assert not Path(path).exists()
+
+
 def test_shared_folder_must_be_set_on_a_cluster(spark, monkeypatch):
     class Conf:
         def __init__(self, values):
