@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashgrove.functions.text import filled
+from hashgrove.operators.skew import attach_by_key
 from hashgrove.sources.dated import day_folder, read_day
 
 
@@ -54,9 +55,10 @@ def merge_identities(
     ``oracle_id``. Repeated keys of the snapshot or oracle side multiply; null equals no key.
     ``presence`` names the sides that had the key.
 
-    The two sides that may repeat keys meet as matched rows plus two anti joins on distinct keys:
-    a hot key of an inner, left or anti join can be split over tasks, one of a full outer join
-    cannot. Rows without a key match nothing and are not shuffled.
+    ``delta`` has one row per key. A hot key of a full outer join cannot be split over tasks, so the
+    two sides that may repeat keys first learn which other sides have their key, and only rows that
+    have a partner meet in an inner join, which can. Rows without a key match nothing and are not
+    shuffled.
     """
     current = current.select(
         key, F.col("idl").alias("_idl"), F.col("oracle_id").alias("_oracle_id"), F.lit(True).alias("_c")
@@ -65,14 +67,20 @@ def merge_identities(
     oracle = oracle.select(key, "oracle_id", F.lit(True).alias("_o"))
     has_key = F.col(key).isNotNull()
     c, d, o = (side.where(has_key) for side in (current, delta, oracle))
-    c_keys, o_keys = c.select(key).distinct(), o.select(key).distinct()
-    old = (
-        c.join(o, key)
-        .unionByName(c.join(o_keys, key, "left_anti"), allowMissingColumns=True)
-        .unionByName(o.join(c_keys, key, "left_anti"), allowMissingColumns=True)
+
+    def informed(side: DataFrame, other: DataFrame, flag: str) -> DataFrame:
+        newest = {flag: F.bool_or(flag), "_d": F.bool_or("_d"), "idl": F.max("idl")}
+        also = other.select(key, flag).unionByName(d, allowMissingColumns=True)
+        return attach_by_key(side, [key], newest, also=also)
+
+    c_informed, o_informed = informed(c, o, "_o"), informed(o, c, "_c")
+    merged = c_informed.where("_o").drop("_o").join(
+        o_informed.where("_c").drop("_c", "_d", "idl"), key
     )
-    merged = old.join(d, key, "left")
+    c_keys, o_keys = c.select(key).distinct(), o.select(key).distinct()
     for side in (
+        c_informed.where("_o is null"),
+        o_informed.where("_c is null"),
         d.join(c_keys, key, "left_anti").join(o_keys, key, "left_anti"),
         *(side.where(~has_key) for side in (current, delta, oracle)),
     ):

@@ -31,21 +31,28 @@ def attach_by_key(
     df: DataFrame,
     keys: Sequence[str],
     aggregates: Mapping[str, Column],
+    also: DataFrame | None = None,
     can_match: Column | None = None,
     worth_joining: Column | None = None,
 ) -> DataFrame:
     """Add to each row the ``aggregates`` over all rows of its key; null equals null.
 
-    Rows for which ``can_match`` is not true are left out and get null. The aggregates are combined
-    before their shuffle. The most frequent keys, at most ``HOT_KEYS``, reach the rows by broadcast;
-    only rows of other keys are joined on their key, with those keys of which the aggregates satisfy
-    ``worth_joining``, the rest getting null.
+    Rows of ``also`` take part in the aggregates, with nulls for columns they lack, which makes this
+    a left join with a table of one row per key. Rows for which ``can_match`` is not true are left
+    out and get null. The aggregates are combined before their shuffle. The most frequent keys, at
+    most ``HOT_KEYS``, reach the rows by broadcast; only rows of other keys are joined on their key,
+    with those keys of which the aggregates satisfy ``worth_joining``, the rest getting null.
+
+    A plain join would not do: adaptive execution does not split a hot key where the other side is
+    an aggregate already partitioned by the key.
     """
     keys, names = list(keys), list(aggregates)
     matchable = F.lit(True) if can_match is None else F.coalesce(can_match, F.lit(False))
+    counted = df.where(matchable)
+    if also is not None:
+        counted = counted.unionByName(also, allowMissingColumns=True)
     per_key = (
-        df.where(matchable)
-        .groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys])
+        counted.groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys])
         .agg(F.count(F.lit(1)).alias("_n"), *[a.alias(n) for n, a in aggregates.items()])
     )
     hot = (

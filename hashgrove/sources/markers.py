@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hashgrove.operators.skew import attach_by_key
+
 # The fields of a marker document.
 MARKER_SCHEMA = T.StructType(
     [
@@ -137,12 +139,14 @@ def input_readiness(required: DataFrame, listed: DataFrame, by: str = "job") ->
 
     ``required`` has (job, input, day), ``listed`` the (input, day) pairs whose marker exists.
     """
-    present = listed.groupBy("input", "day").agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        required.join(present, ["input", "day"], "left")
-        .groupBy(by)
-        .agg(
-            F.bool_and(F.col("_n").isNotNull()).alias("ready"),
-            F.count_if(F.col("_n").isNull()).alias("missing"),
-        )
+    inputs = attach_by_key(
+        required,
+        ["input", "day"],
+        {"_there": F.bool_or("_listed")},
+        also=listed.select("input", "day", F.lit(True).alias("_listed")),
+        worth_joining=F.col("_there"),
+    )
+    return inputs.groupBy(by).agg(
+        F.bool_and(F.col("_there").isNotNull()).alias("ready"),
+        F.count_if(F.col("_there").isNull()).alias("missing"),
     )
