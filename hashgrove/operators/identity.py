@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashgrove.functions.text import filled
-from hashgrove.operators.skew import attach_by_key
+from hashgrove.operators.skew import lookup_by_key
 from hashgrove.sources.dated import day_folder, read_day
 
 
@@ -69,9 +69,14 @@ def merge_identities(
     c, d, o = (side.where(has_key) for side in (current, delta, oracle))
 
     def informed(side: DataFrame, other: DataFrame, flag: str) -> DataFrame:
-        newest = {flag: F.bool_or(flag), "_d": F.bool_or("_d"), "idl": F.max("idl")}
-        also = other.select(key, flag).unionByName(d, allowMissingColumns=True)
-        return attach_by_key(side, [key], newest, also=also)
+        """``side`` with the delta's values and whether ``other`` has the key."""
+        partners = (
+            other.select(key, flag)
+            .unionByName(d, allowMissingColumns=True)
+            .groupBy(key)
+            .agg(F.bool_or(flag).alias(flag), F.bool_or("_d").alias("_d"), F.max("idl").alias("idl"))
+        )
+        return lookup_by_key(side, partners, [key])
 
     c_informed, o_informed = informed(c, o, "_o"), informed(o, c, "_c")
     merged = c_informed.where("_o").drop("_o").join(

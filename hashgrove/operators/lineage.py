@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashgrove.operators.skew import attach_by_key
+from hashgrove.operators.skew import lookup_by_key
 from hashgrove.session import fresh_path
 
 OK, NOT_OK = "ok", "not_ok"  # whether the dependent task also runs after a failure
@@ -185,27 +185,16 @@ def spread_label(
     seeds = seeds.select(F.col(task).alias("src")).distinct()
     own = seeds.select(F.col("src").alias("task"), F.col("src").alias("reason"))
     # a task with many descendants is a hot key
-    below = attach_by_key(
-        reach,
-        ["src"],
-        {"_seed": F.bool_or("_is_seed")},
-        also=seeds.withColumn("_is_seed", F.lit(True)),
-        worth_joining=F.col("_seed"),
-    )
+    below = lookup_by_key(reach, seeds.withColumn("_seed", F.lit(True)), ["src"])
     below = below.where("_seed").select(F.col("dst").alias("task"), F.col("src").alias("reason"))
     return own.unionByName(below).distinct()
 
 
 def ready_tasks(edges: DataFrame, done: DataFrame, task: str = "task") -> DataFrame:
     """Per dependent task: whether all tasks right before it are done, and how many block it."""
+    finished = done.select(F.col(task).alias("src")).distinct().withColumn("_done", F.lit(True))
     # a task before many others is a hot key
-    before = attach_by_key(
-        _pairs(edges).distinct(),
-        ["src"],
-        {"_done": F.bool_or("_is_done")},
-        also=done.select(F.col(task).alias("src"), F.lit(True).alias("_is_done")),
-        worth_joining=F.col("_done"),
-    )
+    before = lookup_by_key(_pairs(edges).distinct(), finished, ["src"], hot_in=edges)
     return before.groupBy("dst").agg(
         F.bool_and(F.col("_done").isNotNull()).alias("ready"),
         F.count_if(F.col("_done").isNull()).alias("blocking"),

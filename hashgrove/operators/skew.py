@@ -1,4 +1,8 @@
-"""Give rows the aggregates of their key, balanced even when few keys hold most rows."""
+"""Give rows the values of their key, balanced even when few keys hold most rows.
+
+Adaptive execution does not split a hot key when the other side of the join is an aggregate that is
+partitioned by the key already, so hot keys are handled here.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +13,16 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys count as hot, whatever the data, so they are safe to broadcast.
+# At most this many keys count as hot, whatever the data, so their values are safe to broadcast.
 HOT_KEYS = 4096
+# A key with fewer rows than this is no burden for one task.
+HOT_ROWS = 100_000
+# Keys a sketch tells apart while it looks for the hot ones.
+TRACKED = 4 * HOT_KEYS
 # Rows of hot keys, and rows that cannot match, go to this many places instead of one.
 SPREAD = 4096
 
 
-def _same(left: Sequence[str], right: Sequence[str]) -> Column:
-    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
-
-
 def row_place(columns: Sequence[str], places: int) -> Column:
     """A place for a row that deals the rows of one key out by the task that holds them.
 
@@ -27,45 +31,101 @@ def row_place(columns: Sequence[str], places: int) -> Column:
     return F.pmod(F.xxhash64(F.spark_partition_id(), *columns), F.lit(places))
 
 
+def hot_hashes(df: DataFrame, keys: Sequence[str]) -> list[int]:
+    """Hashes of the keys with many rows, at most ``HOT_KEYS``; one pass over the keys, no shuffle.
+
+    Which keys are found decides only where rows are joined, never the result.
+    """
+    found = (
+        df.select(F.xxhash64(*keys).alias("_hash"))
+        .agg(
+            F.expr(f"approx_top_k(_hash, {HOT_KEYS}, {TRACKED})").alias("top"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        .first()
+    )
+    least = max(HOT_ROWS, found["n"] / HOT_KEYS)
+    return [e["item"] for e in found["top"] or [] if e["count"] >= least]
+
+
+def _equal(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(a) == F.col(b) for a, b in zip(left, right)])
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def lookup_by_key(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], hot_in: DataFrame | None = None
+) -> DataFrame:
+    """Left join with ``table``, which has one row per key; null equals nothing.
+
+    The values of hot keys are broadcast, only rows of other keys are joined on their key. Without
+    hot keys this is a plain join. ``hot_in`` may name a cheaper table to look for hot keys in.
+    """
+    keys = list(keys)
+    values = [c for c in table.columns if c not in keys]
+    matched = [f"_m_{k}" for k in keys]
+    renamed = table.select(
+        *[F.col(k).alias(m) for k, m in zip(keys, matched)], F.struct(*values).alias("_other")
+    )
+    hashes = hot_hashes(df if hot_in is None else hot_in, keys)
+    if not hashes:
+        joined = df.join(renamed, _equal(keys, matched), "left")
+        return joined.select(*df.columns, *[F.col("_other")[v].alias(v) for v in values])
+    hot = df.sparkSession.createDataFrame([(h,) for h in hashes], "_hash bigint")
+    hot_values = (
+        renamed.withColumn("_hash", F.xxhash64(*matched))
+        .join(F.broadcast(hot), "_hash", "left_semi")
+        .select(*[F.col(m).alias(f"_h_{k}") for k, m in zip(keys, matched)], F.col("_other").alias("_hot"))
+    )
+    rows = (
+        df.withColumns({"_hash": F.xxhash64(*keys), "_place": row_place(keys, SPREAD) + 1})
+        .join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), "_hash", "left")
+        .withColumn("_place", F.when(F.col("_is_hot"), F.col("_place")).otherwise(0))
+        .join(F.broadcast(hot_values), _equal(keys, [f"_h_{k}" for k in keys]), "left")
+    )
+    # not a literal, which the planner would fold and then join on the keys alone
+    placed = renamed.withColumn("_m_place", F.pmod(F.xxhash64(*matched), F.lit(1)))
+    joined = rows.join(placed, _equal([*keys, "_place"], [*matched, "_m_place"]), "left")
+    found = F.coalesce("_hot", "_other")
+    return joined.select(*df.columns, *[found[v].alias(v) for v in values])
+
+
 def attach_by_key(
     df: DataFrame,
     keys: Sequence[str],
     aggregates: Mapping[str, Column],
-    also: DataFrame | None = None,
     can_match: Column | None = None,
     worth_joining: Column | None = None,
 ) -> DataFrame:
     """Add to each row the ``aggregates`` over all rows of its key; null equals null.
 
-    Rows of ``also`` take part in the aggregates, with nulls for columns they lack, which makes this
-    a left join with a table of one row per key. Rows for which ``can_match`` is not true are left
-    out and get null. The aggregates are combined before their shuffle. The most frequent keys, at
-    most ``HOT_KEYS``, reach the rows by broadcast; only rows of other keys are joined on their key,
-    with those keys of which the aggregates satisfy ``worth_joining``, the rest getting null.
-
-    A plain join would not do: adaptive execution does not split a hot key where the other side is
-    an aggregate already partitioned by the key.
+    Rows for which ``can_match`` is not true are left out and get null. The aggregates are combined
+    before their shuffle, and count the rows of each key on the way: those of the most frequent
+    keys reach the rows by broadcast. Only rows of other keys are joined on their key, with those
+    keys of which the aggregates satisfy ``worth_joining``, the rest getting null.
     """
     keys, names = list(keys), list(aggregates)
+    matched = [f"_m_{k}" for k in keys]
     matchable = F.lit(True) if can_match is None else F.coalesce(can_match, F.lit(False))
-    counted = df.where(matchable)
-    if also is not None:
-        counted = counted.unionByName(also, allowMissingColumns=True)
     per_key = (
-        counted.groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys])
+        df.where(matchable)
+        .groupBy(*[F.col(k).alias(m) for k, m in zip(keys, matched)])
         .agg(F.count(F.lit(1)).alias("_n"), *[a.alias(n) for n, a in aggregates.items()])
     )
     hot = (
-        per_key.orderBy(F.desc("_n"), *[f"_m_{k}" for k in keys])
+        per_key.orderBy(F.desc("_n"), *matched)
         .limit(HOT_KEYS)
         .select(
-            *[F.col(f"_m_{k}").alias(f"_h_{k}") for k in keys],
+            *[F.col(m).alias(f"_h_{k}") for k, m in zip(keys, matched)],
             F.struct(*names).alias("_hot"),
         )
     )
     others = per_key if worth_joining is None else per_key.where(worth_joining)
     others = others.select(
-        *[f"_m_{k}" for k in keys],
+        *matched,
         F.struct(*names).alias("_other"),
         # taken from the count, so that the planner can neither fold it nor join on the keys alone
         F.when(F.col("_n") > 0, F.lit(0).cast("bigint")).alias("_m_place"),
@@ -74,8 +134,6 @@ def attach_by_key(
     rows = rows.join(F.broadcast(hot), _same(keys, [f"_h_{k}" for k in keys]), "left")
     settled = F.col("_hot").isNotNull() | ~F.col("_matchable")
     rows = rows.withColumn("_place", F.when(settled, F.col("_place")).otherwise(0))
-    joined = rows.join(
-        others, _same([*keys, "_place"], [*[f"_m_{k}" for k in keys], "_m_place"]), "left"
-    )
+    joined = rows.join(others, _same([*keys, "_place"], [*matched, "_m_place"]), "left")
     found = F.when(F.col("_matchable"), F.coalesce("_hot", "_other"))
     return joined.select(*df.columns, *[found[n].alias(n) for n in names])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hashgrove.operators.skew import attach_by_key
+from hashgrove.operators.skew import lookup_by_key
 
 # The fields of a marker document.
 MARKER_SCHEMA = T.StructType(
@@ -139,13 +139,8 @@ def input_readiness(required: DataFrame, listed: DataFrame, by: str = "job") ->
 
     ``required`` has (job, input, day), ``listed`` the (input, day) pairs whose marker exists.
     """
-    inputs = attach_by_key(
-        required,
-        ["input", "day"],
-        {"_there": F.bool_or("_listed")},
-        also=listed.select("input", "day", F.lit(True).alias("_listed")),
-        worth_joining=F.col("_there"),
-    )
+    there = listed.groupBy("input", "day").agg((F.count(F.lit(1)) > 0).alias("_there"))
+    inputs = lookup_by_key(required, there, ["input", "day"])
     return inputs.groupBy(by).agg(
         F.bool_and(F.col("_there").isNotNull()).alias("ready"),
         F.count_if(F.col("_there").isNull()).alias("missing"),

@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import date
 from itertools import product
 
+import pytest
 from pyspark.sql import functions as F
 
 from hashgrove.operators import identity, skew, traffic
@@ -70,6 +71,42 @@ def test_hot_key_is_spread_over_join_partitions(spark, monkeypatch):
     assert max(places.count(p) for p in set(places)) < 0.5 * len(places)
 
 
+@pytest.mark.parametrize("hot_rows", [1, 500, 10**6])
+def test_lookup_does_not_depend_on_the_hot_keys(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    kind = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit("hot but absent"))
+    key = F.when(F.col("id") % 50 != 7, F.coalesce(kind, F.col("id").cast("string")))
+    df = spark.range(0, 3000, 1, 8).select("id", key.alias("key"), F.lit(1).alias("other"))
+    table = spark.createDataFrame(
+        [("hot", 1, "a"), ("5", 1, "b"), (None, 1, "c"), ("8", 2, "d")], "key string, other int, v string"
+    )
+    found = skew.lookup_by_key(df, table, ["key", "other"])
+    assert found.columns == ["id", "key", "other", "v"]
+    values = {"hot": "a", "5": "b"}
+    rows_found = found.collect()
+    assert len(rows_found) == 3000 and all(r.v == values.get(r.key) for r in rows_found)
+
+
+def test_hot_keys_are_found(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"))
+    assert len(skew.hot_hashes(df, ["key"])) == 1
+    assert skew.hot_hashes(df.where("false"), ["key"]) == []
+
+
+def test_merge_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    current = [("hot", f"i{i}", None) for i in range(3)] + [("x", "ix", "ox")]
+    oracle = [("hot", f"o{i}") for i in range(40)] + [("gone", f"o{i}") for i in range(40)]
+    found = rows(_merge(spark, current, [("hot", "new"), ("d", "only")], oracle))
+    assert found == sorted(
+        [("hot", "new", f"o{i}", "current+delta+oracle") for i in range(40)] * 3
+        + [("gone", None, f"o{i}", "oracle") for i in range(40)]
+        + [("x", "ix", "ox", "current"), ("d", "only", None, "delta")],
+        key=repr,
+    )
+
+
 def test_expand_raw(spark):
     raw = [(1, "h", " a ;; b"), (2, "h", None), (3, "h", " ; "), (4, "h", "c")]
     df = identity.expand_raw(spark.createDataFrame(raw, "seq int, email_hash string, idls string"), "idls", "idl")
