@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashgrove.llm import bpe, lines, sentences, simhash
+from hashgrove.llm import bpe, decontam, lines, rules, sentences, simhash, toxicity
 
 #: Folder of the public vocabulary files, on every machine.
 VOCABULARIES = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the items."""
+    return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-level BPE of every document, decoded again."""
     ranks = f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken"
@@ -30,12 +35,28 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedupe_lines(_table(spark, folder, "documents").select("doc_id", "text"), counts=("n_lines", "n_removed"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document; labels of the held-out third are not learned from."""
+    docs = _table(spark, folder, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.fit(docs, _table(spark, folder, "labels").where(fold != 1))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     groups = simhash.near_duplicates(_table(spark, folder, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and verdict of the line-first rules for every document."""
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
+    judged = rules.apply_rules(_table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *[F.col(f"quality.{f}") for f in fields])
+
+
 def op8_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the later copies of three-sentence spans."""
     return sentences.dedupe_spans(_table(spark, folder, "documents").select("doc_id", "text"), counts=("n_sentences", "n_removed"))
@@ -64,9 +85,12 @@ def _repeat_sql(pieces: str, key: str, glue: str, names: tuple[str, str]) -> str
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_quality_rules": op6_quality_rules,
     "op8_span_dedup": op8_span_dedup,
 }
 
