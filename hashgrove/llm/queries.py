@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashgrove.llm import bpe, decontam, lines, rules, sentences, simhash, toxicity
+from hashgrove.llm import bpe, decontam, lines, pages, quality, rules, sentences, simhash, toxicity
 
 #: Folder of the public vocabulary files, on every machine.
 VOCABULARIES = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
@@ -57,11 +57,25 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{f}") for f in fields])
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document; labels of the held-out fifth are not learned from."""
+    docs = _table(spark, folder, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    network = quality.fit(docs, _table(spark, folder, "labels").where((fold != 0) & (F.col("quality") == 1)))
+    scored = quality.score(docs, network)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the later copies of three-sentence spans."""
     return sentences.dedupe_spans(_table(spark, folder, "documents").select("doc_id", "text"), counts=("n_sentences", "n_removed"))
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 _SPACES = "chr(9) || chr(13) || chr(11) || chr(12)"
 
 
@@ -91,7 +105,9 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_span_dedup": op8_span_dedup,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLES = {
