@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashgrove.llm import bpe, decontam, lines, pages, quality, rules, sentences, simhash, toxicity
+from hashgrove.llm import ans, bpe, decontam, lines, pages, quality, rules, sentences, simhash, toxicity
 
 #: Folder of the public vocabulary files, on every machine.
 VOCABULARIES = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
@@ -76,6 +76,13 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, written to rANS files and read back."""
+    files = ans.fresh_folder(spark)
+    ans.write(_table(spark, folder, "documents"), files, f"{VOCABULARIES}/word_bpe_49k.json", end_id=2)
+    return ans.read(spark, files, ids=False)
+
+
 _SPACES = "chr(9) || chr(13) || chr(11) || chr(12)"
 
 
@@ -108,6 +115,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_span_dedup": op8_span_dedup,
     "op9_html_extraction": op9_html_extraction,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES = {
