@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+import base64
+import random
+
+import awkward
+import pyarrow as pa
+import pytest
+import tiktoken
+
+from hashgrove.llm import bpe, vec
+from hashgrove.llm.queries import VOCABULARIES
+
+RANKS = f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@pytest.fixture(scope="module")
+def reference():
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_pieces_and_merges_are_those_of_the_library(reference):
+    rng = random.Random(1)
+    parts = [*"aab sstremdlv'' \n\t  12.,!é漢  😀ñ 　", "'s", "'re", "'ll", "  ", "don't", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["'", " ", "'s", "' s", " 's", "\n's", "a're", "a'rex", "''s", "x" * 300, "ab" * 4000, " " * 200]
+    model = bpe.Merger(RANKS)
+    for first, last, data, offsets in vec.pieces(pa.array(texts), 20_000):
+        ids, bounds, begins = model.encode(data, offsets)
+        for k in range(last - first):
+            own = ids[bounds[k] : bounds[k + 1]]
+            assert own.tolist() == reference.encode_ordinary(texts[first + k])
+            at = begins[bounds[k] : bounds[k + 1]] - offsets[k]
+            assert (at[1:] >= at[:-1]).all() and (len(at) == 0 or at[0] == 0)
+
+
+def test_states_do_not_depend_on_blocks(monkeypatch):
+    text = "it's a   test'll \n\n of  'reading 12x " * 50
+    points, _, offsets = vec.code_points(*vec.buffers(pa.array([text, text])))
+    kinds = bpe.classes(points, offsets)
+    expected = bpe.starts_of_pieces(kinds).tolist()
+    for size in (1, 3, 1000):
+        monkeypatch.setattr(bpe, "BLOCK", size)
+        assert bpe.starts_of_pieces(kinds).tolist() == expected
+
+
+def test_round_trip_of_awkward_rows(spark, reference):
+    docs = awkward.frame(spark)
+    encoded = bpe.encode(docs, RANKS, piece_offsets=True)
+    found = bpe.decode(encoded.join(docs.groupBy("doc_id").count().drop("count"), "doc_id", "left"), RANKS).collect()
+    expected = sorted((repr(r[0]), (r[1] or "").encode()) for r in awkward.rows())
+    assert sorted((repr(r["doc_id"]), bytes(r["bytes"])) for r in found) == expected
+    by_id = {r["doc_id"]: r["n_tokens"] for r in found}
+    assert by_id[24] == len(reference.encode_ordinary(awkward.long_text()))
+    assert by_id[20] == by_id[21] == 0
+
+
+def test_empty_table(spark):
+    encoded = bpe.encode(awkward.empty(spark), RANKS)
+    assert bpe.decode(encoded, RANKS).count() == 0
