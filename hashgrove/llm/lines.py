@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hashgrove.llm.repeats import full, later_copies, without
+from hashgrove.llm.repeats import full, later_copies, windows_of, without
 
 WINDOW = 3
 
@@ -31,7 +31,7 @@ def dedupe_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     mark = "_covered"
     while mark in docs.columns:
         mark += "_"
-    covered = later_copies(docs, id_column, full(_lines(F.col(text)), _key), window).withColumnRenamed("covered", mark)
+    covered = later_copies(docs, id_column, windows_of(full(_lines(F.col(text)), _key), window)).withColumnRenamed("covered", mark)
     joined = docs.join(covered, id_column, "left")
     cut = F.when(F.col(mark).isNull(), F.col(text)).otherwise(F.array_join(without(_lines(F.col(text)), _key, F.col(mark)), "\n"))
     extra = [] if counts is None else [F.size(full(_lines(F.col(text)), _key)).cast("long").alias(counts[0]), F.coalesce(F.size(mark), F.lit(0)).cast("long").alias(counts[1])]

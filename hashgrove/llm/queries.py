@@ -67,7 +67,7 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document without the later copies of three-sentence spans."""
+    """Every document without the later copies of sentence spans."""
     return sentences.dedupe_spans(_table(spark, folder, "documents").select("doc_id", "text"), counts=("n_sentences", "n_removed"))
 
 
@@ -86,17 +86,16 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 _SPACES = "chr(9) || chr(13) || chr(11) || chr(12)"
 
 
-def _repeat_sql(pieces: str, key: str, glue: str, names: tuple[str, str]) -> str:
-    """Windows of three full pieces over all documents; later copies are cut."""
+def _repeat_sql(pieces: str, key: str, glue: str, names: tuple[str, str], windows: str) -> str:
+    """Windows (doc_id, pos, n, h) of full pieces over all documents; later copies are cut."""
     return f"""
     WITH cut AS (SELECT doc_id, text, {pieces} AS pieces FROM documents),
     piece AS (SELECT doc_id, unnest(pieces) AS p, generate_subscripts(pieces, 1) AS i FROM cut),
     keyed AS (SELECT doc_id, i, p, {key} AS k FROM piece),
     filled AS (SELECT doc_id, i, k, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM keyed WHERE k <> ''),
-    win AS (SELECT a.doc_id, a.pos, a.k AS k1, b.k AS k2, c.k AS k3 FROM filled a
-        JOIN filled b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN filled c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2),
-    late AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY k1, k2, k3 ORDER BY doc_id, pos) AS r FROM win) WHERE r > 1),
-    gone AS (SELECT DISTINCT doc_id, pos + step AS pos FROM late, (VALUES (0), (1), (2)) AS s(step)),
+    win AS ({windows}),
+    late AS (SELECT doc_id, pos, n FROM (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS r FROM win) WHERE r > 1),
+    gone AS (SELECT DISTINCT doc_id, pos + unnest(range(n)) AS pos FROM late),
     marked AS (SELECT k.doc_id, k.i, k.p, f.pos, g.pos IS NOT NULL AS cut FROM keyed k
         LEFT JOIN filled f ON f.doc_id = k.doc_id AND f.i = k.i LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.pos = f.pos),
     done AS (SELECT doc_id, coalesce(string_agg(p, {glue} ORDER BY i) FILTER (WHERE NOT cut), '') AS text, count(pos) AS {names[0]},
@@ -105,6 +104,16 @@ def _repeat_sql(pieces: str, key: str, glue: str, names: tuple[str, str]) -> str
         coalesce({names[0]}, 0) AS {names[0]}, coalesce({names[1]}, 0) AS {names[1]} FROM documents d LEFT JOIN done USING (doc_id)"""
 
 
+_LINE_WINDOWS = """SELECT a.doc_id, a.pos, 3 AS n, [a.k, b.k, c.k] AS h FROM filled a
+    JOIN filled b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN filled c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2"""
+# the shortest run of two or more sentences and twelve or more words
+_SPAN_WINDOWS = r"""SELECT doc_id, pos, arg_min(h, n) AS h, min(n) AS n FROM (
+    SELECT a.doc_id, a.pos, b.pos - a.pos + 1 AS n, list(b.k) OVER run AS h,
+        sum(len(regexp_extract_all(b.k, '[^ \t\n\x0B\f\r]+'))) OVER run AS words
+    FROM filled a JOIN filled b ON b.doc_id = a.doc_id AND b.pos BETWEEN a.pos AND a.pos + 11
+    WINDOW run AS (PARTITION BY a.doc_id, a.pos ORDER BY b.pos)) WHERE n >= 2 AND words >= 12 GROUP BY doc_id, pos"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
@@ -119,12 +128,13 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op3_line_dedup": _repeat_sql("string_split(text, chr(10))", f"trim(translate(p, {_SPACES}, '    '))", "chr(10)", ("n_lines", "n_removed")),
+    "op3_line_dedup": _repeat_sql("string_split(text, chr(10))", f"trim(translate(p, {_SPACES}, '    '))", "chr(10)", ("n_lines", "n_removed"), _LINE_WINDOWS),
     "op8_span_dedup": _repeat_sql(
         # a control character marks the ends of sentences
         r"string_split(regexp_replace(regexp_replace(text, '([.!?][ \t\r\n]|\n)([^ \t\r\n])', '\1' || chr(1) || '\2', 'g'), '([.!?][ \t\r\n]|\n)([^ \t\r\n" + "\x01" + r"])', '\1' || chr(1) || '\2', 'g'), chr(1))",
         f"trim(translate(p, {_SPACES} || chr(10), '     '))",
         "''",
         ("n_sentences", "n_removed"),
+        _SPAN_WINDOWS,
     ),
 }

@@ -11,46 +11,57 @@ from hashgrove.llm import lines, sentences
 SPACES = " \t\n\r\x0b\x0c"
 
 
-def brute(rows, cut, glue, length):
+def run_of(full, at, least, words):
+    """The shortest run from ``at`` on of enough units and words, None if there is none."""
+    for n in range(least, len(full) - at + 1):
+        if sum(len(key.split()) for _, key in full[at : at + n]) >= words:
+            return full[at : at + n]
+    return None
+
+
+def brute(rows, cut, glue, least, words):
     """Texts after the later copies of windows are removed, one document and window at a time."""
     units = {i: [(p, p.strip(SPACES)) for p in cut(t or "")] for i, t in rows if i is not None}
     seen, gone = set(), {i: set() for i in units}
     for i in sorted(units):
         full = [(n, key) for n, (_, key) in enumerate(units[i]) if key]
-        for at in range(len(full) - length + 1):
-            window = tuple(key for _, key in full[at : at + length])
+        for at in range(len(full)):
+            run = run_of(full, at, least, words) if words else full[at : at + least]
+            if run is None or len(run) < least:
+                continue
+            window = tuple(key for _, key in run)
             if window in seen:
-                gone[i].update(n for n, _ in full[at : at + length])
+                gone[i].update(n for n, _ in run)
             seen.add(window)
     return {i: glue.join(p for n, (p, _) in enumerate(units[i]) if n not in gone[i]) if gone[i] else dict(rows)[i] for i in units}
 
 
 CASES = {
-    "lines": (lines.dedupe_lines, lambda t: t.split("\n"), "\n"),
-    "sentences": (sentences.dedupe_spans, lambda t: re.split(r"(?:(?<=[.!?][ \t\r\n])|(?<=\n))(?=[^ \t\r\n])", t), ""),
+    "lines": (lines.dedupe_lines, lambda t: t.split("\n"), "\n", 3, 0),
+    "sentences": (sentences.dedupe_spans, lambda t: re.split(r"(?:(?<=[.!?][ \t\r\n])|(?<=\n))(?=[^ \t\r\n])", t), "", 2, 12),
 }
 
 
 @pytest.mark.parametrize("case", CASES)
 def test_later_copies_go(spark, case):
-    operator, cut, glue = CASES[case]
+    operator, *how = CASES[case]
     rng = random.Random(3)
     pool = [awkward.sentence(rng, 4) for _ in range(12)]
     rows = [(i, "\n".join(rng.choice(pool) + rng.choice(["", "", " " + rng.choice(pool)]) + rng.choice(["", "\n", "  "]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     found = {r["doc_id"]: r["text"] for r in operator(docs).collect()}
-    assert found == brute(rows, cut, glue, 3)
+    assert found == brute(rows, *how)
 
 
 @pytest.mark.parametrize("case", CASES)
 def test_awkward_rows(spark, case):
-    operator, cut, glue = CASES[case]
+    operator, *how = CASES[case]
     docs = awkward.frame(spark)
     out = operator(docs)
     assert out.columns == docs.columns
     found = sorted((repr(r["doc_id"]), repr(r["text"])) for r in out.collect())
     rows = awkward.rows()
-    expected = brute([(r[0], r[1]) for r in rows], cut, glue, 3)
+    expected = brute([(r[0], r[1]) for r in rows], *how)
     # rows sharing an identifier are one document: the second copy of 23 is not a later copy of the first
     wanted = [(r[0], r[1] if r[0] is None else expected[r[0]]) for r in rows]
     assert found == sorted((repr(i), repr(t)) for i, t in wanted)
@@ -58,10 +69,10 @@ def test_awkward_rows(spark, case):
 
 @pytest.mark.parametrize("case", CASES)
 def test_repeated_unit_shrinks_to_one_copy_and_counts(spark, case):
-    operator, _, _ = CASES[case]
-    docs = spark.createDataFrame([(1, "\n".join(["Same line."] * 9))], "doc_id bigint, text string")
+    operator, *_ = CASES[case]
+    docs = spark.createDataFrame([(1, "\n".join(["Same line of seven words in all."] * 9))], "doc_id bigint, text string")
     row = operator(docs, counts=("n", "gone")).first()
-    assert (row["text"].strip(), row["n"], row["gone"]) == ("Same line.", 9, 8)
+    assert (row["text"].strip(), row["n"], row["gone"]) == ("Same line of seven words in all.", 9, 8)
 
 
 @pytest.mark.parametrize("case", CASES)
