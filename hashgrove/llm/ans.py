@@ -193,30 +193,25 @@ def words(path: str) -> Words:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Written rows (doc, ids, n, part, place) in ascending order of documents: part by part, and by place in each.
+    """Rows (doc, ids, n) of all documents; ``ids`` are little-endian unsigned integers of two or four bytes, ``end_id`` last.
 
-    ``ids`` are little-endian unsigned integers of the vocabulary's width (two or four bytes), with ``end_id`` last. Documents are
-    ordered by identifier, nulls first, equal ones by text, nulls first. A null or empty text has only the end id.
+    The width is two bytes if the vocabulary allows. A null or empty text has only the end id.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, place = words(tokenizer), TaskContext.get().partitionId(), 0
+        model = words(tokenizer)
         width = "<u2" if max(model.size, end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             for first, last, data, offsets in vec.pieces(batch.column(1)):
                 ids, bounds = model.encode(data, offsets)
                 ids = np.insert(ids, bounds[1:], end_id).astype(width)
                 bounds = bounds + np.arange(len(bounds))
-                size = ids.itemsize
-                binary = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((bounds * size).astype(np.int32)), pa.py_buffer(ids)])
                 n = last - first
-                columns = [batch.column(0).slice(first, n), binary, pa.array(np.diff(bounds)), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n))]
-                place += n
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "ids", "n", "part", "place"])
+                binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), binary, pa.array(np.diff(bounds))], names=["doc", "ids", "n"])
 
-    ordered = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).repartitionByRange("doc", "text").sortWithinPartitions("doc", "text")
-    return materialize(ordered.mapInArrow(run, f"doc {kind}, ids binary, n bigint, part int, place bigint"), "ids")
+    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, ids binary, n bigint")
 
 
 def _width(spans: np.ndarray, counts: np.ndarray) -> str:
@@ -250,11 +245,12 @@ def _model(frequencies: DataFrame) -> Table:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id", block_ids: int = BLOCK_IDS) -> None:
     """Write the dataset of ``docs`` to ``folder``: ids in ascending order of documents, each document ended by ``end_id``.
 
-    A block ends with the document that fills it (``block_ids``), so a longer document is a block of its own. An empty table
+    Documents are ordered by identifier, nulls first, equal ones by the bytes of their ids. A part is what one task has after
+    a range partitioning by identifier; only ids are exchanged. A block ends with the document that fills it (``block_ids``), so a longer document is a block of its own. An empty table
     gives a dataset without blocks. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    ids = tokenize(docs, tokenizer, end_id, text, doc_id)
+    ids = materialize(tokenize(docs, tokenizer, end_id, text, doc_id), "ids")
     _counted(ids).coalesce(1).write.parquet(f"{folder}/frequencies")
     sent = spark.sparkContext.broadcast(_model(spark.read.parquet(f"{folder}/frequencies")))
     kind = ids.schema["doc"].dataType.simpleString()
@@ -275,39 +271,34 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str =
     names = ["part", "block", "start", "n_ids", "docs", "lengths", "words", "checkpoints", "crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, start, held, docs_in, lengths, pieces = -1, 0, 0, 0, [], [], []
+        part = TaskContext.get().partitionId()
+        number, start, held, docs_in, lengths, pieces = 0, 0, 0, [], [], []
         for batch in batches:
             data, offsets = vec.buffers(batch.column(1))
-            counts, parts = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            counts = batch.column(2).to_numpy()
             flat = np.frombuffer(data.tobytes(), _width(np.diff(offsets), counts))
             bounds = np.concatenate([[0], np.cumsum(counts)])
             at = 0
             while at < len(counts):
-                if parts[at] != part or held >= block_ids:
-                    if pieces:
-                        yield block(part, number, docs_in, lengths, pieces, start)
-                        start, number = start + held, number + 1
-                    if parts[at] != part:
-                        part, number, start = int(parts[at]), 0, 0
-                    held, docs_in, lengths, pieces = 0, [], [], []
                 # the documents that fill the block
                 end = int(np.searchsorted(bounds, bounds[at] + block_ids - held, "left"))
                 end = min(max(end, at + 1), len(counts))
-                other = np.flatnonzero(parts[at:end] != part)
-                end = at + int(other[0]) if len(other) else end
                 pieces.append(flat[bounds[at] : bounds[end]])
                 lengths.append(counts[at:end])
                 docs_in.append(batch.column(0).slice(at, end - at))
                 held += int(bounds[end] - bounds[at])
                 at = end
+                if held >= block_ids:
+                    yield block(part, number, docs_in, lengths, pieces, start)
+                    number, start, held, docs_in, lengths, pieces = number + 1, start + held, 0, [], [], []
         if pieces:
             yield block(part, number, docs_in, lengths, pieces, start)
 
-    # a part's rows are brought together in order again; parts are ranges of documents, alike in size
-    ordered = ids.repartition("part").sortWithinPartitions("part", "place").select("doc", "ids", "n", "part")
+    ordered = ids.repartitionByRange("doc").sortWithinPartitions("doc", "ids").select("doc", "ids", "n")
     schema = f"part int, block int, start bigint, n_ids bigint, docs array<{kind}>, lengths array<bigint>, words binary, checkpoints binary, crc32 bigint"
     ordered.mapInArrow(run, schema).write.parquet(f"{folder}/blocks")
-    parts = ids.groupBy("part").agg(F.sum("n").alias("n"))
+    parts = spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # one row for each part
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts.select("part", F.coalesce(before, F.lit(0)).alias("before")).coalesce(1).write.parquet(f"{folder}/parts")
 

@@ -40,8 +40,8 @@ def test_scaled_frequencies():
 def expected(rows):
     library = Tokenizer.from_file(FILE)
     out, start = [], 0
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+    encoded = [(doc, [*library.encode(text or "", add_special_tokens=False).ids, 2]) for doc, text in rows]
+    for doc, ids in sorted(encoded, key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes())):
         out.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return sorted(out, key=lambda r: r[1])
