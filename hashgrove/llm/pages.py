@@ -13,12 +13,14 @@ partitions; only keys, line hashes and deleted places are exchanged.
 from __future__ import annotations
 
 import html as references
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,17 +236,27 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
 
     shared = materialize(sides.mapInArrow(differenced, f"id {kind}, shared array<bigint>"), "shared")
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            found = [[(text, kind) for text, kind in blocks(page.as_py()) if kind != FRAME] for page in batch.column(2)]
+            small = [pack.compress(json.dumps(own).encode()) for own in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["id", "url", "packed"])
+
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             texts = []
-            for page, gone in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                found = blocks(page.as_py())
+            for small, gone in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                found = json.loads(unpack.decompress(small.as_py()))
                 article = any(kind == IN_ARTICLE for _, kind in found)
                 frame = set(gone or ())
-                own = _hashed(found)
                 # an article's lines stay; without an article, what is neither frame nor shared
-                texts.append(" ".join(text for (text, kind), h in zip(found, own, strict=True) if kind == IN_ARTICLE or not article and kind == OPEN and h not in frame))
+                texts.append(" ".join(text for (text, kind), h in zip(found, _hashed(found), strict=True) if kind == IN_ARTICLE or not article and h not in frame))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    out = source.join(shared, "id", "left").select("id", "url", "html", "shared").mapInArrow(written, f"id {kind}, url string, text string")
+    # the blocks are packed before they travel, and travel at every size: a page's text is most of the input
+    carried = source.mapInArrow(packed, f"id {kind}, url string, packed binary")
+    met = carried.join(shared.hint("merge"), "id", "left").select("id", "url", "packed", "shared")
+    out = met.mapInArrow(written, f"id {kind}, url string, text string")
     return out.withColumnsRenamed({"id": page_id, "url": url})
