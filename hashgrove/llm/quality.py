@@ -98,6 +98,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, 4] = np.log1p(words / np.maximum(1, lines))
     out[:, 22] = fresh(vec.span_hashes(data, line_starts, line_ends), line_own)
     out[:, 23] = np.bincount(line_own[kind[line_ends - 1] != STOP], minlength=n) / np.maximum(1, lines)
+    out[words == 0, 1:] = 0
     return out
 
 
