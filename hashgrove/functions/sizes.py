@@ -12,7 +12,12 @@ MAP_ENTRY = 16  # two pointers
 
 
 def _is_scalar(dtype: T.DataType) -> bool:
-    return not isinstance(dtype, (T.StringType, T.ArrayType, T.MapType, T.StructType))
+    """Whether every value takes one word; raises for types without a rule."""
+    if isinstance(dtype, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+        return False
+    if not isinstance(dtype, (T.NumericType, T.BooleanType, T.DatetimeType, T.TimestampNTZType, T.AnyTimeType, T.NullType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
+        raise TypeError(f"no size rule for {dtype.simpleString()}")
+    return True
 
 
 def _total(items: Column, dtype: T.DataType) -> Column:
@@ -32,6 +37,8 @@ def size_estimate(value: Column, dtype: T.DataType) -> Column:
         ascii_only = points == F.octet_length(value)
         units = F.when(ascii_only, points * 2).otherwise(F.octet_length(F.encode(value, "UTF-16BE")))
         size = units.cast("bigint") + WORD
+    elif isinstance(dtype, T.BinaryType):
+        size = F.octet_length(value).cast("bigint") + WORD
     elif isinstance(dtype, T.ArrayType):
         size = _total(value, dtype.elementType) + F.size(value) * WORD + WORD
     elif isinstance(dtype, T.MapType):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,20 +13,34 @@ from hashgrove.sources.sharded import FILES_PER_SHARD
 # --- committed files: committed_by, path_shard, part_no, job_id ----------------------------------
 
 
-def shard_completeness(files: DataFrame, expected: int = FILES_PER_SHARD) -> DataFrame:
-    """Files, distinct parts and missing parts of each shard against the expected number."""
+def _shards(files: DataFrame, expected_shards: Sequence) -> DataFrame:
+    """The shards that a day must have, a small list; a shard without any file is found by it alone."""
+    kind = files.schema["path_shard"].dataType.simpleString()
+    return files.sparkSession.createDataFrame([(s,) for s in expected_shards], f"path_shard {kind}")
+
+
+def shard_completeness(files: DataFrame, expected_shards: Sequence, expected: int = FILES_PER_SHARD) -> DataFrame:
+    """Files, bytes, distinct parts and missing parts of each expected shard against the expected number.
+
+    A shard that has files but is not expected is reported too.
+    """
+    found = files.groupBy("path_shard").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.count_distinct("part_no").alias("parts")
+    )
+    # both sides have one row per shard
     return (
-        files.groupBy("path_shard")
-        .agg(F.count(F.lit(1)).alias("files"), F.count_distinct("part_no").alias("parts"))
+        _shards(files, expected_shards)
+        .join(found, "path_shard", "full")
+        .na.fill(0, ["files", "bytes", "parts"])
         .withColumn("missing", F.lit(expected) - F.col("parts"))
         .withColumn("complete", F.col("missing") == 0)
     )
 
 
-def missing_parts(files: DataFrame, expected: int = FILES_PER_SHARD) -> DataFrame:
-    """Part numbers below ``expected`` that no file of a shard has."""
+def missing_parts(files: DataFrame, expected_shards: Sequence, expected: int = FILES_PER_SHARD) -> DataFrame:
+    """Part numbers below ``expected`` that no file of an expected shard has; all of them for a shard without files."""
     parts = files.select("path_shard", "part_no").distinct()
-    shards = files.select("path_shard").distinct()
+    shards = _shards(files, expected_shards)
     wanted = shards.select(
         "path_shard", F.explode(F.sequence(F.lit(0), F.lit(expected - 1))).alias("part_no")
     )
@@ -117,17 +132,28 @@ def daily_volume(df: DataFrame, entity: str, ts: str) -> DataFrame:
     )
 
 
-def volume_drop(volume: DataFrame, least_ratio: float = 0.9) -> DataFrame:
-    """Volume against the day before it of the same entity, flagged when it fell below the ratio."""
+def on_calendar(volume: DataFrame, last: date | None = None) -> DataFrame:
+    """``volume`` with a row of 0 for each day without rows, from an entity's first day to ``last`` (by default the last day of all)."""
+    spans = volume.groupBy("entity").agg(F.min("day").alias("first"))
+    end = F.lit(last) if last else volume.agg(F.max("day").alias("day")).scalar()
+    days = spans.select("entity", F.explode(F.sequence("first", F.greatest("first", end))).alias("day"))
+    return days.join(volume, ["entity", "day"], "left").select("entity", "day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def volume_drop(volume: DataFrame, least_ratio: float = 0.9, last: date | None = None) -> DataFrame:
+    """Volume against the day before of the same entity, flagged when it fell below the ratio; a day without rows has 0."""
+    volume = on_calendar(volume, last)
     by_day = Window.partitionBy("entity").orderBy("day")
-    ratio = F.col("n") / F.lag("n").over(by_day)
+    before = F.lag("n").over(by_day)
+    ratio = F.when(before > 0, F.col("n") / before)
     return volume.withColumn("ratio", ratio).withColumn(
         "dropped", F.coalesce(F.col("ratio") < least_ratio, F.lit(False))
     )
 
 
-def daily_anomaly(volume: DataFrame, days: int = 7, least_days: int = 3) -> DataFrame:
-    """z score of a day's volume against the ``days`` before it; null before ``least_days`` of them."""
+def daily_anomaly(volume: DataFrame, days: int = 7, least_days: int = 3, last: date | None = None) -> DataFrame:
+    """z score of a day's volume against the ``days`` before it, days without rows counting as 0; null before ``least_days`` of them."""
+    volume = on_calendar(volume, last)
     before = Window.partitionBy("entity").orderBy("day").rowsBetween(-days, -1)
     mean, spread = F.avg("n").over(before), F.stddev_pop("n").over(before)
     enough = F.count("n").over(before) >= least_days

@@ -273,7 +273,7 @@ def group_aggregates(
     Null values are absent: a measure without any value in a group has no row there.
     """
     categories = _as_categories(categories)
-    rows = df.where("grp <> ''")
+    rows = drop_empty_group(df)
     keys = {k: F.col(k) for k in GROUP}
     sources, source_of = _sources({} if approx else categories)
     cells = _aggregate_cells(rows, keys, moments, sums, sources)
@@ -285,6 +285,11 @@ def group_aggregates(
     return stats
 
 
+def drop_empty_group(df: DataFrame, grp: str = "grp") -> DataFrame:
+    """Rows of a group with a name."""
+    return df.where(F.col(grp) != "")
+
+
 def bidder_statistics(
     df: DataFrame,
     bidder: Column,
@@ -354,8 +359,9 @@ def union_disjoint(left: GroupStatistics, right: GroupStatistics) -> GroupStatis
 
 
 def with_stddev(moments: DataFrame) -> DataFrame:
-    """Add the population standard deviation."""
-    return moments.withColumn("stddev", F.sqrt(F.col("m2") / F.col("n")))
+    """Add the population standard deviation, null where a value that is no number makes it none."""
+    stddev = F.sqrt(F.col("m2") / F.col("n"))
+    return moments.withColumn("stddev", F.when(~F.isnan(stddev), stddev))
 
 
 def _counts(stats: GroupStatistics, name: str, as_name: str) -> DataFrame:
@@ -540,8 +546,8 @@ SOURCES = (("sourcesImp", "spend"), ("sourcesBids", "bidPrice"))
 
 def group_report(stats: GroupStatistics, day: str) -> DataFrame:
     """One row per group: definition and every statistic as a struct, null where it does not exist."""
-    moment = F.struct("mean", "n", F.sqrt(F.col("m2") / F.col("n")).alias("stddev"))
-    moments = stats.moments.groupBy(*GROUP).agg(
+    moment = F.struct("mean", "n", "stddev")
+    moments = with_stddev(stats.moments).groupBy(*GROUP).agg(
         F.map_from_entries(F.collect_list(F.struct("measure", moment.alias("m")))).alias("_m")
     )
     sums = stats.sums.groupBy(*GROUP).agg(

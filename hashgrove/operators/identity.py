@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashgrove.functions.text import filled
-from hashgrove.operators.skew import lookup_by_key
+from hashgrove.session import materialize
 from hashgrove.sources.dated import day_folder, read_day
 
 
@@ -55,39 +55,22 @@ def merge_identities(
     ``oracle_id``. Repeated keys of the snapshot or oracle side multiply; null equals no key.
     ``presence`` names the sides that had the key.
 
-    ``delta`` has one row per key. A hot key of a full outer join cannot be split over tasks, so the
-    two sides that may repeat keys first learn which other sides have their key, and only rows that
-    have a partner meet in an inner join, which can. Rows without a key match nothing and are not
-    shuffled.
+    Repeated keys of ``delta`` are reduced to the greatest ``idl``. Instead of a full outer join, whose hot keys no plan can
+    split, there are three parts: rows of the snapshot with what both others have, rows of the oracle side that
+    the snapshot lacks with the delta's values, and rows of the delta alone. All are left and anti joins of scanned or
+    written tables, which adaptive execution splits, also where many rows have no key.
     """
-    current = current.select(
+    c = current.select(
         key, F.col("idl").alias("_idl"), F.col("oracle_id").alias("_oracle_id"), F.lit(True).alias("_c")
     )
-    delta = delta.select(key, "idl", F.lit(True).alias("_d"))
-    oracle = oracle.select(key, "oracle_id", F.lit(True).alias("_o"))
-    has_key = F.col(key).isNotNull()
-    c, d, o = (side.where(has_key) for side in (current, delta, oracle))
-
-    def informed(side: DataFrame, other: DataFrame, flag: str) -> DataFrame:
-        """``side`` with the delta's values and whether ``other`` has the key."""
-        partners = (
-            other.select(key, flag)
-            .unionByName(d, allowMissingColumns=True)
-            .groupBy(key)
-            .agg(F.bool_or(flag).alias(flag), F.bool_or("_d").alias("_d"), F.max("idl").alias("idl"))
-        )
-        return lookup_by_key(side, partners, [key])
-
-    c_informed, o_informed = informed(c, o, "_o"), informed(o, c, "_c")
-    merged = c_informed.where("_o").drop("_o").join(
-        o_informed.where("_c").drop("_c", "_d", "idl"), key
-    )
-    c_keys, o_keys = c.select(key).distinct(), o.select(key).distinct()
+    d = delta.groupBy(key).agg(F.max("idl").alias("idl")).withColumn("_d", F.lit(True))
+    d = materialize(d, "delta")
+    o = oracle.select(key, "oracle_id", F.lit(True).alias("_o"))
+    c_keys, o_keys = c.select(key), o.select(key)
+    merged = c.join(d, key, "left").join(o, key, "left")
     for side in (
-        c_informed.where("_o is null"),
-        o_informed.where("_c is null"),
+        o.join(c_keys, key, "left_anti").join(d, key, "left"),
         d.join(c_keys, key, "left_anti").join(o_keys, key, "left_anti"),
-        *(side.where(~has_key) for side in (current, delta, oracle)),
     ):
         merged = merged.unionByName(side, allowMissingColumns=True)
     presence = F.concat_ws(

@@ -12,7 +12,7 @@ from hashgrove.functions.text import (
     first_filled,
     os_class,
 )
-from hashgrove.operators.skew import attach_by_key
+from hashgrove.operators.keyed import left_join
 
 # Defaults for missing data and labels of missing categories.
 NO_DECISION, NO_ATTEMPT, NO_TEMPLATE = "", -1, -1
@@ -60,12 +60,11 @@ def broken_drop_keys(df: DataFrame) -> DataFrame:
 
 def flag_broken_drops(df: DataFrame) -> DataFrame:
     """Set ``is_broken_drop`` on every impression that shares its key with a broken drop."""
-    keyed = df.select("*", *[k.alias(f"_{n}") for k, n in zip(drop_keys(), DROP_KEYS)])
     names = [f"_{n}" for n in DROP_KEYS]
-    broken = {"_broken": F.bool_or("is_broken_drop")}
-    marked = attach_by_key(keyed, names, broken, worth_joining=F.col("_broken"))
-    hit = F.expr("is_broken_drop or coalesce(_broken, false)")
-    return marked.withColumn("is_broken_drop", hit).drop(*names, "_broken")
+    keyed = df.select("*", *[k.alias(n) for k, n in zip(drop_keys(), names)])
+    broken = broken_drop_keys(df).toDF(*names).withColumn("_broken", F.lit(True))
+    marked = left_join(keyed, broken, names, null_safe=True)
+    return marked.withColumn("is_broken_drop", F.expr("is_broken_drop or coalesce(_broken, false)")).drop(*names, "_broken")
 
 
 def expected_profit() -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashgrove.operators.skew import lookup_by_key
-from hashgrove.session import fresh_path
+from hashgrove.operators.keyed import left_join
+from hashgrove.session import fresh_path, materialize
 
 OK, NOT_OK = "ok", "not_ok"  # whether the dependent task also runs after a failure
 # Trigger rules of a task.
@@ -155,6 +156,11 @@ def reduction(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     )
 
 
+def sorted_edges(edges: DataFrame) -> DataFrame:
+    """Different edges in the order of their tasks."""
+    return _pairs(edges).distinct().orderBy("src", "dst")
+
+
 # --- rules and labels ----------------------------------------------------------------------------
 
 
@@ -177,24 +183,44 @@ def trigger_conflicts(edges: DataFrame) -> DataFrame:
     )
 
 
-def spread_label(
-    edges: DataFrame, seeds: DataFrame, reach: DataFrame | None = None, task: str = "task"
-) -> DataFrame:
-    """(task, reason) rows: a label reaches each seed and all its descendants, because of the seed."""
-    reach = closure(edges) if reach is None else reach
-    seeds = seeds.select(F.col(task).alias("src")).distinct()
-    own = seeds.select(F.col("src").alias("task"), F.col("src").alias("reason"))
-    # a task with many descendants is a hot key
-    below = lookup_by_key(reach, seeds.withColumn("_seed", F.lit(True)), ["src"])
-    below = below.where("_seed").select(F.col("dst").alias("task"), F.col("src").alias("reason"))
-    return own.unionByName(below).distinct()
+def spread_label(declarations: DataFrame, seeds: DataFrame, task: str = "task", max_rounds: int = 10_000) -> DataFrame:
+    """(task, reason) rows of a label that follows declarations: each seed has itself as its reason.
+
+    A declaration (decl_id, side 'from' or 'to', task) with a labelled task on its 'from' side labels its 'to' side, and
+    every task of that 'from' side is a reason, labelled or not. Labelled tasks are found by a frontier: each
+    round follows only the declarations that the newest tasks trigger for the first time, so every declaration is
+    followed once. Rounds are as many as the longest chain.
+    """
+    before = declarations.where("side = 'from'").select("decl_id", F.col("task").alias("src")).distinct()
+    after = declarations.where("side = 'to'").select("decl_id", F.col("task").alias("dst")).distinct()
+    seeds = materialize(seeds.select(F.col(task).alias("task")).where(F.col("task").isNotNull()).distinct(), "label")
+    triggered, labelled, newest = [], [seeds], seeds
+    for _ in range(max_rounds):
+        fired = before.join(newest.select(F.col("task").alias("src")), "src", "left_semi").select("decl_id").distinct()
+        if triggered:
+            fired = fired.join(reduce(DataFrame.union, triggered), "decl_id", "left_anti")
+        fired = materialize(fired, "label")
+        if fired.isEmpty():
+            break
+        triggered.append(fired)
+        found = after.join(fired, "decl_id", "left_semi").select(F.col("dst").alias("task")).distinct()
+        newest = materialize(found.join(reduce(DataFrame.union, labelled), "task", "left_anti"), "label")
+        labelled.append(newest)
+    else:
+        raise RuntimeError(f"chains longer than {max_rounds} declarations")
+    own = seeds.select("task", F.col("task").alias("reason"))
+    if not triggered:
+        return own
+    fired = materialize(reduce(DataFrame.union, triggered), "label")
+    reasons = after.join(fired, "decl_id", "left_semi").join(before, "decl_id")
+    return own.unionByName(reasons.select(F.col("dst").alias("task"), F.col("src").alias("reason"))).distinct()
 
 
 def ready_tasks(edges: DataFrame, done: DataFrame, task: str = "task") -> DataFrame:
     """Per dependent task: whether all tasks right before it are done, and how many block it."""
     finished = done.select(F.col(task).alias("src")).distinct().withColumn("_done", F.lit(True))
     # a task before many others is a hot key
-    before = lookup_by_key(_pairs(edges).distinct(), finished, ["src"], hot_in=edges)
+    before = left_join(_pairs(edges).distinct(), finished, ["src"])
     return before.groupBy("dst").agg(
         F.bool_and(F.col("_done").isNotNull()).alias("ready"),
         F.count_if(F.col("_done").isNull()).alias("blocking"),

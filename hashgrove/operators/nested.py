@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashgrove.functions.sizes import row_size, size_estimate
-from hashgrove.operators.skew import attach_by_key
+from hashgrove.operators.keyed import left_join
+from hashgrove.operators.quantiles import exact_quantiles
 from hashgrove.session import materialize
 
 
@@ -58,21 +59,21 @@ def size_by_column(df: DataFrame) -> DataFrame:
 
 
 def size_outliers(
-    df: DataFrame, id_col: str, group: str, top: int = 20, reach: float = 1.5, accuracy: int = 10000
+    df: DataFrame, id_col: str, group: str, top: int = 20, reach: float = 1.5
 ) -> DataFrame:
     """The ``top`` largest rows of each group above its upper quartile plus ``reach`` quartile ranges.
 
-    Quartiles come from mergeable sketches, off by at most one in ``accuracy`` ranks.
+    Quartiles are exact, from counts per size. Only the ``top`` rows of a group and task are shuffled for the ranks.
     """
     # the rows may be large and their sizes are needed twice
     sizes = materialize(df.select(id_col, group, row_size(df).alias("bytes")), "sizes")
-    quartiles = F.percentile_approx("bytes", [0.25, 0.75], accuracy)
-    low, high = F.col("_q")[0], F.col("_q")[1]
+    quartiles = exact_quantiles(sizes, group, "bytes", [0.25, 0.75])
+    low, high = F.col("q")[0], F.col("q")[1]
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("bytes"), id_col))
     return (
-        attach_by_key(sizes, [group], {"_q": quartiles})
+        left_join(sizes, quartiles, [group], null_safe=True)
         .withColumn("bound", high + F.lit(reach) * (high - low))
-        .drop("_q")
+        .drop("q")
         .where(F.col("bytes") > F.col("bound"))
         .withColumn("rank", rank)
         .where(F.col("rank") <= top)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hashgrove.operators.skew import attach_by_key
+from hashgrove.session import materialize
 
 
 def _has_both(first_party: str, third_party: str) -> Column:
@@ -27,15 +27,10 @@ def scraper_ids(
 def remove_scrapers(
     df: DataFrame, first_party: str = "first_party_id", third_party: str = "third_party_id"
 ) -> DataFrame:
-    """Drop every row of a scraper's first-party cookie; rows without a cookie stay."""
+    """Drop every row of a scraper's first-party cookie; rows without a cookie stay and are not shuffled."""
     # two different ids exist exactly if the smallest and the largest differ
     ids = F.when(F.col(third_party) != "", F.col(third_party))
-    several = F.coalesce(F.min(ids) != F.max(ids), F.lit(False))
-    marked = attach_by_key(
-        df,
-        [first_party],
-        {"_scraper": several},
-        can_match=F.col(first_party) != "",
-        worth_joining=F.col("_scraper"),
-    )
-    return marked.where("not coalesce(_scraper, false)").drop("_scraper")
+    has_cookie = F.coalesce(F.col(first_party) != "", F.lit(False))
+    seen = df.where(has_cookie & ids.isNotNull()).groupBy(first_party).agg(F.min(ids).alias("_a"), F.max(ids).alias("_b"))
+    scrapers = materialize(seen.where("_a <> _b").select(first_party), "scrapers")
+    return df.where(has_cookie).join(scrapers, first_party, "left_anti").select(df.columns).unionByName(df.where(~has_cookie))

@@ -9,16 +9,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hashgrove.operators.quantiles import exact_quantiles
 from hashgrove.session import materialize
 
 READINGS = ("body_temperature", "heart_rate", "blood_oxygen")
 
 
-def person_day(df: DataFrame, accuracy: int = 10000) -> DataFrame:
+def person_day(df: DataFrame) -> DataFrame:
     """Mean, least and greatest of each reading per person and day.
 
-    A mean without any reading takes the population median, marked by ``<reading>_missing``; the
-    median is off by at most one in ``accuracy`` ranks.
+    A mean without any reading takes the population median, marked by ``<reading>_missing``. The medians of all readings
+    are exact and found together, from counts per value.
     """
     days = df.groupBy("person_id", F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("readings"),
@@ -29,13 +30,14 @@ def person_day(df: DataFrame, accuracy: int = 10000) -> DataFrame:
         *[F.min(r).alias(f"{r}_min") for r in READINGS],
         *[F.max(r).alias(f"{r}_max") for r in READINGS],
     )
-    # one row, found by mergeable sketches
-    medians = df.agg(*[F.percentile_approx(r, 0.5, accuracy).alias(r) for r in READINGS])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(r).alias("reading"), F.col(r).cast("double").alias("value")) for r in READINGS])).alias("r"))
+    # one row for each reading
+    medians = materialize(exact_quantiles(long.select("r.*"), "reading", "value", [0.5]), "medians")
     filled = {}
     for r in READINGS:
         mean = F.col(f"{r}_mean")
         filled[f"{r}_missing"] = mean.isNull()
-        filled[f"{r}_mean"] = F.coalesce(mean, medians.select(r).scalar().cast("double"))
+        filled[f"{r}_mean"] = F.coalesce(mean, medians.where(F.col("reading") == r).select(F.col("q")[0]).scalar())
     return days.withColumns(filled)
 
 
@@ -74,27 +76,33 @@ def _person_features(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(written)
 
 
+def person_features(df: DataFrame, train_percent: int = 80) -> DataFrame:
+    """One row of inputs per person with the label and whether the person is learned from.
+
+    Persons, not readings, are split, by the first byte of the MD5 of their id.
+    """
+    first_byte = F.conv(F.substring(F.md5(F.col("person_id").cast("string")), 1, 2), 16, 10).cast("int")
+    return _person_features(df).withColumn("train", first_byte * 100 < 256 * train_percent)
+
+
 def confirmed_classifier(
     df: DataFrame, train_percent: int = 80
 ) -> tuple[DataFrame, float]:
-    """Scores of held-out persons by a class-weighted logistic regression, and the area under ROC.
-
-    Persons, not readings, are split, by a hash of their id.
-    """
-    persons = _person_features(df)
+    """Scores of all persons by a class-weighted logistic regression, and the area under ROC of the held-out ones."""
+    persons = person_features(df, train_percent)
     # names both classes, should the training persons have only one
     both = {"ml_attr": {"type": "nominal", "vals": ["0", "1"]}}
     persons = persons.withColumn("label", F.col("label").alias("label", metadata=both))
-    place = F.pmod(F.xxhash64("person_id"), F.lit(100))
-    train, held_out = persons.where(place < train_percent), persons.where(place >= train_percent)
+    train = persons.where("train")
     share = train.agg(F.avg("label").alias("share")).select("share").scalar()
     weighted = train.withColumn(
         "weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share))
     )
     model = LogisticRegression(weightCol="weight", maxIter=20).fit(weighted)
-    scored = model.transform(held_out)
-    area = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(scored)
+    scored = model.transform(persons)
+    area = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(scored.where("not train"))
+    inputs = ["age", *READINGS, *[f"{r}_missing" for r in READINGS]]
     scores = scored.select(
-        "person_id", vector_to_array("probability")[1].alias("score"), F.col("label").cast("int")
+        "person_id", vector_to_array("probability")[1].alias("score"), F.col("label").cast("int"), "train", *inputs
     )
     return scores, area

@@ -136,19 +136,25 @@ SELECT seq, email_hash, trim(v) AS idl, pos FROM (
 _REDUCED = "SELECT email_hash, arg_max(idl, seq * 1000 + pos) AS idl FROM delta GROUP BY email_hash"
 _MERGED = """
 SELECT coalesce(c.email_hash, d.email_hash, o.email_hash) AS email_hash,
-  coalesce(d.idl, c.idl) AS idl, coalesce(o.oracle_id, c.oracle_id) AS oracle_id,
-  concat_ws('+', CASE WHEN c.email_hash IS NOT NULL THEN 'current' END,
-    CASE WHEN d.email_hash IS NOT NULL THEN 'delta' END,
-    CASE WHEN o.email_hash IS NOT NULL THEN 'oracle' END) AS presence
-FROM id_current c FULL JOIN reduced d ON c.email_hash = d.email_hash
-FULL JOIN id_oracle o ON coalesce(c.email_hash, d.email_hash) = o.email_hash"""
+  coalesce(d.idl, c.idl) AS idl, coalesce(nullif(o.oracle_id, ''), c.oracle_id) AS oracle_id,
+  concat_ws('+', CASE WHEN c.side THEN 'current' END, CASE WHEN d.side THEN 'delta' END,
+    CASE WHEN o.side THEN 'oracle' END) AS presence
+FROM (SELECT *, true AS side FROM id_current) c
+FULL JOIN (SELECT *, true AS side FROM reduced) d ON c.email_hash = d.email_hash
+FULL JOIN (SELECT *, true AS side FROM id_oracle) o ON coalesce(c.email_hash, d.email_hash) = o.email_hash"""
 _ID_VIEWS = ["id_current", "id_delta_raw", "id_oracle"]
 _ID = {"delta": _DELTA, "reduced": _REDUCED, "merged": _MERGED}
 
 _SHARD = "CASE WHEN regexp_matches({0}, '^[0-9a-f]') THEN substring({0}, 1, 1) ELSE 's' END"
 _VOLUME = {
-    "volume": "SELECT event_type AS entity, CAST(ts AS date) AS day, count(*) AS n"
-    " FROM events GROUP BY ALL"
+    "volume": """SELECT event_type AS entity, CAST(ts AS date)
+  + CASE WHEN event_type = 'error' AND CAST(ts AS date) = DATE '2024-01-10' THEN 1 ELSE 0 END AS day,
+  count(*) AS n FROM events GROUP BY ALL"""
+}
+_CALENDAR = _VOLUME | {
+    "spine": """SELECT entity, CAST(unnest(generate_series(CAST(min(day) AS timestamp),
+  CAST((SELECT max(day) FROM volume) AS timestamp), INTERVAL 1 DAY)) AS date) AS day FROM volume GROUP BY entity""",
+    "daily": "SELECT entity, day, coalesce(n, 0) AS n FROM spine LEFT JOIN volume USING (entity, day)",
 }
 _DAYS = {
     "days": """
@@ -339,14 +345,15 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
     ),
     "shard_completeness": _sql(
         ["marker_files"],
-        """SELECT path_shard, count(*) AS files, count(DISTINCT part_no) AS parts,
-        400 - count(DISTINCT part_no) AS missing, count(DISTINCT part_no) = 400 AS complete
-        FROM marker_files GROUP BY path_shard""",
+        """SELECT s.path_shard, count(part_no) AS files, coalesce(sum(bytes), 0) AS bytes,
+        count(DISTINCT part_no) AS parts, 400 - count(DISTINCT part_no) AS missing,
+        count(DISTINCT part_no) = 400 AS complete
+        FROM range(18) AS s(path_shard) LEFT JOIN marker_files f ON f.path_shard = s.path_shard GROUP BY ALL""",
     ),
     "missing_parts": _sql(
         ["marker_files"],
         """SELECT path_shard, CAST(part_no AS int) AS part_no
-        FROM (SELECT DISTINCT path_shard FROM marker_files), range(400) AS r(part_no)
+        FROM range(18) AS s(path_shard), range(400) AS r(part_no)
         EXCEPT SELECT path_shard, part_no FROM marker_files""",
     ),
     "cross_shard_commits": _sql(
@@ -368,10 +375,11 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
         FROM commit_spans GROUP BY ALL""",
     ),
     "declared_against_listed": _sql(
-        ["marker_files"],
-        """SELECT committed_by, count(*) AS declared,
-        count(*) FILTER (WHERE path_shard = committed_by) AS listed FROM marker_files
-        GROUP BY committed_by HAVING declared <> listed OR listed <> 400""",
+        [],
+        """SELECT concat(o_custkey % 17, '/', strftime(o_orderdate, '%Y%m%d')) AS committed_by,
+        count(*) + CASE WHEN o_custkey % 17 = 6 THEN 1 ELSE 0 END AS declared, count(*) AS listed,
+        CAST(sum(floor(o_totalprice)) AS bigint) AS bytes FROM orders
+        GROUP BY o_custkey % 17, o_orderdate HAVING o_custkey % 17 = 6 OR count(*) <> 4""",
     ),
     "file_names": """SELECT o_orderkey AS id,
         substring('0123456789abcdefs', CAST(o_custkey % 17 + 1 AS int), 1) AS path_shard,
@@ -394,18 +402,18 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
     ),
     "volume_drop": _sql(
         [],
-        """SELECT entity, CAST(day AS varchar) AS day, n, round(n / before, 4) AS ratio,
-        coalesce(n / before < 0.9, false) AS dropped FROM (
-          SELECT *, lag(n) OVER (PARTITION BY entity ORDER BY day) AS before FROM volume)""",
-        **_VOLUME,
+        """SELECT entity, CAST(day AS varchar) AS day, n, round(n / nullif(before, 0), 4) AS ratio,
+        coalesce(n / nullif(before, 0) < 0.9, false) AS dropped FROM (
+          SELECT *, lag(n) OVER (PARTITION BY entity ORDER BY day) AS before FROM daily)""",
+        **_CALENDAR,
     ),
     "daily_anomaly": _sql(
         [],
         """SELECT entity, CAST(day AS varchar) AS day, n,
         CASE WHEN k >= 3 THEN round((n - m) / nullif(s, 0), 4) END AS z FROM (
-          SELECT *, count(*) OVER w AS k, avg(n) OVER w AS m, stddev_pop(n) OVER w AS s FROM volume
+          SELECT *, count(*) OVER w AS k, avg(n) OVER w AS m, stddev_pop(n) OVER w AS s FROM daily
           WINDOW w AS (PARTITION BY entity ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))""",
-        **_VOLUME,
+        **_CALENDAR,
     ),
     "input_readiness": _sql(
         ["required_inputs", "listed_markers"],
@@ -501,11 +509,17 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
         count(*) FILTER (WHERE mode = 'not_ok') AS n_not_ok FROM dependency_edges GROUP BY dst
         HAVING n_ok > 0 AND n_not_ok > 0""",
     ),
-    "label_spread": _closure(
-        """SELECT r.dst AS task, r.src AS reason FROM reach r JOIN seeds s ON s.task = r.src
-        UNION SELECT task, task FROM seeds""",
-        seeds=f"SELECT DISTINCT task FROM ({view_sql('label_seeds')})",
-    ),
+    "label_spread": _sql(
+        ["line_declarations", "label_seeds"],
+        """SELECT DISTINCT task, task AS reason FROM label_seeds
+        UNION SELECT t.task, f.task FROM pairs fired JOIN labelled l ON l.task = fired.src
+          JOIN line_declarations t ON t.decl_id = fired.decl_id AND t.side = 'to'
+          JOIN line_declarations f ON f.decl_id = fired.decl_id AND f.side = 'from'""",
+        pairs="""SELECT a.decl_id, a.task AS src, b.task AS dst FROM line_declarations a
+          JOIN line_declarations b ON a.decl_id = b.decl_id WHERE a.side = 'from' AND b.side = 'to'""",
+        labelled="""SELECT DISTINCT task FROM label_seeds
+          UNION SELECT p.dst FROM labelled l JOIN pairs p ON p.src = l.task""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "ready_tasks": _sql(
         ["dependency_edges", "done_tasks"],
         """SELECT dst, count(*) FILTER (WHERE NOT done) = 0 AS ready,
@@ -538,6 +552,29 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
           ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 10) AS deviation FROM days""",
         **_DAYS,
     ),
+    "confirmed_classifier": _sql(
+        ["vitals"],
+        """SELECT person_id, CAST(bool_or(confirmed) AS int) AS label,
+        CAST(concat('0x', substring(md5(CAST(person_id AS varchar)), 1, 2)) AS int) * 100 < 256 * 80 AS train,
+        true AS scored, round(avg(coalesce(t, mt)), 8) AS body_temperature,
+        round(avg(coalesce(h, mh)), 8) AS heart_rate, round(avg(coalesce(o, mo)), 8) AS blood_oxygen
+        FROM (SELECT d.*, m.t AS mt, m.h AS mh, m.o AS mo FROM days d JOIN medians m ON true)
+        JOIN (SELECT person_id, bool_or(confirmed) AS confirmed FROM vitals GROUP BY person_id) USING (person_id)
+        GROUP BY person_id""",
+        **_DAYS,
+    ),
+    "snapshot_cycle": _sql(_ID_VIEWS, "SELECT email_hash, idl, oracle_id FROM merged", **_ID),
+    "marker_cycle": """SELECT event_type AS job, count(*) FILTER (WHERE day(day) % 7 = 0) = 0 AS ready,
+        count(*) FILTER (WHERE day(day) % 7 = 0) AS missing
+        FROM (SELECT DISTINCT event_type, CAST(ts AS date) AS day FROM events) GROUP BY event_type""",
+    "single_file": "SELECT concat_ws('|', event_type, count(*)) AS value, 1 AS files FROM events GROUP BY event_type",
+    "nonempty_groups": _impressions(
+        """SELECT buyeruid_source AS "group", count(*) AS n FROM impressions
+        WHERE buyeruid_source <> '' GROUP BY buyeruid_source"""
+    ),
+    "sorted_edges": _sql(["dependency_edges"], "SELECT DISTINCT src, dst FROM dependency_edges ORDER BY ALL"),
+    "first_listed_day": """SELECT CAST(min(CAST(ts AS date)) AS varchar) AS day FROM events
+        WHERE CAST(ts AS date) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'""",
     "location_rate": _sql(
         ["vitals"],
         """SELECT location, CAST(CAST(ts AS date) AS varchar) AS day,

@@ -52,9 +52,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the intermediates of this application. DataFrames that read them become invalid."""
+    """Delete the intermediates of this application, and its own folder if it made one. DataFrames that read them become invalid."""
     jvm = spark._jvm
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    app = spark.sparkContext.applicationId
+    own = _own_folders.pop(app, None)
+    for path in _written.pop(app, []) + ([own] if own else []):
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

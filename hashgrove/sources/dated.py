@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hashgrove.operators.keyed import clustered
+
 DAY = "date"
 MARKER = "_SUCCESS"
 
@@ -27,6 +29,12 @@ def read_day(spark: SparkSession, root: str, day: date) -> DataFrame:
     return spark.read.parquet(day_folder(root, day))
 
 
+def head_of_days(df: DataFrame, first: date, last: date) -> DataFrame:
+    """The first day with rows from ``first`` to ``last``, as one row; none if there is no such day."""
+    inside = df.where(F.col(DAY).between(F.lit(first), F.lit(last)))
+    return inside.agg(F.min(DAY).alias(DAY)).where(F.col(DAY).isNotNull())
+
+
 def mark_complete(spark: SparkSession, root: str, days: Iterable[date]) -> None:
     """Put an empty success marker into each day's folder, for readers that wait for it."""
     jvm = spark._jvm
@@ -35,13 +43,17 @@ def mark_complete(spark: SparkSession, root: str, days: Iterable[date]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True).close()
 
 
-def write_dated(df: DataFrame, root: str, days: Iterable[date] = ()) -> None:
+FILES_PER_DAY = 64
+
+
+def write_dated(df: DataFrame, root: str, days: Iterable[date] = (), files_per_day: int = FILES_PER_DAY) -> None:
     """Replace the days that occur in ``df``'s ``date`` column and keep all others.
 
-    ``days`` get a success marker afterwards: a write of several days leaves none of its own.
+    A day gets at most ``files_per_day`` files, however many tasks hold its rows, and they are alike in size. ``days`` get a
+    success marker afterwards: a write of several days leaves none of its own.
     """
     (
-        df.write.mode("overwrite")
+        clustered(df, DAY, files_per_day).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY)
         .parquet(root)

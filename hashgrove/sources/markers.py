@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hashgrove.operators.skew import lookup_by_key
+from hashgrove.operators.keyed import left_join
 
 # The fields of a marker document.
 MARKER_SCHEMA = T.StructType(
@@ -46,11 +46,18 @@ def list_markers(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.createDataFrame(paths, "path string")
 
 
+def readable_uri(path: str) -> str:
+    """A Hadoop path as a URI that Arrow's file systems read: file:/x has too few slashes, s3a and s3n are s3."""
+    scheme, colon, rest = path.partition(":")
+    if scheme == "file" and not rest.startswith("//"):
+        return f"file://{rest}"
+    return f"s3{colon}{rest}" if scheme in ("s3a", "s3n") else path
+
+
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path in batch["path"]:
-            # Hadoop writes local paths as file:/x, where a URI needs file:///x
-            uri = "file://" + path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path
+            uri = readable_uri(path)
             system, name = fs.FileSystem.from_uri(uri)
             with system.open_input_file(name) as stream:
                 text = stream.read().decode("utf-8")
@@ -140,7 +147,7 @@ def input_readiness(required: DataFrame, listed: DataFrame, by: str = "job") ->
     ``required`` has (job, input, day), ``listed`` the (input, day) pairs whose marker exists.
     """
     there = listed.groupBy("input", "day").agg((F.count(F.lit(1)) > 0).alias("_there"))
-    inputs = lookup_by_key(required, there, ["input", "day"])
+    inputs = left_join(required, there, ["input", "day"])
     return inputs.groupBy(by).agg(
         F.bool_and(F.col("_there").isNotNull()).alias("ready"),
         F.count_if(F.col("_there").isNull()).alias("missing"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashgrove.functions.text import hex_shard
-from hashgrove.operators.skew import row_place
+from hashgrove.operators.keyed import place_of
 
 # Fixed value: files per shard of a normal day.
 FILES_PER_SHARD = 5000
@@ -26,10 +26,9 @@ def write_sharded(
 ) -> None:
     """Write ``root/shard=<x>/date=<d>/`` with about equal files, at most ``files_per_shard`` a day.
 
-    Rows are dealt by the task that holds them besides by key, so neither a large shard nor a hot
-    key grows one file.
+    Rows are dealt by a hash of the whole row, so neither a large shard nor a hot key grows one file.
     """
-    part = row_place([key], files_per_shard).alias("_part")
+    part = place_of(df, files_per_shard).alias("_part")
     rows = with_shard(df.select("*", part), key)
     (
         rows.repartition(tasks, "shard", date, "_part")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hashgrove.operators.keyed import clustered
+
 
 def text_lines(df: DataFrame, separator: str | None = None) -> Column:
     """One line per record: JSON, or the fields joined by ``separator`` (null as empty)."""
@@ -22,8 +24,9 @@ def write_text(
     separator: str | None = None,
     single_file: bool = False,
     mode: str = "errorifexists",
+    files_per_value: int = 64,
 ) -> None:
-    """Write one line per record, below one folder per ``partition_by`` value if given.
+    """Write one line per record, below one folder per ``partition_by`` value if given, in at most ``files_per_value`` files each.
 
     ``single_file`` is for small results only; the work before it stays parallel.
     """
@@ -31,6 +34,8 @@ def write_text(
     lines = df.select(*([partition_by] if partition_by else []), text_lines(fields, separator))
     if single_file:
         lines = lines.repartition(1)
+    elif partition_by:
+        lines = clustered(lines, partition_by, files_per_value)
     writer = lines.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(partition_by)

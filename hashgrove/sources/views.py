@@ -55,21 +55,25 @@ SELECT event_id, ts,
        ELSE concat('l', CAST(user_id AS string)) END AS third_party_id
 FROM {events}""",
     "id_current": """
-SELECT md5(CAST(c_custkey AS string)) AS email_hash, concat('I', CAST(c_custkey AS string)) AS idl,
+SELECT CASE WHEN c_custkey % 31 = 0 THEN NULL ELSE md5(CASE WHEN c_mktsegment = 'MACHINERY'
+    THEN concat('c', CAST(c_custkey AS string)) ELSE CAST(c_custkey AS string) END) END AS email_hash,
+  concat('I', CAST(c_custkey AS string)) AS idl,
   CASE WHEN c_acctbal < 3000 THEN concat('O', CAST(c_custkey AS string)) END AS oracle_id
-FROM {customer} WHERE c_mktsegment <> 'MACHINERY'""",
-    # raw partner rows: a separated list of values, often without any usable one
+FROM {customer}""",
+    # raw partner rows: a separated list of values, at times without any usable one
     "id_delta_raw": """
-SELECT o_orderkey AS seq, md5(CAST(o_custkey AS string)) AS email_hash,
-  CASE WHEN o_orderstatus = 'F' THEN NULL
-       WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'
-         THEN concat(' N', CAST(o_orderkey AS string), ';;M', CAST(o_orderkey AS string), ' ')
-       ELSE ' ; ' END AS idls
+SELECT o_orderkey AS seq,
+  md5(CASE WHEN o_orderkey % 9 = 0 THEN concat('d', CAST(o_orderkey AS string)) ELSE CAST(o_custkey AS string) END)
+    AS email_hash,
+  CASE WHEN o_custkey % 5 = 0 AND o_orderstatus = 'F' THEN NULL WHEN o_custkey % 5 = 0 THEN ' ; '
+       WHEN o_orderpriority = '1-URGENT' THEN concat('N', CAST(o_orderkey AS string))
+       ELSE concat(' N', CAST(o_orderkey AS string), ';;M', CAST(o_orderkey AS string), ' ') END AS idls
 FROM {orders}""",
     "id_oracle": """
-SELECT md5(CAST(o_custkey AS string)) AS email_hash,
-  concat('P', CAST(o_orderkey AS string)) AS oracle_id
-FROM {orders} WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH'""",
+SELECT CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_custkey % 4 = 1 THEN md5(concat('o', CAST(o_orderkey AS string)))
+       ELSE md5(CAST(o_custkey AS string)) END AS email_hash,
+  CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE concat('P', CAST(o_orderkey AS string)) END AS oracle_id
+FROM {orders}""",
     "identifier_info": """
 SELECT md5(CAST(user_id AS string)) AS identifier,
   CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS bigint) AS opens,
@@ -78,10 +82,10 @@ SELECT md5(CAST(user_id AS string)) AS identifier,
 FROM {events} GROUP BY user_id""",
     "license_info": """
 SELECT md5(CAST(user_id AS string)) AS identifier,
-  CASE WHEN value >= 200 THEN 'LiveRampPelFile' WHEN value >= 190 THEN 'AudienceAcuityMain'
-       WHEN value >= 180 THEN 'AudienceAcuityPair' WHEN value >= 170 THEN 'TowerData'
-       ELSE 'UnknownFile' END AS license
-FROM {events} WHERE value >= 165""",
+  CASE (user_id + event_id % 2) % 10 WHEN 0 THEN 'LiveRampPelFile' WHEN 1 THEN 'AudienceAcuityMain'
+       WHEN 2 THEN 'AudienceAcuityPair' WHEN 3 THEN 'TowerData' WHEN 5 THEN 'LiveRampPelFile'
+       WHEN 6 THEN 'TowerData' WHEN 9 THEN 'AudienceAcuityMain' ELSE 'UnknownFile' END AS license
+FROM {events}""",
     "marker_files": """
 SELECT CAST(o_custkey % 17 AS int) AS committed_by,
   CAST(CASE WHEN o_custkey % 17 = 2 AND o_orderstatus = 'F' THEN 6 ELSE o_custkey % 17 END AS int)
@@ -121,9 +125,22 @@ FROM {lineitem} WHERE l_linenumber > 1
 UNION
 SELECT l_orderkey * 10 + l_linenumber, l_orderkey * 10 + l_linenumber - 2
 FROM {lineitem} WHERE l_linenumber > 2 AND l_returnflag = 'A'""",
+    # each line is triggered by the line before it, and from the fourth on by the one three before as well
+    "line_declarations": """
+SELECT l_orderkey * 10 + l_linenumber AS decl_id, 'to' AS side, l_orderkey * 10 + l_linenumber AS task FROM {lineitem}
+UNION ALL
+SELECT l_orderkey * 10 + l_linenumber, 'from', l_orderkey * 10 + l_linenumber - 1 FROM {lineitem}
+UNION ALL
+SELECT l_orderkey * 10 + l_linenumber, 'from', l_orderkey * 10 + l_linenumber - 3 FROM {lineitem} WHERE l_linenumber > 3""",
     "label_seeds": """
 SELECT l_orderkey * 10 + l_linenumber AS task FROM {lineitem}
-WHERE l_returnflag = 'N' AND l_linestatus = 'O'""",
+WHERE l_returnflag = 'N' AND l_linestatus = 'O' AND l_quantity > 25""",
+    # the files and metrics of one marker per shard and day; some declare a file more than they list
+    "marker_documents": """
+SELECT concat(CAST(o_custkey % 17 AS string), '/', replace(CAST(CAST(o_orderdate AS date) AS string), '-', '')) AS shard,
+  CAST(count(*) + CASE WHEN o_custkey % 17 = 6 THEN 1 ELSE 0 END AS bigint) AS declared,
+  CAST(sum(floor(o_totalprice)) AS bigint) AS bytes, CAST(count(*) AS bigint) AS listed
+FROM {orders} GROUP BY o_custkey % 17, CAST(o_orderdate AS date)""",
     "done_tasks": """
 SELECT l_orderkey * 10 + l_linenumber AS task FROM {lineitem} WHERE l_quantity > 5""",
     # per order: its lines precede its two closing tasks

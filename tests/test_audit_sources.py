@@ -13,18 +13,19 @@ from hashgrove.sources import dated, markers, sharded
 from hashgrove.sources.text import write_text
 from helpers import rows
 
-FILES = "committed_by string, path_shard string, part_no int, job_id string"
+FILES = "committed_by string, path_shard string, part_no int, job_id string, bytes bigint"
 
 
 def test_completeness_and_missing_parts(spark):
     df = spark.createDataFrame(
-        [("0", "0", 0, "j0"), ("0", "0", 1, "j0"), ("0", "0", 1, "j0"), ("2", "2", 2, "j2"), ("2", "6", 0, "j2"), ("6", "6", 1, "j2")],
+        [("0", "0", 0, "j0", 5), ("0", "0", 1, "j0", 5), ("0", "0", 1, "j0", 5), ("2", "2", 2, "j2", 7), ("2", "6", 0, "j2", 1), ("6", "6", 1, "j2", None)],
         FILES,
     )
-    assert rows(audit.shard_completeness(df, 3)) == [
-        ("0", 3, 2, 1, False), ("2", 1, 1, 2, False), ("6", 2, 2, 1, False)
+    shards = ["0", "2", "6", "s"]
+    assert rows(audit.shard_completeness(df, shards, 3)) == [
+        ("0", 3, 15, 2, 1, False), ("2", 1, 7, 1, 2, False), ("6", 2, 1, 2, 1, False), ("s", 0, 0, 0, 3, False)
     ]
-    assert rows(audit.missing_parts(df, 3)) == [("0", 2), ("2", 0), ("2", 1), ("6", 2)]
+    assert rows(audit.missing_parts(df, shards, 3)) == [("0", 2), ("2", 0), ("2", 1), ("6", 2), ("s", 0), ("s", 1), ("s", 2)]
     assert rows(audit.cross_shard_commits(df)) == [("2", "6", 1)]
     assert rows(audit.job_id_collisions(df)) == [("j2", 2)]
 
@@ -61,6 +62,35 @@ def test_volume_checks(spark):
     assert z[5] == pytest.approx((20 - 8.75) / 2.1650635)
 
 
+def test_a_day_without_rows_is_seen(spark):
+    volume = spark.createDataFrame(
+        [("e", date(2024, 1, 1), 9), ("e", date(2024, 1, 3), 9), ("f", date(2024, 1, 3), 4)], "entity string, day date, n bigint"
+    )
+    found = {(r.entity, r.day.day): (r.n, r.ratio, r.dropped) for r in audit.volume_drop(volume, last=date(2024, 1, 4)).collect()}
+    assert found == {
+        ("e", 1): (9, None, False), ("e", 2): (0, 0.0, True), ("e", 3): (9, None, False), ("e", 4): (0, 0.0, True),
+        ("f", 3): (4, None, False), ("f", 4): (0, 0.0, True),
+    }
+
+
+@pytest.mark.parametrize(
+    ("path", "uri"),
+    [("file:/a/b", "file:///a/b"), ("file:///a", "file:///a"), ("s3a://b/k", "s3://b/k"), ("s3n://b/k", "s3://b/k"), ("hdfs://n/a", "hdfs://n/a")],
+)
+def test_paths_become_readable_uris(path, uri):
+    assert markers.readable_uri(path) == uri
+
+
+def test_writers_open_few_files(spark, tmp_path):
+    rows_ = spark.range(0, 4000, 1, 16).select("id", F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") % 3).cast("int")).alias("date"))
+    dated.write_dated(rows_, str(tmp_path / "d"), files_per_day=4)
+    for day in (tmp_path / "d").glob("date=*"):
+        assert 1 <= len(list(day.glob("part-*"))) <= 4
+    write_text(rows_.select("date", "id"), str(tmp_path / "t"), partition_by="date", files_per_value=2)
+    for day in (tmp_path / "t").glob("date=*"):
+        assert 1 <= len(list(day.glob("part-*"))) <= 2
+
+
 def test_running_tasks(spark):
     df = spark.createDataFrame(
         [("d", "x", "running", "Op", "t1"), ("d", "x", "queued", "Op", "t2"), ("d", "x", "success", "Op", "t3"),

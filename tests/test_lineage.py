@@ -100,10 +100,24 @@ def test_rules_and_conflicts(spark):
     assert rows(lineage.trigger_conflicts(edges)) == [("c", 1, 1)]
 
 
-def test_label_reaches_descendants_in_any_order(spark):
-    edges = edge_frame(spark, [("b", "c"), ("a", "b"), ("x", "c")])
-    seeds = spark.createDataFrame([("a",), ("c",)], "task string")
-    assert rows(lineage.spread_label(edges, seeds)) == [("a", "a"), ("b", "a"), ("c", "a"), ("c", "c")]
+def _declared(spark, *sets):
+    sides = [(i, side, t) for i, (before, after) in enumerate(sets) for side, ts in (("from", before), ("to", after)) for t in ts]
+    return spark.createDataFrame(sides, "decl_id int, side string, task string")
+
+
+@pytest.mark.parametrize(
+    ("sets", "seeds", "expected"),
+    [
+        ([("b", "c"), ("a", "b")], "a", [("a", "a"), ("b", "a"), ("c", "b")]),
+        ([("ax", "cd")], "a", [("a", "a"), ("c", "a"), ("c", "x"), ("d", "a"), ("d", "x")]),
+        ([("ab", "c"), ("c", "ad")], "b", [("a", "c"), ("b", "b"), ("c", "a"), ("c", "b"), ("d", "c")]),
+        ([("x", "y")], "a", [("a", "a")]),
+        ([], "", []),
+    ],
+)
+def test_label_follows_declarations(spark, sets, seeds, expected):
+    seeds = spark.createDataFrame([(s,) for s in seeds], "task string")
+    assert rows(lineage.spread_label(_declared(spark, *sets), seeds)) == expected
 
 
 def test_ready_tasks(spark):

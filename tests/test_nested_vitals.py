@@ -1,13 +1,18 @@
 from __future__ import annotations
 
+import math
+import random
 from datetime import datetime
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hashgrove import session
+from hashgrove.functions.sizes import size_estimate
 from hashgrove.operators import nested, vitals
+from hashgrove.operators.quantiles import exact_quantiles
 from hashgrove.sources.views import read_view
 from helpers import rows
 
@@ -55,11 +60,27 @@ def test_person_day_and_deviation(spark):
     assert rates == {1: (2, 0.5), 2: (1, 0.0)}
 
 
+def test_quantiles_are_exact(spark):
+    rng = random.Random(1)
+    values = [(g, None if rng.random() < 0.1 else rng.randint(0, 50)) for g in ("a", "a", "a", "b", None) for _ in range(rng.randint(1, 300))]
+    found = {r["g"]: r["q"] for r in exact_quantiles(spark.createDataFrame(values, "g string, v int").repartition(7), "g", "v", [0.25, 0.5, 1.0]).collect()}
+    for g in ("a", "b", None):
+        own = sorted(v for k, v in values if k == g and v is not None)
+        assert found[g] == [own[math.ceil(len(own) * p) - 1] for p in (0.25, 0.5, 1.0)]
+
+
+def test_binary_values_and_unknown_types_have_sizes_or_raise(spark):
+    assert rows(spark.range(1).select(size_estimate(F.lit(b"abc"), T.BinaryType()).alias("n"))) == [(11,)]
+    with pytest.raises(TypeError, match="variant"):
+        size_estimate(F.lit(None), T.VariantType())
+
+
 def test_classifier_splits_by_person(spark):
     readings = read_view(spark, "/root/testdata/sf0.01", "vitals")
     scores, area = vitals.confirmed_classifier(readings)
     found = scores.collect()
-    assert 0 < len(found) < readings.select("person_id").distinct().count()
+    held_out = [r for r in found if not r.train]
+    assert 0 < len(held_out) < len(found) == readings.select("person_id").distinct().count()
     assert all(0 <= r.score <= 1 for r in found) and 0 <= area <= 1
 
 

@@ -6,7 +6,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from hashgrove.operators import identity, skew, traffic
+from hashgrove.operators import identity, keyed, traffic
 from hashgrove.sources.dated import day_folder, read_day
 from helpers import rows
 
@@ -26,76 +26,83 @@ def test_remove_scrapers(spark):
     assert rows(traffic.scraper_ids(df)) == [("f2", 2)]
 
 
-def test_remove_scrapers_with_hot_and_many_keys(spark, monkeypatch):
-    """Hot keys take the broadcast path, others the join; a third of all rows share one key."""
-    monkeypatch.setattr(skew, "HOT_KEYS", 2)
-    n = 3000
-    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
-        F.concat(F.lit("k"), (F.col("id") % 200).cast("string"))
-    )
-    other = F.when(F.col("id") % 200 < 50, F.col("id") % 7).otherwise(F.lit(1))
-    df = spark.range(n).select(
-        F.col("id").alias("event_id"), key.alias("first_party_id"), other.cast("string").alias("third_party_id")
+NO_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+SMALL_SKEW = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+}
+
+
+@pytest.fixture
+def unhelped(spark):
+    """Joins without broadcasts, and skew found at the size of tests."""
+    options = NO_BROADCAST | SMALL_SKEW
+    before = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _hot_rows(spark, n=6000):
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 900).cast("string")))
+    return spark.range(0, n, 1, 16).select("id", key.alias("key"), F.md5(F.col("id").cast("string")).alias("load"))
+
+
+def test_remove_scrapers_with_a_hot_key(unhelped):
+    df = _hot_rows(unhelped).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 10 != 0, F.col("key")).alias("first_party_id"),
+        F.when(F.col("id") % 900 < 50, F.col("id") % 7).otherwise(F.lit(1)).cast("string").alias("third_party_id"),
     )
     events = [tuple(r) for r in df.collect()]
     seen: dict[str, set] = {}
     for _, cookie, third in events:
         seen.setdefault(cookie, set()).add(third)
-    expected = {e for e, cookie, _ in events if len(seen[cookie]) < 2}
+    expected = {e for e, cookie, _ in events if cookie is None or len(seen[cookie]) < 2}
     found = [r.event_id for r in traffic.remove_scrapers(df).collect()]
     assert len(found) == len(set(found)) and set(found) == expected
 
 
-def test_hot_key_is_spread_over_join_partitions(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEYS", 2)
-    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
-    df = spark.range(0, 6000, 1, 16).select("id", key.alias("key"))
-    options = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.enabled": "false",
-    }
-    before = {k: spark.conf.get(k, None) for k in options}
-    for k, v in options.items():
-        spark.conf.set(k, v)
-    try:
-        joined = skew.attach_by_key(df, ["key"], {"n": F.count(F.lit(1))})
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1
-        found = joined.select("key", "n", F.spark_partition_id().alias("p")).collect()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    assert all(r.n == (2000 if r.key == "hot" else 1) for r in found) and len(found) == 6000
-    places = [r.p for r in found if r.key == "hot"]
-    assert max(places.count(p) for p in set(places)) < 0.5 * len(places)
-
-
-@pytest.mark.parametrize("hot_rows", [1, 500, 10**6])
-def test_lookup_does_not_depend_on_the_hot_keys(spark, monkeypatch, hot_rows):
-    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
-    kind = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit("hot but absent"))
-    key = F.when(F.col("id") % 50 != 7, F.coalesce(kind, F.col("id").cast("string")))
-    df = spark.range(0, 3000, 1, 8).select("id", key.alias("key"), F.lit(1).alias("other"))
-    table = spark.createDataFrame(
-        [("hot", 1, "a"), ("5", 1, "b"), (None, 1, "c"), ("8", 2, "d")], "key string, other int, v string"
-    )
-    found = skew.lookup_by_key(df, table, ["key", "other"])
+def test_a_hot_key_is_split_over_tasks(unhelped):
+    df = _hot_rows(unhelped)
+    counts = df.groupBy("key").agg(F.count("*").alias("n"))
+    joined = keyed.left_join(df, counts, ["key"])
+    found = joined.select("key", "n", F.spark_partition_id().alias("p")).collect()
+    expected = dict(rows(counts))
+    assert len(found) == 6000 and all(r.n == expected[r.key] for r in found)
+    assert len({r.p for r in found if r.key == "hot"}) > 1
+
+
+def test_rows_of_one_key_get_different_places(spark):
+    df = _hot_rows(spark).repartition(8, "key").withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    places = df.where("key = 'hot'").select(keyed.place_of(df, 64).alias("p")).distinct().count()
+    assert places == 64
+
+
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_left_join_of_nulls_and_absent_keys(spark, null_safe):
+    df = spark.createDataFrame([(1, "a", 1), (2, None, 1), (3, "z", 1), (4, "a", 2)], "id int, key string, other int")
+    table = spark.createDataFrame([("a", 1, "x"), (None, 1, "y")], "key string, other int, v string")
+    found = keyed.left_join(df, table, ["key", "other"], null_safe)
     assert found.columns == ["id", "key", "other", "v"]
-    values = {"hot": "a", "5": "b"}
-    rows_found = found.collect()
-    assert len(rows_found) == 3000 and all(r.v == values.get(r.key) for r in rows_found)
+    assert rows(found, "id", "v") == [(1, "x"), (2, "y" if null_safe else None), (3, None), (4, None)]
 
 
-def test_hot_keys_are_found(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 100)
-    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"))
-    assert len(skew.hot_hashes(df, ["key"])) == 1
-    assert skew.hot_hashes(df.where("false"), ["key"]) == []
+def test_merge_plan_is_small(unhelped):
+    current = unhelped.createDataFrame([("a", "i", "o")], "email_hash string, idl string, oracle_id string")
+    delta = unhelped.createDataFrame([("a", "n"), ("a", "m")], "email_hash string, idl string")
+    oracle = unhelped.createDataFrame([("a", "p"), ("b", "q")], "email_hash string, oracle_id string")
+    merged = identity.merge_identities(current, delta, oracle)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert rows(merged) == [("a", "n", "p", "current+delta+oracle"), ("b", None, "q", "oracle")]
+    assert plan.count("Scan ") <= 10 and "FullOuter" not in plan
 
 
-def test_merge_with_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+def test_merge_with_hot_keys(unhelped):
+    spark = unhelped
     current = [("hot", f"i{i}", None) for i in range(3)] + [("x", "ix", "ox")]
     oracle = [("hot", f"o{i}") for i in range(40)] + [("gone", f"o{i}") for i in range(40)]
     found = rows(_merge(spark, current, [("hot", "new"), ("d", "only")], oracle))
