@@ -127,7 +127,33 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
+_RULES_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS words FROM d),
+    word AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM w),
+    three AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS copies FROM three WHERE c IS NOT NULL),
+    rep AS (SELECT doc_id, count(DISTINCT i + step) AS n FROM win, (VALUES (0), (1), (2)) AS s(step) WHERE copies > 1 GROUP BY doc_id),
+    line AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+        WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
+    dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM line GROUP BY doc_id),
+    bare AS (SELECT doc_id, regexp_replace(line, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g') AS t FROM line),
+    size AS (SELECT doc_id, t, len(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+')) AS n FROM bare),
+    lost AS (SELECT doc_id, sum(n) AS n FROM size WHERE len(regexp_extract_all(t, '[|»›•·→]')) >= n * 0.2
+        OR len(regexp_extract_all(t, '[#*$%&|<>]')) > (length(t) - n + 1) * 0.1
+        OR (length(t) - n + 1 >= 12 AND len(regexp_extract_all(t, '\p{Lu}')) > (length(t) - n + 1) * 0.6)
+        OR NOT regexp_matches(t, '[.!?:;…。！？]["''”’»)\]]*\s*$')
+        OR regexp_matches(t, '(?i)\b(?:all rights reserved|copyright \S*\s?\d{4}|licensed under|terms (?:of|and) (?:use|service|conditions)|privacy policy|cookie (?:policy|settings)|uses? cookies|javascript|lorem ipsum|click here|read more|sign (?:in|up)|log ?in|subscribe)\b')
+        GROUP BY doc_id),
+    base AS (SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS bigint) AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+        CAST(coalesce(lost.n, 0) AS bigint) AS lost_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+    judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+    SELECT *, NOT base_failed AND lost_words <= n_words * 0.5 AS kept FROM judged"""
+
+
 ORACLES = {
+    "op6_quality_rules": _RULES_SQL,
     "op3_line_dedup": _repeat_sql("string_split(text, chr(10))", f"trim(translate(p, {_SPACES}, '    '))", "chr(10)", ("n_lines", "n_removed"), _LINE_WINDOWS),
     "op8_span_dedup": _repeat_sql(
         # a control character marks the ends of sentences
