@@ -29,7 +29,8 @@ def by_brute_force(spark, rows, benchmark, labels):
     model = toxicity.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     left = {i: t for i, t in rows if scores[i] < 0.7}
-    left = brute(sorted(left.items()), *CASES["lines"][1:])
+    cut = brute(sorted(left.items()), *CASES["lines"][1:])
+    left = {i: t for i, t in cut.items() if t.strip() or not left[i].strip()}
     prints = {i: fingerprint(t, 5) for i, t in left.items()}
     groups = {}
     for i, f in prints.items():

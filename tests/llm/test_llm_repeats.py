@@ -75,6 +75,13 @@ def test_repeated_unit_shrinks_to_one_copy_and_counts(spark, case):
     assert (row["text"].strip(), row["n"], row["gone"]) == ("Same line of seven words in all.", 9, 8)
 
 
+def test_whole_copies_can_be_dropped(spark):
+    text = "\n".join(awkward.texts(n=4)).replace("\n\n", "\n")
+    docs = [(1, text), (2, text), (3, ""), (4, None), (5, text + "\nOne more line."), (6, "Short.")]
+    found = {r["doc_id"]: r["text"] for r in lines.dedupe_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), drop_emptied=True).collect()}
+    assert found == {1: text, 3: "", 4: None, 5: "One more line.", 6: "Short."}
+
+
 @pytest.mark.parametrize("case", CASES)
 def test_empty_table(spark, case):
     assert CASES[case][0](awkward.empty(spark)).count() == 0
