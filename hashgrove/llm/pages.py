@@ -38,6 +38,8 @@ _FRAME_WORDS = frozenset(
     " sidebar side aside widget menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottom comment comments reply replies disqus discussion"
     " related recommended share sharing social newsletter subscribe subscription login signup search pagination pager toolbar contentinfo complementary hidden".split()
 )
+_WHOLE = frozenset(("html", "body", "main"))
+_BESIDE = frozenset("has with no without is js".split())
 _ARTICLE_TAGS = frozenset(("article", "main"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,8 +55,12 @@ def _is_frame(name: str, attributes: str, in_article: bool) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id", "role") and not _FRAME_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if key in ("class", "id", "role") and name not in _WHOLE:
+            for token in value.split():
+                parts = re.split(r"[^a-z0-9]+", token)
+                # "with-sidebar" says what stands beside it
+                if parts[0] not in _BESIDE and not _FRAME_WORDS.isdisjoint(parts):
+                    return True
     return False
 
 

@@ -142,7 +142,7 @@ _RULES_SQL = r"""
     lost AS (SELECT doc_id, sum(n) AS n FROM size WHERE len(regexp_extract_all(t, '[|»›•·→]')) >= n * 0.2
         OR len(regexp_extract_all(t, '[#*$%&|<>]')) > (length(t) - n + 1) * 0.1
         OR (length(t) - n + 1 >= 12 AND len(regexp_extract_all(t, '\p{Lu}')) > (length(t) - n + 1) * 0.6)
-        OR NOT regexp_matches(t, '[.!?:;…。！？]["''”’»)\]]*\s*$')
+        OR n < 12 AND NOT regexp_matches(t, '[.!?:;…。！？]["''”’»)\]]*\s*$')
         OR regexp_matches(t, '(?i)\b(?:all rights reserved|copyright \S*\s?\d{4}|licensed under|terms (?:of|and) (?:use|service|conditions)|privacy policy|cookie (?:policy|settings)|uses? cookies|javascript|lorem ipsum|click here|read more|sign (?:in|up)|log ?in|subscribe)\b')
         GROUP BY doc_id),
     base AS (SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS bigint) AS word_chars,
@@ -157,7 +157,8 @@ ORACLES = {
     "op3_line_dedup": _repeat_sql("string_split(text, chr(10))", f"trim(translate(p, {_SPACES}, '    '))", "chr(10)", ("n_lines", "n_removed"), _LINE_WINDOWS),
     "op8_span_dedup": _repeat_sql(
         # a control character marks the ends of sentences
-        r"string_split(regexp_replace(regexp_replace(text, '([.!?][ \t\r\n]|\n)([^ \t\r\n])', '\1' || chr(1) || '\2', 'g'), '([.!?][ \t\r\n]|\n)([^ \t\r\n" + "\x01" + r"])', '\1' || chr(1) || '\2', 'g'), chr(1))",
+        r"flatten(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?][ \t\r\n]|\n)([^ \t\r\n])', '\1' || chr(1) || '\2', 'g'), '([.!?][ \t\r\n]|\n)([^ \t\r\n" + "\x01" + r"])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: CASE WHEN len(regexp_extract_all(s, '[^ \t\n\x0B\f\r]+')) > 24"
+        r" THEN string_split(regexp_replace(s, '([,;:nt] )', '\1' || chr(2), 'g'), chr(2)) ELSE [s] END))",
         f"trim(translate(p, {_SPACES} || chr(10), '     '))",
         "''",
         ("n_sentences", "n_removed"),

@@ -1,6 +1,6 @@
 """Quality rules, line first: bad lines go, then documents that lose too much. Built-in functions only.
 
-Every line is judged by itself: does it end like a sentence, is it a row of navigation, a boilerplate notice, symbols,
+Every line is judged by itself: is it a fragment that does not end like a sentence, is it a row of navigation, a boilerplate notice, symbols,
 or shouting? Lines that fail are removed. A document is rejected if too large a share of its words went with them, or if
 it fails the base rules (too short, or mostly repeated three-word windows).
 """
@@ -35,6 +35,7 @@ class Limits:
     symbols_per_char: float = 0.1
     capitals_per_char: float = 0.6
     shout_chars: int = 12
+    fragment_words: int = 12
     max_lost: float = 0.5
 
 
@@ -71,7 +72,7 @@ def failing(line: Column, limits: Limits) -> Column:
             F.when(F.regexp_count(line, F.lit(NAVIGATION)) >= size["n"] * limits.navigation_per_word, "navigation")
             .when(F.regexp_count(line, F.lit(SYMBOLS)) > size["chars"] * limits.symbols_per_char, "symbols")
             .when((size["chars"] >= limits.shout_chars) & (F.regexp_count(line, F.lit(r"\p{Lu}")) > size["chars"] * limits.capitals_per_char), "shouting")
-            .when(~line.rlike(ENDINGS), "punctuation")
+            .when((size["n"] < limits.fragment_words) & ~line.rlike(ENDINGS), "punctuation")
             .when(line.rlike(BOILERPLATE), "boilerplate")
         )
 

@@ -11,10 +11,16 @@ SPAN = 2
 MIN_WORDS = 12
 # a sentence ends with its mark and one white space, or with a line
 CUT = r"(?<=[.!?][ \t\r\n]|\n)(?=[^ \t\r\n])"
+# a long sentence is cut on, at places that only its own last characters decide
+LONG = 24
+INNER = r"(?<=[,;:nt] )"
+WORD = r"[^ \t\n\x0B\f\r]+"
 
 
 def _sentences(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), CUT, -1)
+    whole = F.split(F.coalesce(text, F.lit("")), CUT, -1)
+    parts = F.transform(whole, lambda s: F.when(F.regexp_count(s, F.lit(WORD)) > LONG, F.split(s, INNER, -1)).otherwise(F.array(s)))
+    return F.flatten(parts)
 
 
 def _key(sentence: Column) -> Column:
@@ -25,7 +31,8 @@ def dedupe_spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     """``docs`` with the sentences cut out that a later copy of a repeated span covers.
 
     A sentence ends after ``.``, ``!`` or ``?`` and one white space, or at a newline; sentences are compared without surrounding
-    ASCII white space. From every sentence there is a span: the shortest run of at least ``span`` sentences and ``min_words``
+    ASCII white space. Sentences of more than ``LONG`` words are cut on after a comma, semicolon, colon or a word that ends in n or t, so
+    that a passage without marks is found inside another sentence too; the parts count as sentences. From every sentence there is a span: the shortest run of at least ``span`` sentences and ``min_words``
     words, so that runs of a few short sentences, which independent texts share by chance, are no copies. Of equal spans, over all documents, the first by
     (identifier, place) stays and the sentences of all others go. A sentence goes only if an earlier copy of it exists. What
     stays keeps its own white space. Documents too short for a span stay; texts without a cut sentence come back

@@ -37,6 +37,7 @@ def test_common_lines_are_a_longest_common_subsequence(cells):
         ("<div role=navigation>no</div><p>No article here.</p><p hidden>no</p>", "No article here."),
         ("<article><p>Cut off <a hre", "Cut off"),
         ("<div class='adage headers'>kept</div>", "kept"),
+        ("<body class='sidebar'><div class='with-sidebar'>kept</div><div class='left sidebar-box'>no</div>", "kept"),
         ("<p>&#233;&eacute; &lt;b&gt; &unknown;", "éé <b> &unknown;"),
     ],
 )

@@ -36,9 +36,14 @@ def brute(rows, cut, glue, least, words):
     return {i: glue.join(p for n, (p, _) in enumerate(units[i]) if n not in gone[i]) if gone[i] else dict(rows)[i] for i in units}
 
 
+def sentences_of(text):
+    whole = re.split(r"(?:(?<=[.!?][ \t\r\n])|(?<=\n))(?=[^ \t\r\n])", text)
+    return [part for s in whole for part in (re.split("(?<=[,;:nt] )", s) if len(s.split()) > 24 else [s])]
+
+
 CASES = {
     "lines": (lines.dedupe_lines, lambda t: t.split("\n"), "\n", 3, 0),
-    "sentences": (sentences.dedupe_spans, lambda t: re.split(r"(?:(?<=[.!?][ \t\r\n])|(?<=\n))(?=[^ \t\r\n])", t), "", 2, 12),
+    "sentences": (sentences.dedupe_spans, sentences_of, "", 2, 12),
 }
 
 
@@ -94,3 +99,11 @@ def test_a_passage_inside_other_text_goes(spark):
     found = {r["doc_id"]: r["text"] for r in sentences.dedupe_spans(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert found[1] == docs[0][1] and found[3] == docs[2][1]
     assert found[2] == "Another one begins.\nAnd it ends."
+
+
+def test_a_passage_without_marks_goes(spark):
+    rng = random.Random(7)
+    passage = " ".join(rng.choice(awkward.WORDS) for _ in range(55))
+    docs = [(1, f"own words before {passage} and after"), (2, f"other beginnings {passage} other end")]
+    found = {r["doc_id"]: r["text"] for r in sentences.dedupe_spans(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found[1] == docs[0][1] and len(found[2].split()) < 25 and found[2].startswith("other beginnings") and found[2].endswith("other end")
