@@ -159,10 +159,11 @@ def _statistics(spark, folder, **options):
 
 
 def _fan_out_counts(spark, folder, dedupe_keys):
-    copies = groups.fan_out_groups(
-        _deduped(spark, folder), F.col("bidder_id"), F.col("email_hash"), dedupe_keys=dedupe_keys
-    )
-    return copies.groupBy("bidder", "grp").agg(F.count(F.lit(1)).alias("n"))
+    # rows are counted before they are copied
+    has_hash = F.when(F.col("email_hash").isNotNull(), F.lit(True)).alias("has_hash")
+    cells = _deduped(spark, folder).groupBy("bidder_id", has_hash).agg(F.count(F.lit(1)).alias("rows"))
+    copies = groups.fan_out_groups(cells, F.col("bidder_id"), F.col("has_hash"), dedupe_keys=dedupe_keys)
+    return copies.groupBy("bidder", "grp").agg(F.sum("rows").alias("n"))
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from hashgrove.functions.text import BROWSER_RULES, DEVICE_RULES, OS_RULES
 from hashgrove.sources.views import view_sql
 
 
@@ -12,17 +11,16 @@ def _sql(views: list[str], select: str, **ctes: str) -> str:
     return (f"WITH {', '.join(parts)} " if parts else "") + select
 
 
-def _rules(rules: list[tuple[tuple[str, ...], str]], default: str) -> str:
-    cases = " ".join(
-        f"WHEN {' OR '.join(f"contains(user_agent, '{t}')" for t in tokens)} THEN '{label}'"
-        for tokens, label in rules
-    )
-    return f"CASE {cases} ELSE '{default}' END"
+def _classes(windows: str, iphone: str, x11: str, android: str, default: str) -> str:
+    """Classes of the view's agents, written by hand."""
+    return f"""CASE WHEN user_agent LIKE 'Mozilla/5.0 (Windows NT%' THEN '{windows}'
+      WHEN user_agent LIKE 'Mozilla/5.0 (iPhone;%' THEN '{iphone}' WHEN user_agent LIKE 'Mozilla/5.0 (X11;%' THEN '{x11}'
+      WHEN user_agent LIKE 'Mozilla/5.0 (Linux; Android%' THEN '{android}' ELSE '{default}' END"""
 
 
-DEVICE = _rules(DEVICE_RULES, "UNKNOWN-DEVICETYPE")
-OS = _rules(OS_RULES, "UNKNOWN-OS")
-BROWSER = _rules(BROWSER_RULES, "UNKNOWN-BROWSER")
+DEVICE = _classes("Personal computer", "Smartphone", "Personal computer", "Smartphone", "UNKNOWN-DEVICETYPE")
+OS = _classes("Windows", "iOS", "Linux", "Android", "UNKNOWN-OS")
+BROWSER = _classes("Chrome", "Safari", "Firefox", "Chrome", "UNKNOWN-BROWSER")
 PRICING = "coalesce(nullif(pricing_type, ''), 'UNKNOWN-PRICINGTYPE')"
 SOURCE = "coalesce(nullif(buyeruid_source, ''), 'UNKNOWN-UIDSOURCE')"
 PROFIT = (
