@@ -28,7 +28,7 @@ from hashgrove.llm import vec
 LETTER, NUMBER, OTHER, WHITE, BLANK, LAST_WHITE, SHORT, LONG = range(8)
 FREE, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_WHITE, AFTER_BLANK, ONE_MORE, TWO_MORE = range(8)
 BLOCK = 128
-KNOWN = 1 << 20
+KNOWN = 1 << 19
 NARROW = 48
 NONE = np.int32(2**31 - 1)
 

@@ -34,7 +34,8 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
     Tokens are runs of letters, digits and characters beyond ASCII, in lower case; punctuation and white space are left out.
     """
-    for first, last, data, offsets in vec.pieces(pc.utf8_lower(texts)):
+    for first, last, _, _ in vec.pieces(texts):
+        data, offsets = vec.buffers(pc.utf8_lower(texts.slice(first, last - first)))
         starts, ends = vec.spans(vec.WORD[data], offsets)
         yield first, last, vec.span_hashes(data, starts, ends), vec.owners(starts, offsets)
 
