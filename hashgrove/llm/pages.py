@@ -3,7 +3,8 @@
 Pages of a host are put in the order of their paths, and each is paired with the neighbour whose path has the longer common
 beginning. The text lines (blocks) of both are aligned by a longest common subsequence, and lines that both have are
 deleted as parts of the site's frame. Lines that markup declares to be frame (menus, footers, forms, notices ...) go as
-well; lines inside the page's article are checked last and stay even if the neighbour quotes them. A pair of
+well. Markup is evidence beside this: a line of the page's article goes if the neighbour has it in its article or its frame, and
+stays if the neighbour has it in the open (a quotation); lines outside the article stay if the neighbour lacks them. A pair of
 copies (``COPY`` of the lines shared) tells nothing about the frame and deletes nothing.
 
 The order comes from a range partitioning by (host, path, identifier), so a host of any size is spread over
@@ -207,7 +208,29 @@ def _neighbours(pages: DataFrame) -> DataFrame:
 
 
 def _hashed(found: list[tuple[str, int]]) -> list[int]:
-    return [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) for text, _ in found]
+    """A hash of each line with the line's kind in the two lowest bits."""
+    return [(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)) & ~3 | kind for text, kind in found]
+
+
+def _frame_lines(own: list[int], other: list[int]) -> list[int] | None:
+    """Lines of ``own`` that are frame by the neighbour's evidence; None for a pair of copies."""
+    shared = common([line >> 2 for line in own], [line >> 2 for line in other])
+    if len(shared) >= COPY * max(len(own), len(other)):
+        return None
+    marked = {line >> 2 for line in other if line & 3 != OPEN}
+    gone = {own[i] for i in shared if own[i] & 3 != IN_ARTICLE or own[i] >> 2 in marked}
+    article = {line for line in own if line & 3 == IN_ARTICLE}
+    # an article that the neighbour holds whole is quoted, not frame
+    return sorted(gone - article if article <= gone else gone)
+
+
+def _text(found: list[tuple[str, int]], gone: list[int] | None) -> str:
+    """Text of a page's lines without those in ``gone``; None: no neighbour tells the frame, and markup decides alone."""
+    sizes = [sum(len(text) for text, kind in found if kind == k) for k in (IN_ARTICLE, OPEN)]
+    # an article with less text than stands beside it is a teaser
+    alone = gone is None and sizes[0] >= sizes[1] and sizes[0] > 0
+    frame = set(gone or ())
+    return " ".join(text for (text, kind), h in zip(found, _hashed(found), strict=True) if h not in frame and not (alone and kind == OPEN))
 
 
 def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -234,10 +257,7 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
 
     def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = []
-            for own, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                shared = common(own, other)
-                gone.append([] if len(shared) >= COPY * max(len(own), len(other)) else [own[i] for i in shared])
+            gone = [_frame_lines(own, other) for own, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int64()))], names=["id", "shared"])
 
     shared = materialize(sides.mapInArrow(differenced, f"id {kind}, shared array<bigint>"), "shared")
@@ -254,11 +274,7 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
         for batch in batches:
             texts = []
             for small, gone in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                found = json.loads(unpack.decompress(small.as_py()))
-                article = any(kind == IN_ARTICLE for _, kind in found)
-                frame = set(gone or ())
-                # an article's lines stay; without an article, what is neither frame nor shared
-                texts.append(" ".join(text for (text, kind), h in zip(found, _hashed(found), strict=True) if kind == IN_ARTICLE or not article and h not in frame))
+                texts.append(_text(json.loads(unpack.decompress(small.as_py())), gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     # the blocks are packed before they travel, and travel at every size: a page's text is most of the input

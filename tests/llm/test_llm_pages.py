@@ -99,3 +99,26 @@ def test_awkward_rows(spark):
     assert by_id[None] == "x" and by_id[1] == "y" and by_id[2] == by_id[3] == "" and by_id[5] == "z"
     assert by_id[4] == ("long words " * 50_000).strip()
     assert pages.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def extracted(spark, rows):
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return {r["page_id"]: r["text"] for r in pages.extract(frame).collect()}
+
+
+def test_differencing_decides_inside_and_beside_articles(spark):
+    share = "<p>Share this page</p>"
+    rows = [
+        (1, "http://h.org/a/1", f"<article><p>First text.</p>{share}</article>"),
+        (2, "http://h.org/a/2", f"<article><p>Second text.</p><p>More.</p>{share}</article>"),
+        (3, "http://t.org/a/1", "<div>Site name</div><div>The real body of this page.</div><article>Teaser</article>"),
+        (4, "http://t.org/a/2", "<div>Site name</div><div>Another real body.</div><article>Teaser two</article>"),
+        (5, "http://alone.org/a", "<div>The real body of this page.</div><article>Teaser</article>"),
+    ]
+    assert extracted(spark, rows) == {
+        1: "First text.",
+        2: "Second text. More.",
+        3: "The real body of this page. Teaser",
+        4: "Another real body. Teaser two",
+        5: "The real body of this page. Teaser",
+    }
