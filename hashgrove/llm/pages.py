@@ -1,11 +1,12 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are put in the order of their paths, and each is paired with the neighbour whose path has the longer common
-beginning. The text lines (blocks) of both are aligned by a longest common subsequence, and lines that both have are
+Pages of a host are put in the order of their paths, and each is paired with the nearest page before and after it whose lines
+differ (lines of declared frames aside), first with the one whose path has the longer common beginning. The text lines (blocks) of both are aligned by a longest common subsequence, and lines that both have are
 deleted as parts of the site's frame. Lines that markup declares to be frame (menus, footers, forms, notices ...) go as
 well. Markup is evidence beside this: a line of the page's article goes if the neighbour has it in its article or its frame, and
 stays if the neighbour has it in the open (a quotation); lines outside the article stay if the neighbour lacks them. A pair of
-copies (``COPY`` of the lines shared) tells nothing about the frame and deletes nothing.
+near copies (``COPY`` of the lines and of the words shared, lines of declared frames aside) tells nothing about the frame; then
+the second neighbour is taken, and if that is a near copy too, markup decides alone.
 
 The order comes from a range partitioning by (host, path, identifier), so a host of any size is spread over
 partitions; only keys, line hashes and deleted places are exchanged.
@@ -174,26 +175,58 @@ def common(a: list[int], b: list[int], cells: int = 1 << 28) -> list[int]:
     return found[::-1]
 
 
-def _neighbours(pages: DataFrame) -> DataFrame:
-    """Rows (id, other) of the nearest page by path in the same host; pages alone in their host have none."""
+def _placed(pages: DataFrame) -> DataFrame:
+    """``pages`` with the host and the path of ``url``, without rows that lack an identifier or URL."""
     bare = F.regexp_replace(F.lower("url"), r"^[a-z][a-z0-9+.-]*://", "")
-    keys = pages.where("id is not null and url is not null").select(
-        "id",
-        F.regexp_replace(F.regexp_extract(bare, r"^([^/?#]*)", 1), r"^www\.|:\d+$", "").alias("host"),
-        F.regexp_extract(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"^[^/?#]*([^?#]*)", 1).alias("path"),
+    return pages.where("id is not null and url is not null").withColumns(
+        {
+            "host": F.regexp_replace(F.regexp_extract(bare, r"^([^/?#]*)", 1), r"^www\.|:\d+$", ""),
+            "path": F.regexp_extract(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"^[^/?#]*([^?#]*)", 1),
+        }
     )
-    keys = materialize(keys.groupBy("id").agg(F.min(F.struct("host", "path")).alias("k")).select("id", "k.host", "k.path"), "urls")
+
+
+def _partners(pages: DataFrame) -> DataFrame:
+    """Rows (id, rank, other) of at most two pages of the same host with another digest.
+
+    They are the nearest before and after in the order of the paths; rank 0 is the one whose path has the longer common beginning.
+    """
+    keys = _placed(pages).groupBy("id").agg(F.min(F.struct("host", "path", "digest")).alias("k"))
+    keys = materialize(keys.select("id", "k.host", "k.path", "k.digest"), "urls")
     order = ["host", "path", "id"]
     dealt = keys.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = materialize(dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "urls")
-    page = F.struct("host", "path", "id")
-    # the ends of the partitions: one row for each partition
-    ends = dealt.groupBy("part").agg(F.min_by(page, "place").alias("first"), F.max_by(page, "place").alias("last"))
-    parts = Window.orderBy("part")
-    ends = materialize(ends.select("part", F.lag("last").over(parts).alias("before"), F.lead("first").over(parts).alias("after")), "urls")
-    within = Window.partitionBy("part").orderBy("place")
-    near = dealt.select("part", "host", "path", "id", F.lag(page).over(within).alias("prev"), F.lead(page).over(within).alias("next"))
-    near = near.join(F.broadcast(ends), "part").select("host", "path", "id", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
+    page = F.struct("host", "path", "id", "digest")
+
+    def reached(table: DataFrame, by: str, name: str) -> DataFrame:
+        """The last page before the own run of pages with one digest; null for the first run of a partition."""
+        up = F.asc("place") if by == "prev" else F.desc("place")
+        within = Window.partitionBy("part").orderBy(up)
+        last = F.lag(page).over(within)
+        turned = table.withColumn("_last", F.when((last["host"] != F.col("host")) | (last["digest"] != F.col("digest")), last))
+        return turned.withColumn(name, F.last("_last", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("_last")
+
+    near = materialize(reached(reached(dealt, "prev", "prev"), "next", "next"), "urls")
+    # the ends of the partitions: one row for each partition comes to the driver
+    first, last = F.min_by(page, "place").alias("first"), F.max_by(page, "place").alias("last")
+    ends = near.groupBy("part").agg(first, last, F.max_by("prev", "place").alias("last_prev"), F.min_by("next", "place").alias("first_next"))
+    schema = ends.select("part", F.col("first").alias("before"), F.col("last").alias("after")).schema
+    ends = sorted(ends.collect(), key=lambda row: row["part"])
+
+    def across(rows: list, mine: str, facing: str, beyond: str) -> dict:
+        """For each partition the nearest page outside that differs from the page at its end."""
+        out, known = {}, None
+        for k, row in enumerate(rows):
+            if k:
+                one, two = row[mine], rows[k - 1][facing]
+                differs = (one["host"], one["digest"]) != (two["host"], two["digest"])
+                known = two if differs else rows[k - 1][beyond] or known
+            out[row["part"]] = known
+        return out
+
+    before, after = across(ends, "first", "last", "last_prev"), across(ends[::-1], "last", "first", "first_next")
+    outside = pages.sparkSession.createDataFrame([(row["part"], before[row["part"]], after[row["part"]]) for row in ends], schema)
+    near = near.join(F.broadcast(outside), "part").select("host", "path", "id", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
 
     def alike(other: str):
         """Length of the common beginning of the paths; -1 for another host."""
@@ -203,22 +236,48 @@ def _neighbours(pages: DataFrame) -> DataFrame:
         return F.when(F.col(f"{other}.host") == F.col("host"), length).otherwise(F.lit(-1))
 
     scored = near.select("id", "prev", "next", F.coalesce(alike("prev"), F.lit(-1)).alias("p"), F.coalesce(alike("next"), F.lit(-1)).alias("n"))
-    other = F.when((F.col("p") >= 0) & (F.col("p") >= F.col("n")), F.col("prev.id")).when(F.col("n") >= 0, F.col("next.id"))
-    return scored.select("id", other.alias("other")).where(F.col("other").isNotNull())
+    sides = [F.when(F.col("p") >= 0, F.col("prev.id")), F.when(F.col("n") >= 0, F.col("next.id"))]
+    swapped = F.col("n") > F.col("p")
+    both = F.filter(F.when(swapped, F.array(*sides[::-1])).otherwise(F.array(*sides)), lambda other: other.isNotNull())
+    return scored.select("id", F.posexplode(both).alias("rank", "other"))
+
+
+def _neighbours(pages: DataFrame) -> DataFrame:
+    """Rows (id, other) of the nearest page by path in the same host; pages alone in their host have none."""
+    if "digest" not in pages.columns:
+        pages = pages.withColumn("digest", F.xxhash64("id"))
+    return _partners(pages).where("rank = 0").select("id", "other")
 
 
 def _hashed(found: list[tuple[str, int]]) -> list[int]:
-    """A hash of each line with the line's kind in the two lowest bits."""
-    return [(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)) & ~3 | kind for text, kind in found]
+    """A hash of each line with the number of its words (12 bits) and the line's kind (2 bits) lowest."""
+    out = []
+    for text, kind in found:
+        h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+        out.append(h & ~0x3FFF | min(text.count(" ") + 1, 0xFFF) << 2 | kind)
+    return out
+
+
+def _digest(lines: list[int]) -> int:
+    """A hash of the lines that are in no declared frame."""
+    own = np.array([line >> 2 for line in lines if line & 3 != FRAME], "<i8")
+    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def _near_copies(own: list[int], other: list[int], shared: list[int]) -> bool:
+    """Whether ``shared`` holds most of the lines and of the words of both pages, declared frames aside."""
+    sides = [[line for line in lines if line & 3 != FRAME] for lines in (shared, own, other)]
+    lines, words = [len(side) for side in sides], [sum(line >> 2 & 0xFFF for line in side) for side in sides]
+    return all(n[0] >= COPY * max(n[1:]) for n in (lines, words))
 
 
 def _frame_lines(own: list[int], other: list[int]) -> list[int] | None:
-    """Lines of ``own`` that are frame by the neighbour's evidence; None for a pair of copies."""
-    shared = common([line >> 2 for line in own], [line >> 2 for line in other])
-    if len(shared) >= COPY * max(len(own), len(other)):
+    """Lines of ``own`` that are frame by the neighbour's evidence; None for a pair of near copies."""
+    shared = [own[i] for i in common([line >> 2 for line in own], [line >> 2 for line in other])]
+    if _near_copies(own, other, shared):
         return None
     marked = {line >> 2 for line in other if line & 3 != OPEN}
-    gone = {own[i] for i in shared if own[i] & 3 != IN_ARTICLE or own[i] >> 2 in marked}
+    gone = {line for line in shared if line & 3 != IN_ARTICLE or line >> 2 in marked}
     article = {line for line in own if line & 3 == IN_ARTICLE}
     # an article that the neighbour holds whole is quoted, not frame
     return sorted(gone - article if article <= gone else gone)
@@ -245,22 +304,27 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [_hashed(blocks(page.as_py())) for page in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.int64()))], names=["id", "lines"])
+            lines = [_hashed(blocks(page.as_py())) for page in batch.column(2)]
+            digests = pa.array([_digest(own) for own in lines], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array(lines, pa.list_(pa.int64()))], names=["id", "url", "digest", "lines"])
 
-    lines = source.where("id is not null and url is not null").select("id", "html").mapInArrow(hashed, f"id {kind}, lines array<bigint>")
-    lines = materialize(lines, "lines")
-    one = lines.groupBy("id").agg(F.min("lines").alias("lines"))
-    pairs = materialize(_neighbours(source), "pairs")
-    met = materialize(pairs.join(one, "id").select("id", "other", F.col("lines").alias("own")), "pairs")
-    sides = met.join(one.select(F.col("id").alias("other"), "lines"), "other").select("id", "own", "lines")
+    named = source.where("id is not null and url is not null").select("id", "url", "html")
+    lines = materialize(named.mapInArrow(hashed, f"id {kind}, url string, digest bigint, lines array<bigint>"), "lines")
+    one = _placed(lines).groupBy("id").agg(F.min(F.struct("host", "path", "digest", "lines")).alias("k")).select("id", F.col("k.lines").alias("lines"))
+    pairs = materialize(_partners(lines.select("id", "url", "digest")), "pairs")
+    met = materialize(pairs.join(one, "id").select("id", "rank", "other", F.col("lines").alias("own")), "pairs")
+    sides = met.join(one.select(F.col("id").alias("other"), "lines"), "other").select("id", "rank", "own", "lines")
 
     def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [_frame_lines(own, other) for own, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int64()))], names=["id", "shared"])
-
-    shared = materialize(sides.mapInArrow(differenced, f"id {kind}, shared array<bigint>"), "shared")
+            gone = [_frame_lines(own, other) for own, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int64()))], names=["id", "rank", "shared"])
+
+    tried = sides.mapInArrow(differenced, f"id {kind}, rank int, shared array<bigint>")
+    # the nearer partner that is no near copy; none: null, and markup decides alone
+    best = F.min(F.when(F.col("shared").isNotNull(), F.struct("rank", "shared"))).alias("k")
+    shared = tried.groupBy("id").agg(best).select("id", F.col("k.shared").alias("shared"))
+    shared = materialize(shared, "shared")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)

@@ -122,3 +122,19 @@ def test_differencing_decides_inside_and_beside_articles(spark):
         4: "Another real body. Teaser two",
         5: "The real body of this page. Teaser",
     }
+
+
+def test_copies_and_declared_frames_do_not_hide_the_frame(spark):
+    menu = "<nav>" + "".join(f"<p>Entry {i}</p>" for i in range(40)) + "</nav>"
+    rows = [
+        (1, "http://m.org/a/1", menu + site("<p>Alpha text.</p>")),
+        (2, "http://m.org/a/2", menu + site("<p>Beta text.</p>")),
+        *((10 + i, f"http://c.org/a/{i:02}", site("<p>A copied text.</p>")) for i in range(12)),
+        (30, "http://c.org/b/1", site("<p>Another page of the host.</p>")),
+        (40, "http://n.org/a/1", "".join(f"<p>Line {i}</p>" for i in range(9))),
+        (41, "http://n.org/a/2", "".join(f"<p>Line {i}</p>" for i in range(10))),
+    ]
+    found = extracted(spark, rows)
+    assert found[1] == "Alpha text." and found[2] == "Beta text."
+    assert {found[10 + i] for i in range(12)} == {"A copied text."} and found[30] == "Another page of the host."
+    assert found[40] == " ".join(f"Line {i}" for i in range(9)) and found[41] == found[40] + " Line 9"
