@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from hashgrove.llm import vec
 from hashgrove.llm.components import components
+from hashgrove.llm.similar import similar_pairs
 from hashgrove.session import materialize
 
 SEED = 42
@@ -103,9 +104,11 @@ def close_pairs(distinct: DataFrame, column: str = "fingerprint", distance: int
     return met.select("x", "y").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", shingle: int = 3, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """Rows (id, fingerprint, component) for every row: the component is the smallest identifier reachable by links.
 
+    With a ``similarity``, documents whose shingles have at least that Jaccard similarity are linked as well.
+
     Documents with one fingerprint are linked whatever their texts; so are repeated rows. A row with a null identifier
     keeps its fingerprint, joins the component of its fingerprint if that has an identifier, and has a null component
     otherwise. An empty table gives an empty result; other columns are not looked at.
@@ -113,6 +116,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     signed = materialize(fingerprints(docs, text, id_column, shingle), "simhash")
     distinct = materialize(signed.groupBy("fingerprint").agg(F.min(id_column).alias("least")), "simhash")
     pairs = materialize(close_pairs(distinct.where(F.col("least").isNotNull()).select("fingerprint"), distance=distance), "simhash")
+    if similarity is not None:
+        alike = materialize(similar_pairs(docs, text, id_column, shingle, similarity), "similar")
+        # as links of fingerprints: each identifier has one or, with repeated rows, a few
+        own = signed.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), "fingerprint").distinct()
+        x, y = (own.select(F.col("id").alias(side), F.col("fingerprint").alias(f"f{side}")) for side in "xy")
+        linked = alike.join(x, "x").join(y, "y").where("fx <> fy").select(F.least("fx", "fy").alias("x"), F.greatest("fx", "fy").alias("y"))
+        pairs = materialize(pairs.union(linked).distinct(), "simhash")
     members = components(pairs, "x", "y")
     # components are of fingerprints; each gets the least identifier of its members
     grouped = materialize(members.join(distinct, members["node"] == distinct["fingerprint"]).select("node", "component", "least"), "simhash")
@@ -122,7 +132,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     return signed.join(lookup, "fingerprint").select(id_column, "fingerprint", "component")
 
 
-def keep_first(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **how: int) -> DataFrame:
+def keep_first(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **how: float) -> DataFrame:
     """``docs`` without those whose component has a smaller identifier.
 
     Rows with a null identifier cannot be named in a component and stay. Of repeated rows with one identifier the one with the

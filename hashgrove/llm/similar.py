@@ -1,0 +1,102 @@
+"""Links between documents whose word shingles are alike: buckets of minima, then the exact Jaccard similarity.
+
+Each different set of shingles has ``BANDS`` keys of ``ROWS`` minima under random orders. Two sets of similarity s share a key but
+for a chance of (1 - s^ROWS)^BANDS, 3e-6 at 0.8. In a bucket the sets stand in an order of its own, and each meets the
+``REACH`` sets before it, so that a group of n near copies makes a number of pairs linear in n; all pairs of a bucket of up to
+``REACH`` + 1 sets meet. Whoever meets is compared by whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from hashgrove.llm import vec
+from hashgrove.session import materialize
+
+BANDS, ROWS, REACH = 24, 4, 8
+_TIMES, _PLUS = np.random.default_rng(5).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.array([[1], [0]], np.uint32)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different hashes of each document's runs of ``length`` words (the whole of a shorter text), and their bounds."""
+    starts, ends = vec.spans(~vec.SPACE[data], offsets)
+    words = vec.span_hashes(data, starts, ends)
+    bounds = vec.owners(starts, offsets)
+    found = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        found.append(np.unique(vec.window_hashes(words[a:b], min(length, b - a))) if b > a else words[:0])
+    sizes = np.array([len(f) for f in found], np.int64)
+    return np.concatenate([words[:0], *found]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Keys of documents that all have shingles; one row each."""
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    minima = [np.minimum.reduceat((low ^ plus) * times, bounds[:-1]).astype(np.uint64) for times, plus in zip(_TIMES, _PLUS, strict=True)]
+    keys = []
+    for band in range(BANDS):
+        key = np.full(len(bounds) - 1, band, np.uint64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            key = vec.mixed(key * np.uint64(0x9E3779B97F4A7C15) + minima[k] + np.uint64(1))
+        keys.append(key)
+    return np.stack(keys, 1)
+
+
+def _sets(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For pieces of a column: the rows that have words, their hashes and bounds, and a digest of each set."""
+    for first, last, _, _ in vec.pieces(column):
+        data, offsets = vec.buffers(pc.ascii_lower(column.slice(first, last - first)))
+        hashes, bounds = shingles(data, offsets, length)
+        some = np.flatnonzero(np.diff(bounds))
+        bounds = np.append(bounds[some], bounds[-1])
+        if len(some):
+            digest = vec.mixed(np.add.reduceat(vec.mixed(hashes + np.uint64(7)), bounds[:-1]) + np.diff(bounds).astype(np.uint64))
+            yield first + some, hashes, bounds, digest.view(np.int64)
+
+
+def similar_pairs(docs: DataFrame, text: str, id_column: str, shingle: int, similarity: float) -> DataFrame:
+    """Rows (x, y) of identifiers, x in the links of y: equal sets are linked to the least identifier, others by similarity.
+
+    Texts are lower-cased (A-Z) and cut at ASCII white space. Rows without an identifier or without words are in no pair.
+    """
+    named = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    kind = named.schema["id"].dataType.simpleString()
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, hashes, bounds, digest in _sets(batch.column(1), shingle):
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(_keys(hashes, bounds).ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(digest), pa.array(np.diff(bounds)), keys], names=["id", "digest", "size", "keys"])
+
+    marks = materialize(named.mapInArrow(signed, f"id {kind}, digest bigint, size bigint, keys array<bigint>"), "shingles")
+    one = materialize(marks.groupBy("digest").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min("keys").alias("keys")), "shingles")
+    same = marks.select("id", "digest").distinct().join(one.select("digest", F.col("id").alias("x")), "digest").where("x < id").select("x", F.col("id").alias("y"))
+    # a bucket's order depends on its key, so that a set has other neighbours in each
+    filed = one.select(F.struct("digest", "id", "size").alias("a"), F.explode("keys").alias("key"))
+    bucket = Window.partitionBy("key").orderBy(F.xxhash64("key", "a.digest"), "a.digest")
+    met = filed.select("a", F.filter(F.array(*(F.lag("a", k).over(bucket) for k in range(1, REACH + 1))), lambda b: b.isNotNull()).alias("others"))
+    met = met.select("a", F.explode("others").alias("b")).where(F.least("a.size", "b.size") >= F.lit(similarity) * F.greatest("a.size", "b.size"))
+    met = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    wanted = materialize(met.select(F.explode(F.array("a", "b")).alias("w")).select("w.id", F.col("w.digest").alias("wanted")).distinct(), "met")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, hashes, bounds, digest in _sets(batch.column(1), shingle):
+                sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
+                right = pa.array(digest == batch.column(2).take(pa.array(rows)).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(digest), sets], names=["digest", "own"]).filter(right)
+
+    # repeated rows have one set each, so one is enough
+    sets = named.join(wanted, "id").select("id", "text", "wanted").mapInArrow(whole, "digest bigint, own array<bigint>")
+    sets = materialize(sets.groupBy("digest").agg(F.min("own").alias("own")), "sets")
+    left = met.join(sets.select(F.col("digest").alias("da"), F.col("own").alias("sa")), F.col("a.digest") == F.col("da"))
+    both = left.join(sets.select(F.col("digest").alias("db"), F.col("own").alias("sb")), F.col("b.digest") == F.col("db"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(shared >= F.lit(similarity) * (F.col("a.size") + F.col("b.size") - shared))
+    return same.union(alike.select(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y")).where("x < y"))
