@@ -184,18 +184,19 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: fl
 def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", max_sample: int = MAX_SAMPLE) -> Network | None:
     """Train on the documents whose identifiers are in ``trusted`` and on unlabelled documents.
 
-    At most ``max_sample`` rows of either kind are used, those with the least hashes of their identifiers. Null identifiers
-    are left out. None without any trusted or other document.
+    At most ``max_sample`` documents of either kind are used, those with the least hashes of their identifiers. Rows that share
+    an identifier count as one document, the one with the least text. Null identifiers are left out. None without any trusted or other document.
     """
     named = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id")).where(F.col("id").isNotNull())
     good = materialize(trusted.select(F.col(doc_id).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_sample), "trusted")
     # all documents are unlabelled text, the trusted ones among them
-    web = materialize(named.select("id").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_sample), "unlabelled")
+    web = materialize(named.select("id").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_sample), "unlabelled")
     # proven bound: 2 * max_sample rows of two numbers
     chosen = materialize(good.withColumn("y", F.lit(1)).union(web.withColumn("y", F.lit(0))), "sample")
-    rows = materialize(_measured(named.join(F.broadcast(chosen), "id"), ["y", "id"]), "features")
-    # at most as many rows of some features come to the driver, in a fixed order
-    arrow = rows.orderBy("y", F.xxhash64("id"), "id", "x").limit(4 * max_sample).toArrow()
+    one = named.join(F.broadcast(chosen.select("id").distinct()), "id").groupBy("id").agg(F.min("text").alias("text"))
+    rows = materialize(_measured(one.join(F.broadcast(chosen), "id"), ["y", "id"]), "features")
+    # one row of some features for each row of the sample comes to the driver, in a fixed order
+    arrow = rows.orderBy("y", F.xxhash64("id"), "id").toArrow()
     y = arrow.column("y").to_numpy()
     x = np.array(arrow.column("x").to_pylist(), float).reshape(len(y), len(NAMES))
     positive, unlabelled = x[y == 1], x[y == 0]

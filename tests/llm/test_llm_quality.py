@@ -79,3 +79,12 @@ def test_awkward_rows_and_empty_tables(spark, network):
     assert quality.fit(awkward.empty(spark), few) is None and quality.fit(docs, few.limit(0)) is None
     assert quality.score(docs, None).first()["score"] == 0.5
     assert quality.score(awkward.empty(spark), network).count() == 0
+
+
+def test_a_repeated_identifier_counts_once(spark, corpus):
+    trusted = spark.createDataFrame([(i,) for i, _, y in corpus if y and i % 3 == 0], "doc_id bigint")
+    once = [r[:2] for r in corpus]
+    fitted = [quality.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), trusted, max_sample=400) for rows in (once, once + once[1:2] * 2000)]
+    assert all(network is not None for network in fitted)
+    x = quality.features(*vec.buffers(pa.array([t for _, t, _ in corpus])))
+    assert np.allclose(fitted[0].scores(x), fitted[1].scores(x))
