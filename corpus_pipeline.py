@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashgrove.llm import bpe, decontam, lines, simhash, toxicity
-from hashgrove.llm.queries import VOCABULARIES
 from hashgrove.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 TOXIC = 0.7
-SIMILAR = 0.8
+SHINGLE, BITS = 3, 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The first document of each component of near fingerprints and of similarities of at least ``SIMILAR``, over five-word shingles."""
-    return simhash.keep_first(docs, shingle=5, similarity=SIMILAR)
+    """The first document of each component of fingerprints of ``SHINGLE``-word shingles that differ in at most ``BITS`` bits."""
+    return simhash.keep_first(docs, shingle=SHINGLE, distance=BITS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -41,7 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of what is left, and the digest of the bytes they decode to."""
-    ranks = f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken"
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(docs, ranks).withColumn("ids_sha256", F.sha2("ids", 256))
     return bpe.decode(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
