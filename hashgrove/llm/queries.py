@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashgrove.llm import ans, bpe, decontam, lines, pages, quality, rules, sentences, simhash, toxicity
 
-#: Folder of the public vocabulary files, on every machine.
-VOCABULARIES = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
-
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -24,7 +20,7 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-level BPE of every document, decoded again."""
-    ranks = f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken"
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(_table(spark, folder, "documents"), ranks).withColumn("ids_sha256", F.sha2("ids", 256))
     decoded = bpe.decode(encoded, ranks)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
@@ -79,7 +75,7 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents, written to rANS files and read back."""
     files = ans.fresh_folder(spark)
-    ans.write(_table(spark, folder, "documents"), files, f"{VOCABULARIES}/word_bpe_49k.json", end_id=2)
+    ans.write(_table(spark, folder, "documents"), files, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return ans.read(spark, files, ids=False)
 
 

@@ -4,15 +4,15 @@ import zlib
 
 import awkward
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hashgrove.llm import ans
-from hashgrove.llm.queries import VOCABULARIES
 from hashgrove.session import fresh_path
 
-FILE = f"{VOCABULARIES}/word_bpe_49k.json"
+FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 70_000])

@@ -5,13 +5,13 @@ import random
 
 import awkward
 import pyarrow as pa
+import public_tokenizers
 import pytest
 import tiktoken
 
 from hashgrove.llm import bpe, vec
-from hashgrove.llm.queries import VOCABULARIES
 
-RANKS = f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken"
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 

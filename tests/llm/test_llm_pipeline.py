@@ -8,6 +8,7 @@ import re
 
 import awkward
 import numpy as np
+import public_tokenizers
 import pytest
 import tiktoken
 from test_llm_decontam import brute_tiles, tokens
@@ -16,7 +17,6 @@ from test_llm_simhash import classes, fingerprint
 
 import corpus_pipeline as pipeline
 from hashgrove.llm import toxicity
-from hashgrove.llm.queries import VOCABULARIES
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,7 +31,7 @@ def by_brute_force(spark, rows, benchmark, labels):
     left = {i: t for i, t in rows if scores[i] < 0.7}
     cut = brute(sorted(left.items()), *CASES["lines"][1:])
     left = {i: t for i, t in cut.items() if t.strip() or not left[i].strip()}
-    prints = {i: fingerprint(t, 5) for i, t in left.items()}
+    prints = {i: fingerprint(t) for i, t in left.items()}
     groups = {}
     for i, f in prints.items():
         groups.setdefault(f, []).append(i)
@@ -54,7 +54,7 @@ def by_brute_force(spark, rows, benchmark, labels):
         return False
 
     left = {i: t for i, t in left.items() if not holds(t)}
-    with open(f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken", "rb") as lines:
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     out = set()
