@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashgrove.llm import ans, bpe, decontam, lines, pages, quality, rules, sentences, simhash, toxicity
+from hashgrove.llm import ans, bpe, decontam, lines, pages, quality, resampling, rules, sentences, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return ans.read(spark, files, ids=False)
 
 
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance of every document for the benchmark's distribution, and a draw of five in a hundred."""
+    return resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 _SPACES = "chr(9) || chr(13) || chr(11) || chr(12)"
 
 
@@ -121,8 +126,39 @@ QUERIES = {
     "op8_span_dedup": op8_span_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_files": op10_token_files,
+    "op13_resampling": op13_resampling,
 }
 
+
+def _crc_sql(digits: str) -> str:
+    """CRC-32 of the bytes with these hexadecimal digits."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    octets = f"list_transform(range(0, CAST(length({digits}) / 2 AS bigint)), lambda i: CAST('0x' || substr({digits}, 2 * i + 1, 2) AS bigint))"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1]), 4294967295))"
+
+
+_RESAMPLING_SQL = rf"""
+    WITH t AS (SELECT doc_id AS id, TRUE AS own, coalesce(text, '') AS text FROM documents UNION ALL SELECT item_id, FALSE, coalesce(text, '') FROM benchmark),
+    l AS (SELECT id, own, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+    g AS (SELECT id, own, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM l),
+    d AS (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM g)),
+    b AS (SELECT f, {_crc_sql("h")} % 10000 AS bucket FROM d),
+    c AS (SELECT id, own, bucket, count(*) AS n FROM g JOIN b USING (f) GROUP BY ALL),
+    a AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE own), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT own), 0) AS t FROM c GROUP BY bucket),
+    k AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS double) * CAST((SELECT sum(s) FROM a) + 10000 AS double))
+        / (CAST(s + 1 AS double) * CAST((SELECT sum(t) FROM a) + 10000 AS double)))) AS bigint) AS gain FROM a),
+    w AS (SELECT id, CAST(sum(n) AS bigint) AS n_features, CAST(sum(n * gain) AS bigint) AS weight FROM c JOIN k USING (bucket) WHERE own GROUP BY id),
+    x AS (SELECT l.id AS doc_id, len(l.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+        + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || l.id), 1, 8) AS bigint) + CAST(0.5 AS double)) / 4294967296))) AS bigint) AS score
+        FROM l LEFT JOIN w ON l.id = w.id WHERE own),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)"""
+
 _RULES_SQL = r"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS words FROM d),
@@ -149,6 +185,7 @@ _RULES_SQL = r"""
 
 
 ORACLES = {
+    "op13_resampling": _RESAMPLING_SQL,
     "op6_quality_rules": _RULES_SQL,
     "op3_line_dedup": _repeat_sql("string_split(text, chr(10))", f"trim(translate(p, {_SPACES}, '    '))", "chr(10)", ("n_lines", "n_removed"), _LINE_WINDOWS),
     "op8_span_dedup": _repeat_sql(
