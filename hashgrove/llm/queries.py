@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashgrove.llm import ans, bpe, decontam, lines, pages, quality, resampling, rules, sentences, simhash, toxicity
+from hashgrove.llm import ans, bpe, decontam, lines, pages, quality, resampling, rules, sentences, simhash, spelling, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return ans.read(spark, files, ids=False)
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with its near words, its form and the root of its forms."""
+    return spelling.spelling_variants(_table(spark, folder, "documents"))
+
+
 def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Importance of every document for the benchmark's distribution, and a draw of five in a hundred."""
     return resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -126,6 +131,7 @@ QUERIES = {
     "op8_span_dedup": op8_span_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_files": op10_token_files,
+    "op11_spelling": op11_spelling,
     "op13_resampling": op13_resampling,
 }
 
@@ -141,6 +147,22 @@ def _crc_sql(digits: str) -> str:
     return f"xor(4294967295, list_reduce({octets}, lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1]), 4294967295))"
 
 
+_SPELLING_SQL = rf"""
+    WITH RECURSIVE run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+    each AS (SELECT w, hex(coalesce(CAST(doc_id AS varchar), '') || ':' || w) AS b, count(*) AS n FROM run GROUP BY doc_id, w),
+    hashed AS (SELECT w, n, {_crc_sql("b")} AS h FROM each),
+    cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS bigint)) || substr(w, CAST(h % length(w) AS bigint) + 2) ELSE w END AS word, n FROM hashed),
+    v AS MATERIALIZED (SELECT word, CAST(sum(n) AS bigint) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    gone AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    near AS (SELECT g.word AS a, v.word AS b FROM gone g JOIN v ON v.word = g.rest UNION SELECT v.word, g.word FROM gone g JOIN v ON v.word = g.rest
+        UNION SELECT x.word, y.word FROM gone x JOIN gone y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+    best AS (SELECT a, count(*) AS n_near, max(n) AS best_n, arg_min(b, (-n, b)) AS best FROM near JOIN v ON v.word = b GROUP BY a),
+    formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+        FROM v LEFT JOIN best ON a = word),
+    way AS (SELECT word, word AS at FROM formed UNION ALL SELECT way.word, f.form FROM way JOIN formed f ON f.word = way.at WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN way ON way.word = f.word JOIN formed e ON e.word = way.at WHERE e.form IS NULL"""
+
+
 _RESAMPLING_SQL = rf"""
     WITH t AS (SELECT doc_id AS id, TRUE AS own, coalesce(text, '') AS text FROM documents UNION ALL SELECT item_id, FALSE, coalesce(text, '') FROM benchmark),
     l AS (SELECT id, own, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
@@ -185,6 +207,7 @@ _RULES_SQL = r"""
 
 
 ORACLES = {
+    "op11_spelling": _SPELLING_SQL,
     "op13_resampling": _RESAMPLING_SQL,
     "op6_quality_rules": _RULES_SQL,
     "op3_line_dedup": _repeat_sql("string_split(text, chr(10))", f"trim(translate(p, {_SPACES}, '    '))", "chr(10)", ("n_lines", "n_removed"), _LINE_WINDOWS),
