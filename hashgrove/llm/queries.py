@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashgrove.llm import ans, bpe, decontam, lines, pages, quality, resampling, rules, sentences, simhash, spelling, toxicity
+from hashgrove.llm import ans, bpe, decontam, language, lines, pages, quality, resampling, rules, sentences, simhash, spelling, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,6 +84,14 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, folder, "documents"))
 
 
+def op12_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; the held-out fifth is not learned from."""
+    docs = _table(spark, folder, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    found = language.identify(docs, language.fit(docs.where(fold != 0)))
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Importance of every document for the benchmark's distribution, and a draw of five in a hundred."""
     return resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -132,6 +140,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_token_files": op10_token_files,
     "op11_spelling": op11_spelling,
+    "op12_language": op12_language,
     "op13_resampling": op13_resampling,
 }
 

@@ -89,4 +89,4 @@ def test_stages_take_awkward_rows(spark, name):
 def test_stages_are_registered():
     import __spark_entry__
 
-    assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {re.match(r"op\d+|\w+", q)[0] for q in __spark_entry__.queries()}
+    assert {"pipeline", *(f"op{n}" for n in range(1, 14))} <= {re.match(r"op\d+|\w+", q)[0] for q in __spark_entry__.queries()}
