@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, timedelta
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from hashgrove.operators import (
     vitals,
 )
 from hashgrove.session import fresh_path, materialize
-from hashgrove.sources import dated, markers, sharded
+from hashgrove.sources import dated, manifest, markers, sharded
 from hashgrove.sources.tables import read_table
 from hashgrove.sources.text import write_text
 from hashgrove.sources.views import read_view
@@ -461,6 +463,80 @@ def marker_cycle(spark, folder):
     return markers.input_readiness(required.distinct(), listed)
 
 
+def _committed_events(spark, folder, root, **how):
+    """All days but one committed below ``root``; that one's write is killed half way."""
+    events = read_table(spark, folder, "events").select(
+        text.hex_shard(F.md5(F.col("user_id").cast("string"))).alias("shard"), F.to_date("ts").alias("day"), "event_id", "event_type"
+    )
+    kept, lost = events.where(F.col("day") != F.lit(LOST_DAY)), events.where(F.col("day") == F.lit(LOST_DAY))
+    manifest.write_committed(kept, root, "shard", "day", separator="|", part=F.col("event_id") % 3, **how)
+    died = F.when(F.col("event_id") % 2 == 0, F.raise_error(F.lit("killed half way"))).otherwise(F.col("event_type"))
+    try:
+        manifest.write_committed(lost.withColumn("event_type", died), root, "shard", "day", separator="|", part=F.col("event_id") % 3)
+    except PySparkException as error:
+        if "killed half way" not in str(error):
+            raise
+    return events
+
+
+@query
+def manifest_write(spark, folder):
+    """Files, rows and bytes that the markers of a committed write declare, and the number of files they list."""
+    root = fresh_path(spark, "manifest")
+    _committed_events(spark, folder, root, codec="zst")
+    found = manifest.read_manifests(spark, root)
+    metric = F.col("metrics")
+    return found.select(
+        "shard",
+        "day",
+        metric["committer_commits_completed"].alias("declared"),
+        F.size("filenames").cast("bigint").alias("listed"),
+        metric["records_written"].alias("records"),
+        metric["stream_write_total_data"].alias("raw_bytes"),
+    )
+
+
+@query
+def manifest_audit(spark, folder):
+    """The audits of committed output on markers that the sink wrote: lost folders and parts, foreign commits, shared job ids, counts."""
+    root = fresh_path(spark, "manifest")
+    events = _committed_events(spark, folder, root, codec="txt")
+    found = manifest.read_manifests(spark, root).withColumn("shard", F.concat_ws("/", "shard", "day"))
+    files = markers.marker_files(materialize(found, "manifests"))
+    files = files.withColumn("path_shard", F.concat_ws("/", "path_shard", "path_day"))
+    # folders that the table must have: one for each shard and day
+    wanted = [r["place"] for r in events.select(F.concat_ws("/", "shard", F.date_format("day", "yyyyMMdd")).alias("place")).distinct().collect()]
+    one = F.count(F.lit(1)).alias("n")
+    checks = [
+        audit.missing_parts(files, wanted, 3).groupBy(F.lit("missing part").alias("what"), F.col("path_shard").alias("place")).agg(one),
+        audit.cross_shard_commits(files).select(F.lit("foreign file").alias("what"), F.col("path_shard").alias("place"), F.col("files").alias("n")),
+        audit.job_id_collisions(files).select(F.lit("shared job").alias("what"), F.lit("all").alias("place"), F.col("shards").alias("n")),
+        audit.declared_against_listed(markers.marker_summary(found), 3).select(F.lit("uneven").alias("what"), F.col("committed_by").alias("place"), F.col("listed").alias("n")),
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
+@query
+def manifest_scan(spark, folder):
+    """Markers of some days and shards; the others are not opened."""
+    root = fresh_path(spark, "manifest")
+    _committed_events(spark, folder, root, codec="txt")
+    asked = (F.col("day") >= f"{FIRST_DAY:%Y%m%d}") & (F.col("day") <= f"{LOST_DAY:%Y%m%d}") & F.col("shard").isin("0", "7", "a", "s")
+    return manifest.read_manifests(spark, root).where(asked).select("shard", "day", F.col("metrics")["records_written"].alias("records"))
+
+
+@query
+def manifest_replace(spark, folder):
+    """Lines of a committed dataset after one day was written again with other rows."""
+    root = fresh_path(spark, "manifest")
+    events = _committed_events(spark, folder, root)
+    again = events.where(F.col("day") == F.lit(LAST_DAY)).withColumn("event_type", F.lit("again"))
+    manifest.write_committed(again, root, "shard", "day", files_per_folder=2, separator="|", replace=True)
+    fields = F.split("value", r"\|")
+    lines = manifest.read_committed(manifest.read_manifests(spark, root))
+    return lines.select("shard", "day", fields[0].cast("bigint").alias("event_id"), fields[1].alias("event_type"))
+
+
 @query
 def single_file(spark, folder):
     path = fresh_path(spark, "single")

@@ -184,6 +184,9 @@ def _moment(measure: str, column: str) -> str:
     )
 
 
+_EVENT_FILES = """SELECT substring(md5(CAST(user_id AS varchar)), 1, 1) AS shard, strftime(ts, '%Y%m%d') AS day, event_id % 3 AS part,
+    event_id, event_type FROM events"""
+
 ORACLES: dict[str, str] = {
     "remove_scrapers": _sql(
         ["tracking_events"],
@@ -565,6 +568,16 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
     "marker_cycle": """SELECT event_type AS job, count(*) FILTER (WHERE day(day) % 7 = 0) = 0 AS ready,
         count(*) FILTER (WHERE day(day) % 7 = 0) AS missing
         FROM (SELECT DISTINCT event_type, CAST(ts AS date) AS day FROM events) GROUP BY event_type""",
+    "manifest_write": """SELECT shard, day, count(DISTINCT part) AS declared, count(DISTINCT part) AS listed, count(*) AS records,
+        CAST(sum(length(concat_ws('|', event_id, event_type)) + 1) AS bigint) AS raw_bytes FROM (%s) WHERE day <> '20240110' GROUP BY shard, day""" % _EVENT_FILES,
+    "manifest_audit": """WITH e AS (%s), f AS (SELECT DISTINCT shard || '/' || day AS place, part FROM e WHERE day <> '20240110'),
+        p AS (SELECT DISTINCT shard || '/' || day AS place FROM e), t AS (SELECT place, count(part) AS n FROM p LEFT JOIN f USING (place) GROUP BY place)
+        SELECT 'missing part' AS what, place, 3 - n AS n FROM t WHERE n < 3 UNION ALL SELECT 'uneven', place, n FROM t WHERE n BETWEEN 1 AND 2
+        UNION ALL SELECT 'shared job', 'all', count(DISTINCT place) FROM f""" % _EVENT_FILES,
+    "manifest_scan": """SELECT shard, day, count(*) AS records FROM (%s) WHERE day BETWEEN '20240105' AND '20240109' AND shard IN ('0', '7', 'a', 's')
+        GROUP BY shard, day""" % _EVENT_FILES,
+    "manifest_replace": """SELECT shard, day, event_id, CASE WHEN day = '20240109' THEN 'again' ELSE event_type END AS event_type
+        FROM (%s) WHERE day <> '20240110'""" % _EVENT_FILES,
     "single_file": "SELECT concat_ws('|', event_type, count(*)) AS value, 1 AS files FROM events GROUP BY event_type",
     "nonempty_groups": _impressions(
         """SELECT buyeruid_source AS "group", count(*) AS n FROM impressions

@@ -26,8 +26,8 @@ MARKER_SCHEMA = T.StructType(
         T.StructField("filenames", T.ArrayType(T.StringType())),
     ]
 )
-# Fixed values: <dataset>/<shard>/<yyyyMMdd>/part-r-<part>-job_<job id>.<codec>
-FILE_PATTERN = r"/([^/]+)/(\d{8})/part-[a-z]-(\d+)-(job_[0-9]+_[0-9]+)\.([a-z0-9]+)$"
+# Fixed values: <dataset>/<shard>/<yyyyMMdd>/part-r-<part>-job_<job id>.<codec>; our own sink puts -<attempt> behind the job
+FILE_PATTERN = r"/([^/]+)/(\d{8})/part-[a-z]-(\d+)-(job_[0-9]+_[0-9]+)(?:-[0-9]+)?\.([a-z0-9]+)$"
 PLACE_PATTERN = r"/([^/]+)/(\d{8})/_SUCCESS$"
 # the same for folders <dataset>/date=<yyyy-MM-dd>/
 DATED_PATTERN = r"/([^/]+)/(?:date=)?([0-9-]+)/_SUCCESS$"
