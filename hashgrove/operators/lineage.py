@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hashgrove.operators import graphs
 from hashgrove.operators.keyed import left_join
 from hashgrove.session import fresh_path, materialize
 
@@ -125,35 +125,19 @@ def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return _reach(edges, max_rounds).all()
 
 
-def cycles(reach: DataFrame) -> DataFrame:
-    """Tasks that reach themselves, from a closure."""
-    return reach.where("src = dst").select(F.col("src").alias("task"))
+def cycles(edges: DataFrame) -> DataFrame:
+    """Tasks that reach themselves, with the least task of their cycle's component: rows (task, component)."""
+    return graphs.strong_components(edges).select(F.col("node").alias("task"), "component")
 
 
-def reduction(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def reduction(edges: DataFrame) -> DataFrame:
     """Edges without those that another direct successor of the same task makes redundant.
 
     An edge (n, t) is redundant if some direct successor of n reaches t. Raises on a cycle, where
-    this rule would drop edges that nothing replaces.
+    this rule would drop edges that nothing replaces. No closure is made: see ``graphs.redundant``.
     """
-    log = _reach(edges, max_rounds)
-    direct, reach = log.first(), log.all()
-    if not cycles(reach).isEmpty():
-        raise ValueError("dependencies form a cycle")
-    detours = (
-        direct.select("src", F.col("dst").alias("_mid"))
-        .join(reach.select(F.col("src").alias("_mid"), "dst"), "_mid")
-        .select("src", "dst")
-    )
-    # as in a closure round, an aggregate stands in for distinct and anti join
-    return (
-        direct.withColumn("_detour", F.lit(False))
-        .unionByName(detours.withColumn("_detour", F.lit(True)))
-        .groupBy("src", "dst")
-        .agg(F.bool_or("_detour").alias("_detour"), F.bool_or(~F.col("_detour")).alias("_edge"))
-        .where("_edge and not _detour")
-        .select("src", "dst")
-    )
+    direct = graphs.different(edges)
+    return direct.join(materialize(graphs.redundant(direct), "redundant"), ["src", "dst"], "left_anti")
 
 
 def sorted_edges(edges: DataFrame) -> DataFrame:
@@ -187,33 +171,24 @@ def spread_label(declarations: DataFrame, seeds: DataFrame, task: str = "task",
     """(task, reason) rows of a label that follows declarations: each seed has itself as its reason.
 
     A declaration (decl_id, side 'from' or 'to', task) with a labelled task on its 'from' side labels its 'to' side, and
-    every task of that 'from' side is a reason, labelled or not. Labelled tasks are found by a frontier: each
-    round follows only the declarations that the newest tasks trigger for the first time, so every declaration is
-    followed once. Rounds are as many as the longest chain.
+    every task of that 'from' side is a reason, labelled or not. Tasks and declarations are nodes of one graph, where the
+    declarations behind a seed are looked for; rows of declarations in a row are crossed in one round.
     """
-    before = declarations.where("side = 'from'").select("decl_id", F.col("task").alias("src")).distinct()
-    after = declarations.where("side = 'to'").select("decl_id", F.col("task").alias("dst")).distinct()
+    sides = declarations.where(F.col("task").isNotNull() & F.col("decl_id").isNotNull())
+    before = sides.where("side = 'from'").select("decl_id", F.col("task").alias("src")).distinct()
+    after = sides.where("side = 'to'").select("decl_id", F.col("task").alias("dst")).distinct()
     seeds = materialize(seeds.select(F.col(task).alias("task")).where(F.col("task").isNotNull()).distinct(), "label")
-    triggered, labelled, newest = [], [seeds], seeds
-    for _ in range(max_rounds):
-        fired = before.join(newest.select(F.col("task").alias("src")), "src", "left_semi").select("decl_id").distinct()
-        if triggered:
-            fired = fired.join(reduce(DataFrame.union, triggered), "decl_id", "left_anti")
-        fired = materialize(fired, "label")
-        if fired.isEmpty():
-            break
-        triggered.append(fired)
-        found = after.join(fired, "decl_id", "left_semi").select(F.col("dst").alias("task")).distinct()
-        newest = materialize(found.join(reduce(DataFrame.union, labelled), "task", "left_anti"), "label")
-        labelled.append(newest)
-    else:
-        raise RuntimeError(f"chains longer than {max_rounds} declarations")
-    own = seeds.select("task", F.col("task").alias("reason"))
-    if not triggered:
-        return own
-    fired = materialize(reduce(DataFrame.union, triggered), "label")
-    reasons = after.join(fired, "decl_id", "left_semi").join(before, "decl_id")
-    return own.unionByName(reasons.select(F.col("dst").alias("task"), F.col("src").alias("reason"))).distinct()
+
+    def node(kind: str, column: str) -> Column:
+        return F.concat(F.lit(kind), F.col(column).cast("string"))
+
+    into = before.select(node("t", "src").alias("src"), node("d", "decl_id").alias("dst"))
+    out = after.select(node("d", "decl_id").alias("src"), node("t", "dst").alias("dst"))
+    met = graphs.reachable(into.union(out), seeds.select(node("t", "task").alias("node")), max_rounds)
+    fired = materialize(met.where(F.col("node").startswith("d")), "label")
+    labelled = after.join(fired, node("d", "decl_id") == F.col("node"), "left_semi")
+    reasons = labelled.join(before, "decl_id").select(F.col("dst").alias("task"), F.col("src").alias("reason"))
+    return seeds.select("task", F.col("task").alias("reason")).unionByName(reasons).distinct()
 
 
 def ready_tasks(edges: DataFrame, done: DataFrame, task: str = "task") -> DataFrame:

@@ -739,7 +739,7 @@ def reduction(spark, folder):
 
 @query
 def cycles(spark, folder):
-    return lineage.cycles(lineage.closure(read_view(spark, folder, "cyclic_edges")))
+    return lineage.cycles(read_view(spark, folder, "cyclic_edges"))
 
 
 @query

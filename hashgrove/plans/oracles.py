@@ -498,7 +498,9 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
         """SELECT DISTINCT src, dst FROM edges e WHERE NOT EXISTS (
           SELECT 1 FROM edges f JOIN reach r ON f.dst = r.src WHERE f.src = e.src AND r.dst = e.dst)"""
     ),
-    "cycles": _closure("SELECT src AS task FROM reach WHERE src = dst", view="cyclic_edges"),
+    "cycles": _closure(
+        "SELECT a.src AS task, min(a.dst) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src", view="cyclic_edges"
+    ),
     "trigger_rules": _sql(
         ["dependency_edges"],
         """SELECT dst, CASE WHEN count(*) FILTER (WHERE mode = 'ok') > 0 THEN 'all_done'
