@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hashgrove.session import fresh_path, materialize
 
-HASHES = 3  # random orders behind the interval labels
+HASHES = 2  # random orders behind the interval labels
 FORWARD, BACKWARD = 0, 1  # sides: along the edges, against them
 
 
@@ -41,20 +41,25 @@ def different(edges: DataFrame) -> DataFrame:
 # --- chains --------------------------------------------------------------------------------------
 
 
-def chains(edges: DataFrame) -> DataFrame:
-    """Rows (node, head, chain, place, ring, least) of all nodes with one edge in and one out, of different edges.
+def degrees(edges: DataFrame) -> DataFrame:
+    """Rows (node, out, into, before): edges from and to each node of different edges, and the least node before it; written."""
+    kind = edges.schema["src"].dataType
+    outgoing = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), F.lit(None).cast(kind).alias("before"))
+    incoming = edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.col("src").alias("before"))
+    ends = outgoing.union(incoming).groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.min("before").alias("before"))
+    return materialize(ends, "degrees")
+
+
+def chains(ends: DataFrame) -> DataFrame:
+    """Rows (node, head, chain, place, ring, least) of all nodes with one edge in and one out, from ``degrees``.
 
     A chain is named by its first node; ``place`` counts from 0, and ``head`` is the node before the chain. Where such nodes
     form a cycle of their own, ``ring`` is true and ``least`` names it. The reach of a pointer doubles in each round.
     """
-    kind = edges.schema["src"].dataType
-    outgoing = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), F.lit(None).cast(kind).alias("head"))
-    incoming = edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.col("src").alias("head"))
-    ends = outgoing.union(incoming).groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.min("head").alias("head"))
     inner = ends.where("out = 1 and into = 1")
     # least: of the nodes from the one before up to the pointer's end
-    way = inner.select("node", "head", F.col("node").alias("chain"), F.lit(1).cast("bigint").alias("steps"), F.col("head").alias("least"), F.lit(True).alias("open"))
-    way, left = materialize(way, "chains"), None
+    way = inner.select("node", F.col("before").alias("head"), F.col("node").alias("chain"), F.lit(1).cast("bigint").alias("steps"), F.col("before").alias("least"), F.lit(True).alias("open"))
+    left = None
     while True:
         further = way.select(F.col("node").alias("head"), *[F.col(c).alias(f"_{c}") for c in ("head", "chain", "steps", "least", "open")])
         way = way.join(further, "head", "left").select(
@@ -78,60 +83,60 @@ def chains(edges: DataFrame) -> DataFrame:
     return way.select("node", "head", "chain", (F.col("steps") - 1).alias("place"), F.col("open").alias("ring"), "least")
 
 
-def contracted(edges: DataFrame, way: DataFrame) -> DataFrame:
-    """Edges (src, dst, direct) with each chain as one node, under its name; rings are left out. ``direct``: neither end is a chain."""
+def contracted(edges: DataFrame, way: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Edges (src, dst, direct) with each chain as one node, under its name; rings are left out. ``direct``: neither end is a chain.
+
+    With ``ends`` also ``into``, the edges into ``dst``, and ``out``, those from ``src``: contraction does not change them.
+    """
     named = way.select("node", "chain", "ring")
-    first, last = (named.select(F.col("node").alias(end), F.col("chain").alias(f"{end}_chain"), F.col("ring").alias(f"{end}_ring")) for end in ("src", "dst"))
-    both = edges.join(first, "src", "left").join(last, "dst", "left")
+    counts = ()
+    if ends is not None:
+        named, counts = materialize(ends.select("node", "out", "into").join(named, "node", "left"), "nodes"), ("into", "out")
+    first, last = (named.select(*[F.col(c).alias(f"{end}_{c}") for c in named.columns]) for end in ("src", "dst"))
+    both = edges.join(first, F.col("src") == F.col("src_node"), "left").join(last, F.col("dst") == F.col("dst_node"), "left")
     outside = both.where("not coalesce(src_ring, false) and not (src_chain <=> dst_chain and src_chain is not null)")
     direct = F.col("src_chain").isNull() & F.col("dst_chain").isNull()
-    return materialize(outside.select(F.coalesce("src_chain", "src").alias("src"), F.coalesce("dst_chain", "dst").alias("dst"), direct.alias("direct")), "arcs")
+    sized = [F.col(f"{end}_{c}").alias(c) for end, c in zip(("dst", "src"), counts)]
+    return materialize(outside.select(F.coalesce("src_chain", "src").alias("src"), F.coalesce("dst_chain", "dst").alias("dst"), direct.alias("direct"), *sized), "arcs")
 
 
 # --- peeling -------------------------------------------------------------------------------------
 
 
-def _own(node: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(k), node) for k in range(HASHES)]
-
+LOW, HIGH = [f"low{k}" for k in range(HASHES)], [f"high{k}" for k in range(HASHES)]
 
-def _labels() -> tuple[list[str], list[str]]:
-    return [f"low{k}" for k in range(HASHES)], [f"high{k}" for k in range(HASHES)]
 
-
-def both_sides(arcs: DataFrame) -> DataFrame:
-    """Arcs (side, src, dst, need) along and against the edges, with the number of arcs into ``dst``; written."""
-    along = arcs.select(F.lit(FORWARD).alias("side"), "src", "dst")
-    sides = along.union(arcs.select(F.lit(BACKWARD).alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst")))
-    need = materialize(sides.groupBy("side", "dst").agg(F.count("*").alias("need")), "degrees")
-    return materialize(sides.join(need, ["side", "dst"]).select("side", "src", "dst", "need"), "arcs")
-
-
-def peel(sides: DataFrame) -> DataFrame:
-    """Rows (side, node, level, low.., high..) of the nodes that peeling from the ends takes away, from both sides at once.
+def peel(arcs: DataFrame, back: bool = False, labels: bool = True) -> DataFrame:
+    """Rows (side, node, level and labels) of the nodes that peeling from the start, or with ``back`` from both ends at once, takes away.
 
     A node goes when all before it have gone; its level is the longest way to it. With random hashes of the nodes, ``low`` and
     ``high`` are the least and greatest of a node and all before it. Nodes on a cycle, and behind it on that side, are missing.
+    ``arcs`` has src, dst, into and out.
     """
-    low, high = _labels()
-    node = F.col("node")
-    first = sides.select("side", F.col("src").alias("node")).distinct().join(sides.select("side", F.col("dst").alias("node")), ["side", "node"], "left_anti")
-    hashes = _own(node)
-    shape = ["side", "node", "need", "got", "level", *low, *high]
-    none = F.lit(0).cast("bigint")
-    start = first.select("side", "node", none.alias("need"), none.alias("got"), F.lit(0).alias("level"), *[h.alias(n) for n, h in zip(low + high, hashes * 2)])
-    log = Log(sides.sparkSession, "peeled")
-    newest, waiting = log.add(start), None
-    frontier = newest
+    low, high = (LOW, HIGH) if labels else ([], [])
+    hashes = [F.xxhash64(F.lit(k), "node") for k in range(len(low))]
+    side = F.lit(FORWARD).alias("side")
+    sides = arcs.select(side, "src", "dst", F.col("into").cast("int").alias("need"))
+    # a node without an arc into it is the source of one
+    met_by = arcs.select(side, F.col("dst").alias("node"))
+    if back:
+        other = F.lit(BACKWARD).alias("side")
+        sides = sides.union(arcs.select(other, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("out").cast("int").alias("need")))
+        met_by = met_by.union(arcs.select(other, F.col("src").alias("node")))
+    first = sides.select("side", F.col("src").alias("node")).distinct().join(met_by, ["side", "node"], "left_anti")
+    none = F.lit(0)
+    start = first.select("side", "node", none.alias("need"), none.alias("got"), none.alias("level"), *[h.alias(n) for n, h in zip(low + high, hashes * 2)])
+    log = Log(arcs.sparkSession, "peeled")
+    frontier, waiting = log.add(start), None
     while not frontier.isEmpty():
         front = frontier.select("side", F.col("node").alias("src"), "level", *low, *high)
-        sent = sides.join(front, ["side", "src"]).select("side", F.col("dst").alias("node"), "need", F.lit(1).cast("bigint").alias("got"), (F.col("level") + 1).alias("level"), *low, *high)
+        sent = sides.join(front, ["side", "src"]).select("side", F.col("dst").alias("node"), "need", F.lit(1).alias("got"), (F.col("level") + 1).alias("level"), *low, *high)
         met = sent if waiting is None else sent.unionByName(waiting)
         ends = [F.min(n).alias(n) for n in low] + [F.max(n).alias(n) for n in high]
-        met = met.groupBy("side", "node", "need").agg(F.sum("got").alias("got"), F.max("level").alias("level"), *ends)
+        met = met.groupBy("side", "node", "need").agg(F.sum("got").cast("int").alias("got"), F.max("level").alias("level"), *ends)
         full = F.col("got") == F.col("need")
         own = [F.when(full, F.least(n, h)).otherwise(F.col(n)).alias(n) for n, h in zip(low, hashes)] + [F.when(full, F.greatest(n, h)).otherwise(F.col(n)).alias(n) for n, h in zip(high, hashes)]
-        newest = log.add(met.select("side", "node", "need", "got", "level", *own).select(*shape))
+        newest = log.add(met.select("side", "node", "need", "got", "level", *own))
         frontier, waiting = newest.where("got = need"), newest.where("got < need")
     return log.all().where("got = need").drop("need", "got")
 
@@ -145,7 +150,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> D
     Chains are crossed in one round, so rounds follow the depth of what branches, plus the logarithm of the longest chain.
     """
     edges = different(edges)
-    way = chains(edges)
+    way = chains(degrees(edges))
     arcs = contracted(edges, way)
     seeds = materialize(seeds.select("node").where("node is not null").distinct(), "seeds")
     inside = materialize(way.join(seeds, "node", "left_semi"), "seeds")
@@ -172,15 +177,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> D
 
 
 def _possible(x: str, y: str) -> Column:
-    """Whether labels of both sides leave it open that x reaches y: intervals before x lie in those before y, intervals behind y in those behind x."""
-    tests = [F.col(f"{x}.forward.level") < F.col(f"{y}.forward.level"), F.col(f"{x}.backward.level") > F.col(f"{y}.backward.level")]
-    for low, high in zip(*_labels()):
-        tests += [F.col(f"{y}.forward.{low}") <= F.col(f"{x}.forward.{low}"), F.col(f"{x}.forward.{high}") <= F.col(f"{y}.forward.{high}")]
-        tests += [F.col(f"{x}.backward.{low}") <= F.col(f"{y}.backward.{low}"), F.col(f"{y}.backward.{high}") <= F.col(f"{x}.backward.{high}")]
-    out = tests[0]
-    for test in tests[1:]:
-        out = out & test
-    return out
+    """Whether the labels leave it open that x reaches y: it has the lower level, and its intervals lie within those of y."""
+    open_ = F.col(f"{x}.level") < F.col(f"{y}.level")
+    for low, high in zip(LOW, HIGH):
+        open_ = open_ & (F.col(f"{y}.{low}") <= F.col(f"{x}.{low}")) & (F.col(f"{x}.{high}") <= F.col(f"{y}.{high}"))
+    return open_
 
 
 def _search(arcs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -188,12 +189,14 @@ def _search(arcs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
     log, hits = Log(arcs.sparkSession, "search"), Log(arcs.sparkSession, "search")
     named = marks.select(F.col("node").alias("y"), F.col("mark").alias("y_mark"))
     newest = log.add(pairs.select("x", "y", F.col("x").alias("z")))
+    steps = arcs.select(F.col("src").alias("z"), "dst")
     while not newest.isEmpty():
-        on = materialize(newest.join(arcs.select(F.col("src").alias("z"), "dst"), "z").select("x", "y", F.col("dst").alias("z")).distinct(), "search")
+        on = newest.join(steps, "z").select("x", "y", F.col("dst").alias("z")).distinct()
+        known = on.join(log.all(), ["x", "y", "z"], "left_anti").join(marks.select(F.col("node").alias("z"), F.col("mark").alias("z_mark")), "z").join(named, "y")
+        on = materialize(known.where((F.col("z") == F.col("y")) | _possible("z_mark", "y_mark")).select("x", "y", "z"), "search")
         hit = hits.add(on.where("z = y").select("x", "y"))
-        on = on.join(hit, ["x", "y"], "left_anti").join(marks.select(F.col("node").alias("z"), F.col("mark").alias("z_mark")), "z").join(named, "y")
-        newest = log.add(on.where(_possible("z_mark", "y_mark")).select("x", "y", "z").join(log.all(), ["x", "y", "z"], "left_anti"))
-    return hits.all().distinct() if hits.paths else pairs.limit(0)
+        newest = log.add(on.join(hit, ["x", "y"], "left_anti"))
+    return hits.all() if hits.paths else pairs.limit(0)
 
 
 def redundant(edges: DataFrame) -> DataFrame:
@@ -203,25 +206,20 @@ def redundant(edges: DataFrame) -> DataFrame:
     reaches its target; the smaller of these groups is tested, so a hub costs no more than its neighbours' edges. Levels tell most
     edges apart, direct edges and interval labels most of the tested pairs; only what they leave open is searched.
     """
-    way = chains(edges)
+    ends = degrees(edges)
+    way = chains(ends)
     if not way.where("ring").isEmpty():
         raise ValueError("dependencies form a cycle")
-    arcs = contracted(edges, way)
-    sides = both_sides(arcs)
-    peeled = peel(sides)
-    low, high = _labels()
-    mark = F.struct("level", *low, *high)
-    marks = peeled.groupBy("node").agg(F.max(F.when(F.col("side") == FORWARD, mark)).alias("forward"), F.max(F.when(F.col("side") == BACKWARD, mark)).alias("backward"))
-    marks = materialize(marks.select("node", F.struct("forward", "backward").alias("mark")), "marks")
-    if not marks.where("mark.forward is null or mark.backward is null").isEmpty() or marks.isEmpty() != arcs.isEmpty() or not arcs.join(marks, F.col("src") == F.col("node"), "left_anti").isEmpty():
+    arcs = contracted(edges, way, ends)
+    marks = materialize(peel(arcs).select("node", F.struct("level", *LOW, *HIGH).alias("mark")), "marks")
+    level = marks.select("node", F.col("mark.level").alias("level"))
+    # what peeling leaves has an arc into it
+    leveled = arcs.join(level.select(F.col("node").alias("dst"), F.col("level").alias("high")), "dst", "left")
+    leveled = leveled.join(level.select(F.col("node").alias("src"), F.col("level").alias("low")), "src", "left")
+    # the longest way to the target is longer than this edge; or there is a cycle
+    asked = materialize(leveled.where("high is null or direct and high > low + 1 and into > 1 and out > 1").select("src", "dst", "into", "out", "high"), "asked")
+    if not asked.where("high is null").isEmpty():
         raise ValueError("dependencies form a cycle")
-    into = sides.where(F.col("side") == FORWARD).select("src", "dst", F.col("need").alias("into"))
-    out = sides.where(F.col("side") == BACKWARD).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("need").alias("out"))
-    level = marks.select("node", F.col("mark.forward.level").alias("level"))
-    sized = into.join(out, ["src", "dst"]).join(arcs.where("direct").select("src", "dst"), ["src", "dst"], "left_semi")
-    sized = sized.join(level.select(F.col("node").alias("src"), F.col("level").alias("low")), "src").join(level.select(F.col("node").alias("dst"), F.col("level").alias("high")), "dst")
-    # the longest way to the target is longer than this edge
-    asked = materialize(sized.where("high > low + 1 and into > 1 and out > 1").select("src", "dst", "into", "out"), "asked")
     before = asked.where("into <= out").join(arcs.select(F.col("src").alias("y"), "dst"), "dst").where("y <> src").select("src", "dst", F.col("src").alias("x"), "y")
     behind = asked.where("into > out").join(arcs.select("src", F.col("dst").alias("x")), "src").where("x <> dst").select("src", "dst", "x", F.col("dst").alias("y"))
     pairs = materialize(before.union(behind), "pairs")
@@ -231,8 +229,8 @@ def redundant(edges: DataFrame) -> DataFrame:
     for end in "xy":
         rest = rest.join(marks.select(F.col("node").alias(end), F.col("mark").alias(f"{end}_mark")), end)
     rest = materialize(rest.where(_possible("x_mark", "y_mark")).select("src", "dst", "x", "y"), "open")
-    hits = _search(arcs, materialize(rest.select("x", "y").distinct(), "open"), marks)
-    return found.union(rest.join(hits, ["x", "y"], "left_semi").select("src", "dst")).distinct()
+    hits = _search(arcs, rest.select("x", "y").distinct(), marks)
+    return found.union(rest.join(hits, ["x", "y"], "left_semi").select("src", "dst").distinct())
 
 
 # --- components ----------------------------------------------------------------------------------
@@ -252,10 +250,18 @@ def _colours(arcs: DataFrame) -> DataFrame:
 
 
 def _trimmed(arcs: DataFrame) -> DataFrame:
-    """Arcs between nodes that peeling from neither side takes away."""
-    gone = materialize(peel(both_sides(arcs)).select("node").distinct(), "trimmed")
+    """Arcs (src, dst) between nodes that peeling from neither side takes away; ``arcs`` has src, dst, into and out."""
+    gone = materialize(peel(arcs, back=True, labels=False).select("node").distinct(), "trimmed")
     first, last = gone.select(F.col("node").alias("src")), gone.select(F.col("node").alias("dst"))
-    return materialize(arcs.join(first, "src", "left_anti").join(last, "dst", "left_anti"), "core")
+    return materialize(arcs.select("src", "dst").join(first, "src", "left_anti").join(last, "dst", "left_anti"), "core")
+
+
+def _counted(arcs: DataFrame) -> DataFrame:
+    """``arcs`` with the numbers of arcs into ``dst`` and from ``src``, written."""
+    arcs = materialize(arcs, "core")
+    ends = degrees(arcs).select("node", "out", "into")
+    both = arcs.join(ends.select(F.col("node").alias("dst"), "into"), "dst").join(ends.select(F.col("node").alias("src"), "out"), "src")
+    return materialize(both, "core")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -266,8 +272,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     is repeated on what is left, which loses a node of every colour each time.
     """
     edges = different(edges)
-    way = chains(edges)
-    arcs = _trimmed(contracted(edges, way).select("src", "dst"))
+    ends = degrees(edges)
+    way = chains(ends)
+    arcs = _trimmed(contracted(edges, way, ends))
     found = Log(edges.sparkSession, "components")
     found.add(arcs.limit(0).select(F.col("src").alias("node"), F.col("src").alias("colour")))
     while not arcs.isEmpty():
@@ -284,7 +291,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         roots = colours.where("node = colour").select("node")
         gone = materialize(own.all().select("node").union(roots).distinct(), "components")
         left = arcs.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
-        arcs = _trimmed(left)
+        if left.isEmpty():
+            break
+        arcs = _trimmed(_counted(left))
     members = found.all().distinct()
     chained = way.where("not ring").select("node", "chain")
     whole = members.join(chained.select("node", F.col("chain")).withColumnsRenamed({"node": "inner", "chain": "node"}), "node").select(F.col("inner").alias("node"), "colour")
