@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hashgrove.functions.text import filled
 from hashgrove.operators import impressions as imp
+from hashgrove.operators import sketches
 from hashgrove.session import materialize
 
 # Names of groups, reserved bidders and report labels; number of heavy hitters.
@@ -43,12 +44,14 @@ class GroupStatistics:
     """Long tables per group.
 
     moments: measure, n, mean, m2 (sum of squared deviations); sums: measure, total;
-    categories: measure, value, n.
+    categories: measure, value, n; rests: like moments, over the bidder's rows outside the group, where
+    they are known.
     """
 
     moments: DataFrame
     sums: DataFrame
     categories: DataFrame
+    rests: DataFrame | None = None
 
 
 def _group_array(
@@ -123,9 +126,11 @@ def _aggregate_cells(
     for i, name in enumerate(names):
         value = F.when(own, F.col(f"_v_{i}"))
         if name in moments:
+            # the average of equal values is that value, whatever rounding says
+            same = F.when(F.min(value) == F.max(value), F.min(value).cast("double"))
             aggregates += [
                 F.count(value).alias(f"n_{i}"),
-                F.avg(value).alias(f"mean_{i}"),
+                F.coalesce(same, F.avg(value)).alias(f"mean_{i}"),
                 (F.var_pop(value) * F.count(value)).alias(f"m2_{i}"),
             ]
         else:
@@ -193,8 +198,11 @@ def _as_categories(categories: Mapping[str, Column | Category]) -> dict[str, Cat
 
 def _merge_moments(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Pool (n, mean, m2) per key around the pooled mean, found first."""
+    # equal means stay what they are, so that values without spread get none by rounding
+    least, greatest = F.min("mean"), F.max("mean")
+    weighed = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
     pooled = cells.groupBy(*keys, "measure").agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")
+        F.sum("n").alias("n"), F.when(least == greatest, least).otherwise(weighed).alias("mean")
     )
     centre = pooled.select(*keys, "measure", F.col("n").alias("_n"), F.col("mean").alias("_mean"))
     gap = F.col("mean") - F.col("_mean")
@@ -209,6 +217,22 @@ def _merge_moments(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _rests(copies: DataFrame) -> DataFrame:
+    """Moments of each group's rest from copies of cells: the cells of the bidder that are not in the group, pooled.
+
+    Cells, not values, are compared and pooled, and nothing is subtracted.
+    """
+    cell = [F.col(c).alias(f"_{c}") for c in CELL]
+    whole = copies.where(F.col("grp") == ALL).select("bidder", *cell, "measure", "n", "mean", "m2")
+    # a bidder has at most four groups by construction
+    names = copies.where(F.col("grp") != ALL).select("bidder", "grp").distinct()
+    own = copies.where(F.col("grp") != ALL).select(F.col("bidder").alias("_b"), F.col("grp").alias("_g"), *[F.col(c).alias(f"_o_{c}") for c in CELL]).distinct()
+    same = (F.col("bidder") == F.col("_b")) & (F.col("grp") == F.col("_g"))
+    for c in CELL:
+        same = same & F.col(f"_{c}").eqNullSafe(F.col(f"_o_{c}"))
+    return _merge_moments(whole.join(names, "bidder").join(own, same, "left_anti"), GROUP)
+
+
 def _top_values(counts: DataFrame, keys: tuple[str, ...], top: int) -> DataFrame:
     """The ``top`` most frequent values per key and measure, ties by value."""
     rank = F.row_number().over(
@@ -233,31 +257,11 @@ def _sketched(
     fan_out: Callable[[DataFrame], DataFrame],
     top: int,
 ) -> DataFrame:
-    """Heavy hitters by mergeable sketches, one per key and category."""
-    names = list(categories)
-    rows = df.select(
-        *[c.alias(k) for k, c in keys.items()],
-        *[c.label(c.source).cast("string").alias(f"_v_{i}") for i, c in enumerate(categories.values())],
-    )
-    sketches = rows.groupBy(*keys).agg(
-        *[F.expr(f"approx_top_k_accumulate(_v_{i})").alias(f"_s_{i}") for i in range(len(names))]
-    )
-    merged = (
-        fan_out(sketches)
-        .groupBy(*GROUP)
-        .agg(*[F.expr(f"approx_top_k_combine(_s_{i})").alias(f"_s_{i}") for i in range(len(names))])
-    )
-
-    def hitters_of(i: int, measure: str) -> Column:
-        return F.transform(
-            F.expr(f"approx_top_k_estimate(_s_{i}, {int(top)})"),
-            lambda e: F.struct(
-                F.lit(measure).alias("measure"), e["item"].alias("value"), e["count"].alias("n")
-            ),
-        )
-
-    hitters = [hitters_of(i, m) for i, m in enumerate(names)]
-    return merged.select(*GROUP, F.inline(F.flatten(F.array(*hitters)))).where("value is not null")
+    """Heavy hitters by count-min sketches, one per key and category, merged where keys belong to several groups."""
+    found = sketches.summarise(df, keys, {m: c.label(c.source) for m, c in categories.items()})
+    grouped = sketches.regrouped(found, fan_out, GROUP)
+    written = sketches.Sketch(GROUP, grouped.shape, materialize(grouped.cells, "sketch"), grouped.candidates)
+    return sketches.heavy_hitters(written, top).withColumnRenamed("category", "measure").select(*GROUP, "measure", "value", "n")
 
 
 def group_aggregates(
@@ -307,10 +311,18 @@ def bidder_statistics(
     """``group_aggregates`` over ``fan_out_groups``, aggregating rows before they are copied.
 
     The cells are written first, so that all tables share one pass over ``df``; ``written=False``
-    keeps the plan lazy at the price of a pass for each use.
+    keeps the plan lazy at the price of a pass for each use. With ``approx`` the columns that count are written first, as they are
+    read for the cells and for the sketches.
     """
     categories = _as_categories(categories)
     keys = {CELL[0]: bidder.cast("string"), CELL[1]: id_hash.isNotNull()}
+    if approx and written:
+        named = [*keys.items(), *[(f"_m_{i}", c) for i, c in enumerate(moments.values())], *[(f"_t_{i}", c) for i, c in enumerate(sums.values())]]
+        named += [(f"_c_{i}", c.label(c.source)) for i, c in enumerate(categories.values())]
+        df = materialize(df.select(*[c.alias(name) for name, c in named]), "group-columns")
+        keys = {k: F.col(k) for k in keys}
+        moments, sums = {m: F.col(f"_m_{i}") for i, m in enumerate(moments)}, {m: F.col(f"_t_{i}") for i, m in enumerate(sums)}
+        categories = {m: Category(F.col(f"_c_{i}")) for i, m in enumerate(categories)}
 
     def fan_out(cells: DataFrame) -> DataFrame:
         groups = _group_array(
@@ -329,10 +341,9 @@ def bidder_statistics(
         top,
     )
     if approx:
-        stats = GroupStatistics(
-            stats.moments, stats.sums, _sketched(df, keys, categories, fan_out, top)
-        )
-    return stats
+        stats = GroupStatistics(stats.moments, stats.sums, _sketched(df, keys, categories, fan_out, top))
+    copies = parts.moments.select("*", F.inline(_group_array(F.col(CELL[0]), F.col(CELL[1]), no_all, no_all_rtb, True)))
+    return GroupStatistics(stats.moments, stats.sums, stats.categories, _rests(copies))
 
 
 def union_disjoint(left: GroupStatistics, right: GroupStatistics) -> GroupStatistics:
@@ -441,43 +452,17 @@ def compare_groups(moments: DataFrame) -> DataFrame:
     )
 
 
-# A remainder of squared deviations below this share of the whole is rounding noise.
-NOISE = 1e-9
+def compare_with_rest(stats: GroupStatistics) -> DataFrame:
+    """Each group of a bidder against that bidder's rows outside the group; a group of all of them has no row.
 
-
-def compare_with_rest(moments: DataFrame) -> DataFrame:
-    """Each group of a bidder against that bidder's other rows, taken as ``ALL`` minus the group.
-
-    Groups of a bidder may share rows, so their sum is not the rest.
+    The rest is pooled from the cells outside the group. Statistics of rows that are copied to their groups already do not know them.
     """
-    own = moments.where(F.col("grp") != ALL)
-    whole = moments.where(F.col("grp") == ALL).select(
-        "bidder", "measure", *[F.col(c).alias(f"{c}_all") for c in ("n", "mean", "m2")]
-    )
-    n_rest = F.col("n_all") - F.col("n")
-    mean_rest = (F.col("n_all") * F.col("mean_all") - F.col("n") * F.col("mean")) / n_rest
-    joined = (
-        own.join(whole, ["bidder", "measure"])
-        .where(n_rest > 0)
-        .withColumn("n_rest", n_rest)
-        .withColumn("diff", F.col("mean") - mean_rest)
-    )
-    between = F.col("diff") * F.col("diff") * F.col("n_rest") * F.col("n") / F.col("n_all")
-    m2_rest = F.col("m2_all") - F.col("m2") - between
-    m2_rest = F.when(m2_rest > F.col("m2_all") * NOISE, m2_rest).otherwise(0.0)
-    return joined.select(
-        "bidder",
-        "grp",
-        "measure",
-        "diff",
-        _z(
-            F.col("diff"),
-            F.col("m2") / F.col("n"),
-            F.col("n"),
-            m2_rest / F.col("n_rest"),
-            F.col("n_rest"),
-        ).alias("z"),
-    )
+    if stats.rests is None:
+        raise ValueError("the rows outside a group are known to bidder_statistics only")
+    rest = stats.rests.select(*GROUP, "measure", *[F.col(c).alias(f"{c}_rest") for c in ("n", "mean", "m2")])
+    diff = F.col("mean") - F.col("mean_rest")
+    z = _z(diff, F.col("m2") / F.col("n"), F.col("n"), F.col("m2_rest") / F.col("n_rest"), F.col("n_rest"))
+    return stats.moments.join(rest, [*GROUP, "measure"]).select(*GROUP, "measure", diff.alias("diff"), z.alias("z"))
 
 
 # --- the impression report ---------------------------------------------------------------------

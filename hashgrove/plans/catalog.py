@@ -19,6 +19,7 @@ from hashgrove.operators import (
     licensing,
     lineage,
     nested,
+    sketches,
     traffic,
     vitals,
 )
@@ -214,6 +215,42 @@ def group_categories_approx(spark, folder):
     return stats.categories.select("bidder", "grp", "measure", "value", big("n"))
 
 
+def _wide_value() -> Column:
+    """Ten frequent values and a long tail of rare ones."""
+    return F.when(F.col("l_quantity") <= 10, F.concat(F.lit("q"), F.col("l_quantity").cast("int"))).otherwise(F.concat(F.lit("o"), "l_orderkey"))
+
+
+@query
+def category_estimates(spark, folder):
+    """Every value of a category of thousands with its count, and whether its sketched count is within the bound."""
+    lines = read_table(spark, folder, "lineitem").withColumn("value", _wide_value())
+    found = sketches.summarise(lines, {"flag": F.col("l_returnflag")}, {"order": F.col("value")})
+    exact = materialize(lines.groupBy(F.col("l_returnflag").alias("flag"), "value").agg(F.count(F.lit(1)).alias("exact")), "exact")
+    asked = sketches.estimates(found, exact.select("flag", F.lit("order").alias("category"), "value"))
+    bound = F.col("exact") + sketches.EPS * F.col("total")
+    within = asked.join(exact, ["flag", "value"]).join(sketches.totals(found), ["flag", "category"])
+    return within.select("flag", "value", F.col("exact").alias("n"), F.col("n").between(F.col("exact"), bound).alias("within"))
+
+
+@query
+def category_hitters(spark, folder):
+    """The ten most frequent of thousands of values by the sketch, with their exact counts."""
+    lines = read_table(spark, folder, "lineitem").withColumn("value", _wide_value())
+    found = sketches.heavy_hitters(sketches.summarise(lines, {"flag": F.col("l_returnflag")}, {"order": F.col("value")}), 10)
+    exact = lines.groupBy(F.col("l_returnflag").alias("flag"), "value").agg(F.count(F.lit(1)).alias("exact"))
+    near = F.col("n") - F.col("exact")
+    return found.join(exact, ["flag", "value"]).select("flag", "value", F.col("exact").alias("n"), (near >= 0).alias("above"))
+
+
+@query
+def group_wide_categories(spark, folder):
+    """The fifty most frequent of more values than that, for every group."""
+    rows = _deduped(spark, folder)
+    wide = {"users": F.concat_ws("-", F.col("template_id"), F.col("placement_id"), F.col("bidder_id"))}
+    stats = groups.bidder_statistics(rows, F.col("bidder_id"), F.col("email_hash"), categories=wide)
+    return stats.categories.select("bidder", "grp", "measure", "value", big("n"))
+
+
 @query
 def group_category_statistic(spark, folder):
     stats = _statistics(spark, folder)
@@ -229,7 +266,7 @@ def group_pairs(spark, folder):
 
 @query
 def group_vs_rest(spark, folder):
-    rest = groups.compare_with_rest(_statistics(spark, folder).moments)
+    rest = groups.compare_with_rest(_statistics(spark, folder))
     return rest.select("bidder", "grp", "measure", rounded("diff"), rounded("z"))
 
 

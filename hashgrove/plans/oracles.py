@@ -187,6 +187,9 @@ def _moment(measure: str, column: str) -> str:
 _EVENT_FILES = """SELECT substring(md5(CAST(user_id AS varchar)), 1, 1) AS shard, strftime(ts, '%Y%m%d') AS day, event_id % 3 AS part,
     event_id, event_type FROM events"""
 
+_WIDE_VALUES = """SELECT l_returnflag AS flag, CASE WHEN l_quantity <= 10 THEN concat('q', CAST(l_quantity AS int))
+    ELSE concat('o', l_orderkey) END AS value FROM lineitem"""
+
 ORACLES: dict[str, str] = {
     "remove_scrapers": _sql(
         ["tracking_events"],
@@ -264,6 +267,14 @@ ORACLES: dict[str, str] = {
     "group_categories_approx": _impressions(
         "SELECT bidder, grp, measure, value, n FROM freq WHERE rk <= 50", **_VALUES
     ),
+    "category_estimates": f"SELECT flag, value, count(*) AS n, TRUE AS within FROM ({_WIDE_VALUES}) GROUP BY flag, value",
+    "category_hitters": f"""SELECT flag, value, n, TRUE AS above FROM (SELECT flag, value, count(*) AS n,
+        row_number() OVER (PARTITION BY flag ORDER BY count(*) DESC, value) AS rk FROM ({_WIDE_VALUES}) GROUP BY flag, value) WHERE rk <= 10""",
+    "group_wide_categories": _impressions(
+        """SELECT bidder, grp, 'users' AS measure, value, n FROM (SELECT *, row_number() OVER (PARTITION BY bidder, grp ORDER BY n DESC, value) AS rk
+        FROM (SELECT bidder, grp, concat_ws('-', template_id, placement_id, bidder_id) AS value, count(*) AS n FROM fan GROUP BY ALL)) WHERE rk <= 50""",
+        **_FAN,
+    ),
     "group_category_statistic": _impressions(
         """SELECT bidder, grp, measure, value, n, total FROM freq JOIN
         (SELECT bidder, grp, count(*) AS total FROM fan GROUP BY ALL) USING (bidder, grp)

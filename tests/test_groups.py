@@ -155,12 +155,12 @@ def test_union_disjoint(four):
 
 def test_rest_is_the_complement(four):
     stats = groups.bidder_statistics(four, F.col("bidder_id"), F.col("email_hash"), moments={"v": F.col("v")})
-    found = groups.compare_with_rest(stats.moments).where("bidder = 'ALL' and grp = 'NO-HASH'").first()
+    found = groups.compare_with_rest(stats).where("bidder = 'ALL' and grp = 'NO-HASH'").first()
     # own rows 1, 4; the rest 2, 8
     assert math.isclose(found["diff"], 2.5 - 5.0)
     assert math.isclose(found["z"], -2.5 / math.sqrt(2.25 / 2 + 9.0 / 2))
     # a group that is all of its bidder has no rest
-    assert rows(groups.compare_with_rest(stats.moments).where("grp = 'UNKNOWN-BIDDER'")) == []
+    assert rows(groups.compare_with_rest(stats).where("grp = 'UNKNOWN-BIDDER'")) == []
 
 
 def test_pairs(four):
