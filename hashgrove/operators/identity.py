@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,42 @@ def reduce_delta(
     return df.where(F.col(value) != "").groupBy(key).agg(newest)
 
 
+def merge_parts(current: DataFrame, delta: DataFrame, oracle: DataFrame, key: str = "email_hash") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three parts of ``merge_identities``; no key is in two of them, and the first stays partitioned as ``current`` is."""
+    c = current.select(
+        key, F.col("idl").alias("_idl"), F.col("oracle_id").alias("_oracle_id"), F.lit(True).alias("_c")
+    )
+    d = delta.groupBy(key).agg(F.max("idl").alias("idl")).withColumn("_d", F.lit(True))
+    d = materialize(d, "delta")
+    o = oracle.select(key, "oracle_id", F.lit(True).alias("_o"))
+    c_keys, o_keys = c.select(key), o.select(key)
+    parts = (
+        c.join(d, key, "left").join(o, key, "left"),
+        o.join(c_keys, key, "left_anti").join(d, key, "left"),
+        d.join(c_keys, key, "left_anti").join(o_keys, key, "left_anti"),
+    )
+
+    def finished(part: DataFrame) -> DataFrame:
+        absent = {"_c": "boolean", "_d": "boolean", "_o": "boolean", "idl": "string", "oracle_id": "string", "_idl": "string", "_oracle_id": "string"}
+        part = part.withColumns({n: F.lit(None).cast(kind) for n, kind in absent.items() if n not in part.columns})
+        presence = F.concat_ws(
+            "+",
+            F.when(F.col("_c"), "current"),
+            F.when(F.col("_d"), "delta"),
+            F.when(F.col("_o"), "oracle"),
+        )
+        return part.select(
+            key,
+            F.coalesce(filled(F.col("idl")), F.col("_idl")).alias("idl"),
+            F.coalesce(filled(F.col("oracle_id")), F.col("_oracle_id")).alias("oracle_id"),
+            F.when(presence == "", F.raise_error(F.lit("a merged row has no side")))
+            .otherwise(presence)
+            .alias("presence"),
+        )
+
+    return tuple(map(finished, parts))
+
+
 def merge_identities(
     current: DataFrame, delta: DataFrame, oracle: DataFrame, key: str = "email_hash"
 ) -> DataFrame:
@@ -60,33 +97,7 @@ def merge_identities(
     the snapshot lacks with the delta's values, and rows of the delta alone. All are left and anti joins of scanned or
     written tables, which adaptive execution splits, also where many rows have no key.
     """
-    c = current.select(
-        key, F.col("idl").alias("_idl"), F.col("oracle_id").alias("_oracle_id"), F.lit(True).alias("_c")
-    )
-    d = delta.groupBy(key).agg(F.max("idl").alias("idl")).withColumn("_d", F.lit(True))
-    d = materialize(d, "delta")
-    o = oracle.select(key, "oracle_id", F.lit(True).alias("_o"))
-    c_keys, o_keys = c.select(key), o.select(key)
-    merged = c.join(d, key, "left").join(o, key, "left")
-    for side in (
-        o.join(c_keys, key, "left_anti").join(d, key, "left"),
-        d.join(c_keys, key, "left_anti").join(o_keys, key, "left_anti"),
-    ):
-        merged = merged.unionByName(side, allowMissingColumns=True)
-    presence = F.concat_ws(
-        "+",
-        F.when(F.col("_c"), "current"),
-        F.when(F.col("_d"), "delta"),
-        F.when(F.col("_o"), "oracle"),
-    )
-    return merged.select(
-        key,
-        F.coalesce(filled(F.col("idl")), F.col("_idl")).alias("idl"),
-        F.coalesce(filled(F.col("oracle_id")), F.col("_oracle_id")).alias("oracle_id"),
-        F.when(presence == "", F.raise_error(F.lit("a merged row has no side")))
-        .otherwise(presence)
-        .alias("presence"),
-    )
+    return reduce(DataFrame.unionByName, merge_parts(current, delta, oracle, key))
 
 
 def update_snapshot(

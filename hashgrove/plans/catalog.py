@@ -24,7 +24,7 @@ from hashgrove.operators import (
     vitals,
 )
 from hashgrove.session import fresh_path, materialize
-from hashgrove.sources import dated, manifest, markers, sharded
+from hashgrove.sources import dated, manifest, markers, sharded, snapshots
 from hashgrove.sources.tables import read_table
 from hashgrove.sources.text import write_text
 from hashgrove.sources.views import read_view
@@ -485,6 +485,31 @@ def snapshot_cycle(spark, folder):
     return dated.read_day(spark, root, SNAPSHOT_DAY)
 
 
+@query
+def snapshot_buckets(spark, folder):
+    """A bucketed snapshot merged with a day's feeds, and on the next day with empty ones."""
+    root = fresh_path(spark, "snapshots")
+    delta, oracle = identity.reduce_delta(_delta(spark, folder)), read_view(spark, folder, "id_oracle")
+    current = read_view(spark, folder, "id_current").select("email_hash", "idl", "oracle_id")
+    snapshots.write_bucketed(current, dated.day_folder(root, SNAPSHOT_DAY - timedelta(days=1)), "email_hash", buckets=8)
+    snapshots.merge_day(spark, root, SNAPSHOT_DAY, delta, oracle, buckets=8)
+    next_day = SNAPSHOT_DAY + timedelta(days=1)
+    snapshots.merge_day(spark, root, next_day, delta.limit(0), oracle.limit(0), buckets=8)
+    return snapshots.read_snapshot(spark, dated.day_folder(root, next_day), current.schema)
+
+
+@query
+def scrapers_by_day(spark, folder):
+    """Traffic without scrapers, found by a state that a third of the month's days is merged into at a time."""
+    root = fresh_path(spark, "scrapers")
+    events = read_view(spark, folder, "tracking_events").withColumn("day", F.to_date("ts"))
+    for third in range(3):
+        part = events.where(F.pmod(F.dayofmonth("day"), 3) == third)
+        state = snapshots.merge_state(spark, root, SNAPSHOT_DAY + timedelta(days=third), traffic.day_ids(part), "first_party_id", "least", "greatest", buckets=8)
+    kept = traffic.remove_known(events, materialize(traffic.known_scrapers(state), "scrapers"))
+    return kept.select("event_id", "first_party_id", "third_party_id")
+
+
 @query
 def marker_cycle(spark, folder):
     """Days written and marked complete, their markers listed, and jobs gated by them."""

@@ -578,6 +578,14 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
         **_DAYS,
     ),
     "snapshot_cycle": _sql(_ID_VIEWS, "SELECT email_hash, idl, oracle_id FROM merged", **_ID),
+    "snapshot_buckets": _sql(_ID_VIEWS, "SELECT email_hash, idl, oracle_id FROM merged", **_ID),
+    "scrapers_by_day": _sql(
+        ["tracking_events"],
+        f"""SELECT event_id, first_party_id, third_party_id FROM tracking_events t
+        WHERE NOT EXISTS (SELECT 1 FROM scrapers s WHERE s.first_party_id = t.first_party_id)""",
+        scrapers=f"""SELECT first_party_id FROM tracking_events WHERE {_BOTH}
+        GROUP BY first_party_id HAVING count(DISTINCT third_party_id) > 1""",
+    ),
     "marker_cycle": """SELECT event_type AS job, count(*) FILTER (WHERE day(day) % 7 = 0) = 0 AS ready,
         count(*) FILTER (WHERE day(day) % 7 = 0) AS missing
         FROM (SELECT DISTINCT event_type, CAST(ts AS date) AS day FROM events) GROUP BY event_type""",
