@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from itertools import combinations
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from hashgrove.session import materialize
+
 # Licence code -> partner; the partner in use.
 PARTNER_OF = {
     "AudienceAcuityMain": "Audience Accuity",
@@ -106,35 +107,70 @@ def partner_overlap(
     return cells.withColumn("partners", _mask_name(F.col("mask"), _partners(partner_of)))
 
 
-def _choices(
-    info: DataFrame, licenses: DataFrame, partner_of: Mapping[str, str]
-) -> DataFrame:
-    """Partner-set totals beside each choice of one or more partners: some dozens of rows."""
-    partners = _partners(partner_of)
-    choices = [
-        F.struct(
-            F.lit("+".join(names)).alias("subset"),
-            F.lit(sum(1 << partners.index(p) for p in names)).alias("_bits"),
-        )
-        for size in range(1, len(partners) + 1)
-        for names in combinations(partners, size)
-    ]
-    return _by_mask(info, licenses, partner_of).select("*", F.inline(F.array(*choices)))
+# All choices of more partners than this are too many to list.
+MOST_PARTNERS = 20
+
 
+def subset_sums(cells: DataFrame, n: int, columns: Sequence[str]) -> DataFrame:
+    """Rows (mask, columns) for each of the 2^n sets: sums over the ``cells`` (mask, columns) of all sets within it; written.
 
-def _covered(column: str, bits: Column) -> Column:
-    """Sum over the partner sets that have any of ``bits``."""
-    return F.sum(F.when(F.col("mask").bitwiseAND(bits) != 0, F.col(column)).otherwise(0))
+    One pass for each member adds the sums of the sets without it to those with it, so the work is n times the sets, not all pairs of them.
+    """
+    none = cells.sparkSession.range(1 << n).select(F.col("id").alias("mask"), *[F.lit(0).cast("bigint").alias(c) for c in columns])
+    sums = none.unionByName(cells.select(F.col("mask").cast("bigint").alias("mask"), *columns)).groupBy("mask").agg(*[F.sum(c).alias(c) for c in columns])
+    for i in range(n):
+        bit = F.lit(1 << i).cast("bigint")
+        without = F.col("mask").bitwiseAND(bit) == 0
+        both = F.when(without, F.array("mask", F.col("mask").bitwiseOR(bit))).otherwise(F.array("mask"))
+        sums = sums.select(F.explode(both).alias("mask"), *columns).groupBy("mask").agg(*[F.sum(c).alias(c) for c in columns])
+    return materialize(sums, "subsets")
+
+
+def _covered(info: DataFrame, licenses: DataFrame, partner_of: Mapping[str, str]) -> tuple[DataFrame, Row]:
+    """Rows (mask, totals) of each choice of one or more partners, an identifier counted once, and the totals of all identifiers.
+
+    What a choice covers is what the sets without any of its partners leave.
+    """
+    n = len(_partners(partner_of))
+    if n > MOST_PARTNERS:
+        raise ValueError(f"{n} partners have more than 2^{MOST_PARTNERS} choices")
+    columns = ("identifiers", *TOTALS)
+    sums = subset_sums(_by_mask(info, licenses, partner_of), n, columns)
+    whole = (1 << n) - 1
+    total = sums.where(F.col("mask") == whole).first()
+    left = sums.where(F.col("mask") != whole)
+    return left.select((F.lit(whole) - F.col("mask")).alias("mask"), *[(F.lit(total[c]) - F.col(c)).alias(c) for c in columns]), total
 
 
 def partner_coverage(
     info: DataFrame, licenses: DataFrame, partner_of: Mapping[str, str] = PARTNER_OF
 ) -> DataFrame:
     """Totals available with each choice of one or more partners, an identifier counted once."""
-    cells = _choices(info, licenses, partner_of)
-    return cells.groupBy("subset").agg(
-        *[_covered(c, F.col("_bits")).alias(c) for c in ("identifiers", *TOTALS)]
-    )
+    cells, _ = _covered(info, licenses, partner_of)
+    return cells.select(_mask_name(F.col("mask"), _partners(partner_of)).alias("subset"), "identifiers", *TOTALS)
+
+
+def partner_overlap_approx(info: DataFrame, licenses: DataFrame, partner_of: Mapping[str, str] = PARTNER_OF, log_size: int = 14) -> DataFrame:
+    """Rows (subset, identifiers): estimates of the known identifiers that each choice of partners covers, without bringing identifiers together.
+
+    Each partner and the known identifiers have a Theta sketch of 2^``log_size`` entries, a few of them on the driver. The standard error
+    is about 1 / sqrt(2^``log_size``) (0.8 % by default) of the identifiers that either side has.
+    """
+    partners = _partners(partner_of)
+    if len(partners) > MOST_PARTNERS:
+        raise ValueError(f"{len(partners)} partners have more than 2^{MOST_PARTNERS} choices")
+    known = info.agg(F.theta_sketch_agg("identifier", F.lit(log_size))).first()[0]
+    owned = licenses.select("identifier", partner_name(F.col("license"), partner_of).alias("partner")).where("partner is not null")
+    sketches = {r["partner"]: r["s"] for r in owned.groupBy("partner").agg(F.theta_sketch_agg("identifier", F.lit(log_size)).alias("s")).collect()}
+    spark, mask = info.sparkSession, F.col("id")
+    empty = spark.range(0).agg(F.theta_sketch_agg("id", F.lit(log_size))).first()[0]
+    united = F.lit(empty)
+    for i, partner in enumerate(partners):
+        if partner in sketches:
+            own = F.when(mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(sketches[partner])).otherwise(F.lit(empty))
+            united = F.theta_union(united, own, F.lit(log_size))
+    found = F.theta_sketch_estimate(F.theta_intersection(F.lit(known), united))
+    return spark.range(1, 1 << len(partners)).select(_mask_name(mask, partners).alias("subset"), found.alias("identifiers"))
 
 
 def partner_totals(
@@ -154,19 +190,12 @@ def partner_lift(
     current: str = CURRENT_PARTNER,
 ) -> DataFrame:
     """Each choice of partners against the current partner alone, and its share of all totals."""
-    now = F.lit(1 << _partners(partner_of).index(current))
+    partners = _partners(partner_of)
+    cells, total = _covered(info, licenses, partner_of)
+    now = cells.where(F.col("mask") == (1 << partners.index(current))).first()
     columns = ("identifiers", *TOTALS)
-    return (
-        _choices(info, licenses, partner_of)
-        .groupBy("subset")
-        .agg(
-            *[
-                (_covered(c, F.col("_bits")) - _covered(c, now)).alias(f"{c}_change")
-                for c in columns
-            ],
-            *[
-                F.when(F.sum(c) > 0, _covered(c, F.col("_bits")) / F.sum(c)).alias(f"{c}_share")
-                for c in columns
-            ],
-        )
+    return cells.select(
+        _mask_name(F.col("mask"), partners).alias("subset"),
+        *[(F.col(c) - F.lit(now[c])).alias(f"{c}_change") for c in columns],
+        *[(F.col(c) / F.lit(total[c]) if total[c] else F.lit(None).cast("double")).alias(f"{c}_share") for c in columns],
     )

@@ -32,12 +32,12 @@ def person_day(df: DataFrame) -> DataFrame:
     )
     long = df.select(F.explode(F.array(*[F.struct(F.lit(r).alias("reading"), F.col(r).cast("double").alias("value")) for r in READINGS])).alias("r"))
     # one row for each reading
-    medians = materialize(exact_quantiles(long.select("r.*"), "reading", "value", [0.5]), "medians")
+    medians = {m["reading"]: m["q"][0] for m in exact_quantiles(long.select("r.*"), "reading", "value", [0.5]).collect()}
     filled = {}
     for r in READINGS:
         mean = F.col(f"{r}_mean")
         filled[f"{r}_missing"] = mean.isNull()
-        filled[f"{r}_mean"] = F.coalesce(mean, medians.where(F.col("reading") == r).select(F.col("q")[0]).scalar())
+        filled[f"{r}_mean"] = F.coalesce(mean, F.lit(medians.get(r)).cast("double"))
     return days.withColumns(filled)
 
 

@@ -341,6 +341,35 @@ def partner_lift(spark, folder):
     )
 
 
+# twelve partners that each have some suppliers' parts
+MANY_PARTNERS = {f"L{i}": f"P{i:02d}" for i in range(12)}
+
+
+def _many_licenses(spark, folder):
+    info = read_table(spark, folder, "part").select(
+        F.col("p_partkey").alias("identifier"), F.col("p_size").alias("opens"), F.lit(1).alias("clicks"), F.lit(0).alias("conversions")
+    )
+    code = F.concat(F.lit("L"), (F.col("l_suppkey") + F.col("l_partkey") % 3) % 12)
+    return info, read_table(spark, folder, "lineitem").where("l_quantity <= 9").select(F.col("l_partkey").alias("identifier"), code.alias("license"))
+
+
+@query
+def partner_lattice(spark, folder):
+    """Coverage of every choice among twelve partners."""
+    found = licensing.partner_coverage(*_many_licenses(spark, folder), MANY_PARTNERS)
+    return found.select("subset", *[big(c) for c in TOTALS])
+
+
+@query
+def partner_overlap_approx(spark, folder):
+    """Coverage of every choice of partners, and whether the sketched one is within four standard errors of the known identifiers."""
+    info, owned = _licenses(spark, folder)
+    exact = licensing.partner_coverage(info, owned).select("subset", big("identifiers"))
+    guess = licensing.partner_overlap_approx(info, owned).withColumnRenamed("identifiers", "guess")
+    either = info.select("identifier").union(owned.select("identifier")).distinct().count()
+    return exact.join(guess, "subset").select("subset", "identifiers", (F.abs(F.col("guess") - F.col("identifiers")) <= 4 * either / 2**7).alias("within"))
+
+
 @query
 def unlicensed(spark, folder):
     return licensing.unlicensed(*_licenses(spark, folder))

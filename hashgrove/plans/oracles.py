@@ -190,6 +190,13 @@ _EVENT_FILES = """SELECT substring(md5(CAST(user_id AS varchar)), 1, 1) AS shard
 _WIDE_VALUES = """SELECT l_returnflag AS flag, CASE WHEN l_quantity <= 10 THEN concat('q', CAST(l_quantity AS int))
     ELSE concat('o', l_orderkey) END AS value FROM lineitem"""
 
+_LATTICE = """WITH m AS (SELECT l_partkey AS identifier, bit_or(1 << CAST((l_suppkey + l_partkey % 3) % 12 AS int)) AS mask FROM lineitem WHERE l_quantity <= 9 GROUP BY l_partkey),
+    c AS (SELECT mask, count(*) AS identifiers, CAST(sum(p_size) AS bigint) AS opens, count(*) AS clicks FROM part JOIN m ON p_partkey = identifier GROUP BY mask),
+    s AS (SELECT range AS s, list_aggregate(list_transform(list_filter(range(12), lambda i: (range >> i) & 1 = 1), lambda i: 'P' || lpad(CAST(i AS varchar), 2, '0')), 'string_agg', '+') AS subset
+        FROM range(1, 4096))
+    SELECT subset, CAST(coalesce(sum(identifiers), 0) AS bigint) AS identifiers, CAST(coalesce(sum(opens), 0) AS bigint) AS opens,
+        CAST(coalesce(sum(clicks), 0) AS bigint) AS clicks, CAST(0 AS bigint) AS conversions FROM s LEFT JOIN c ON s & mask <> 0 GROUP BY subset"""
+
 ORACLES: dict[str, str] = {
     "remove_scrapers": _sql(
         ["tracking_events"],
@@ -337,6 +344,8 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
           FROM identifier_info i LEFT JOIN owned USING (identifier) GROUP BY ALL) GROUP BY partners""",
         owned=OWNED,
     ),
+    "partner_lattice": _LATTICE,
+    "partner_overlap_approx": _licensing("SELECT subset, identifiers, TRUE AS within FROM coverage", **_COVERAGE),
     "partner_coverage": _licensing("SELECT * FROM coverage", **_COVERAGE),
     "partner_lift": _licensing(
         f"""SELECT c.subset,

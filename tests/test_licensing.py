@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from hashgrove.operators import licensing
@@ -51,3 +53,35 @@ def test_lift_against_the_current_partner(info, licenses):
 def test_unlicensed_and_unmapped(info, licenses):
     assert rows(licensing.unlicensed(info, licenses)) == [("d",)]
     assert rows(licensing.unmapped_codes(licenses)) == [("Mystery", 1)]
+
+
+def test_choices_among_twelve_partners(spark):
+    rng = random.Random(2)
+    partner_of = {f"c{i}": f"P{i:02d}" for i in range(12)}
+    info = [(f"i{k}", rng.randint(0, 9), 1, 0) for k in range(400)]
+    owned = [(f"i{rng.randrange(450)}", f"c{rng.randrange(13)}") for _ in range(1500)]
+    frames = spark.createDataFrame(info, "identifier string, opens int, clicks int, conversions int"), spark.createDataFrame(owned, "identifier string, license string")
+    partners = {i: {partner_of[c] for j, c in owned if j == i and c in partner_of} for i, *_ in info}
+    found = {r["subset"]: (r["identifiers"], r["opens"], r["clicks"], r["conversions"]) for r in licensing.partner_coverage(*frames, partner_of).collect()}
+    assert len(found) == 4095
+    for subset in rng.sample(sorted(found), 300):
+        covered = [row for row in info if partners[row[0]] & set(subset.split("+"))]
+        assert found[subset] == (len(covered), sum(r[1] for r in covered), len(covered), 0)
+    lift = {r["subset"]: r for r in licensing.partner_lift(*frames, partner_of, "P03").collect()}
+    assert lift["P03"]["opens_change"] == 0 and lift["P03+P04"]["opens_change"] == found["P03+P04"][1] - found["P03"][1]
+    with pytest.raises(ValueError, match="choices"):
+        licensing.partner_coverage(*frames, {f"c{i}": f"P{i}" for i in range(21)})
+
+
+def test_sketched_overlap_of_many_identifiers(spark):
+    n = 60_000
+    info = spark.range(n).selectExpr("cast(id as string) identifier", "1 opens", "1 clicks", "1 conversions")
+    owned = spark.range(2 * n).selectExpr("cast(id as string) identifier", "case when id % 3 = 0 then 'AudienceAcuityPair' when id % 7 = 0 then 'TowerData' else 'other' end license")
+    exact = {r["subset"]: r["identifiers"] for r in licensing.partner_coverage(info, owned).collect()}
+    found = {r["subset"]: r["identifiers"] for r in licensing.partner_overlap_approx(info, owned).collect()}
+    assert set(found) == set(exact) and found["LiveRamp"] == exact["LiveRamp"] == 0
+    # four standard errors of all identifiers of either side
+    assert all(abs(found[s] - exact[s]) <= 4 * 2 * n / 2**7 for s in exact)
+    assert any(found[s] != exact[s] for s in exact)
+    nothing = licensing.partner_overlap_approx(info.limit(0), owned.limit(0)).collect()
+    assert {r["identifiers"] for r in nothing} == {0}
