@@ -29,6 +29,7 @@ from hashgrove.session import fresh_path, materialize
 SCALE = 20
 LANES = 256
 BLOCK_IDS = 1 << 17
+HEAD = 64  # bytes of its ids that a document is ordered by, after its identifier
 CHECKPOINT = 128
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
@@ -245,12 +246,13 @@ def _model(frequencies: DataFrame) -> Table:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id", block_ids: int = BLOCK_IDS) -> None:
     """Write the dataset of ``docs`` to ``folder``: ids in ascending order of documents, each document ended by ``end_id``.
 
-    Documents are ordered by identifier, nulls first, equal ones by the bytes of their ids. A part is what one task has after
-    a range partitioning by identifier; only ids are exchanged. A block ends with the document that fills it (``block_ids``), so a longer document is a block of its own. An empty table
+    Documents are ordered by identifier, nulls first, equal ones by the first bytes of their ids, then by a hash of them all. A part is what
+    one task has after a range partitioning in this order, which also tells equal rows apart, so a repeated identifier fills as many parts as it needs;
+    only ids are exchanged. A block ends with the document that fills it (``block_ids``), so a longer document is a block of its own. An empty table
     gives a dataset without blocks. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    ids = materialize(tokenize(docs, tokenizer, end_id, text, doc_id), "ids")
+    ids = materialize(tokenize(docs, tokenizer, end_id, text, doc_id).withColumn("place", F.monotonically_increasing_id()), "ids")
     _counted(ids).coalesce(1).write.parquet(f"{folder}/frequencies")
     sent = spark.sparkContext.broadcast(_model(spark.read.parquet(f"{folder}/frequencies")))
     kind = ids.schema["doc"].dataType.simpleString()
@@ -294,7 +296,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str =
         if pieces:
             yield block(part, number, docs_in, lengths, pieces, start)
 
-    ordered = ids.repartitionByRange("doc").sortWithinPartitions("doc", "ids").select("doc", "ids", "n")
+    order = ["doc", F.substring("ids", 1, HEAD), F.xxhash64("ids"), "place"]
+    ordered = ids.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "ids", "n")
     schema = f"part int, block int, start bigint, n_ids bigint, docs array<{kind}>, lengths array<bigint>, words binary, checkpoints binary, crc32 bigint"
     ordered.mapInArrow(run, schema).write.parquet(f"{folder}/blocks")
     parts = spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))

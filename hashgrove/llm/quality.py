@@ -173,19 +173,43 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, ste
     return Network(mean, scale, tuple(layers), 1.0 if prior is None else prior)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.1) -> float:
-    """Upper bound of the share of positives among the unlabelled, from tails that hold at least ``least_share`` of the positives."""
-    cuts = np.quantile(positive, np.linspace(0.0, 1 - least_share, 60))
-    p = np.array([(positive >= c).mean() for c in cuts])
-    u = np.array([(unlabelled >= c).mean() for c in cuts])
-    return float(np.clip((u / p).min(), 0.05, 0.99))
+def tails(positive: np.ndarray, least_share: float = 0.1) -> np.ndarray:
+    """Ascending scores whose upper tails hold at least ``least_share`` of the positives."""
+    return np.quantile(positive, np.linspace(0.0, 1 - least_share, 60))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Upper bound of the share of positives among the unlabelled, from the shares of either (``unlabelled``) in the tails of ``positive`` scores."""
+    p = np.array([(positive >= c).mean() for c in tails(positive)])
+    return float(np.clip((unlabelled / p).min(), 0.05, 0.99))
+
+
+def tail_shares(named: DataFrame, rough: Network, cuts: np.ndarray) -> np.ndarray:
+    """Share of all documents (id, text) whose output is at least each of the cuts; rows that share an identifier count once, by their greatest output."""
+    sent = named.sparkSession.sparkContext.broadcast((rough, cuts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, bounds = sent.value
+        for batch in batches:
+            for first, last, data, offsets in vec.pieces(batch.column(1)):
+                reached = np.searchsorted(bounds, model.outputs(features(data, offsets)), "right")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(reached.astype(np.int32))], names=["id", "reached"])
+
+    kind = named.schema["id"].dataType.simpleString()
+    each = named.select("id", "text").mapInArrow(run, f"id {kind}, reached int").groupBy("id").agg(F.max("reached").alias("reached"))
+    # one row for each number of cuts reached
+    counts = np.zeros(len(cuts) + 1)
+    for row in each.groupBy("reached").agg(F.count("*").alias("n")).collect():
+        counts[row["reached"]] = row["n"]
+    return counts[::-1].cumsum()[::-1][1:] / max(1, counts.sum())
 
 
 def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", max_sample: int = MAX_SAMPLE) -> Network | None:
     """Train on the documents whose identifiers are in ``trusted`` and on unlabelled documents.
 
-    At most ``max_sample`` documents of either kind are used, those with the least hashes of their identifiers. Rows that share
-    an identifier count as one document, the one with the least text. Null identifiers are left out. None without any trusted or other document.
+    At most ``max_sample`` documents of either kind are learned from, those with the least hashes of their identifiers; the share of good
+    ones is estimated over all documents. Rows that share an identifier count as one document, the one with the least text. Null identifiers are
+    left out. None without any trusted or other document.
     """
     named = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id")).where(F.col("id").isNotNull())
     good = materialize(trusted.select(F.col(doc_id).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_sample), "trusted")
@@ -202,11 +226,12 @@ def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "
     positive, unlabelled = x[y == 1], x[y == 0]
     if not len(positive) or not len(unlabelled):
         return None
-    # one half trains the first classifier, the other half measures the tails
+    # one half trains the first classifier, the other half of the positives and all documents measure the tails
     half_p, half_u = np.arange(len(positive)) % 2 == 0, np.arange(len(unlabelled)) % 2 == 0
-    if min(half_p.sum(), (~half_p).sum(), (~half_u).sum()) >= 20:
+    if min(half_p.sum(), (~half_p).sum(), half_u.sum()) >= 20:
         rough = train(positive[half_p], unlabelled[half_u], None)
-        prior = estimate_prior(rough.outputs(positive[~half_p]), rough.outputs(unlabelled[~half_u]))
+        known = rough.outputs(positive[~half_p])
+        prior = estimate_prior(known, tail_shares(named, rough, tails(known)))
     else:
         prior = 0.5
     return train(positive, unlabelled, prior)

@@ -59,6 +59,19 @@ def test_dataset_of_awkward_rows(spark):
     assert spark.read.parquet(f"{folder}/blocks").count() > 3
 
 
+def test_a_repeated_identifier_fills_several_parts(spark):
+    folder = fresh_path(spark, "ans-test")
+    rows = [(7, f"word {i % 3} again") for i in range(600)] + [(1, "first"), (9, "last")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ans.write(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), folder, FILE, end_id=2, block_ids=50)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = ans.read(spark, folder).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in found] == expected(rows)
+    assert spark.read.parquet(f"{folder}/blocks").select("part").distinct().count() > 1
+
+
 def test_wrong_checksum_raises(spark):
     folder, other = fresh_path(spark, "ans-test"), fresh_path(spark, "ans-test")
     ans.write(awkward.frame(spark), folder, FILE, end_id=2)

@@ -55,7 +55,18 @@ def test_the_prior_is_estimated():
     rng = np.random.default_rng(1)
     positive, negative = rng.normal(2, 1, 4000), rng.normal(-2, 1, 2000)
     mixed = np.concatenate([rng.normal(2, 1, 3000), negative])
-    assert abs(quality.estimate_prior(positive, mixed) - 0.6) < 0.05
+    shares = np.array([(mixed >= c).mean() for c in quality.tails(positive)])
+    assert abs(quality.estimate_prior(positive, shares) - 0.6) < 0.05
+
+
+def test_tail_shares_are_of_all_documents(spark, corpus, network):
+    rows = [r[:2] for r in corpus] + [corpus[0][:2]] * 50 + [(None, "x")]
+    named = spark.createDataFrame(rows, "id bigint, text string").repartition(4)
+    outputs = network.outputs(quality.features(*vec.buffers(pa.array([t for _, t, _ in corpus]))))
+    cuts = np.quantile(outputs, [0.0, 0.2, 0.2, 0.9])
+    found = quality.tail_shares(named.where("id is not null"), network, cuts)
+    assert np.allclose(found, [(outputs >= c).mean() for c in cuts])
+    assert quality.tail_shares(named.limit(0), network, cuts).tolist() == [0.0] * 4
 
 
 def test_features_are_those_of_each_text_alone():
