@@ -1,12 +1,14 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages of a host are put in the order of their paths, and each is paired with the nearest page before and after it whose lines
-differ (lines of declared frames aside), first with the one whose path has the longer common beginning. The text lines (blocks) of both are aligned by a longest common subsequence, and lines that both have are
-deleted as parts of the site's frame. Lines that markup declares to be frame (menus, footers, forms, notices ...) go as
-well. Markup is evidence beside this: a line of the page's article goes if the neighbour has it in its article or its frame, and
-stays if the neighbour has it in the open (a quotation); lines outside the article stay if the neighbour lacks them. A pair of
-near copies (``COPY`` of the lines and of the words shared, lines of declared frames aside) tells nothing about the frame; then
-the second neighbour is taken, and if that is a near copy too, markup decides alone.
+differ (lines of declared frames aside). The text lines (blocks) of a page and of each partner are aligned by a longest common subsequence; two
+lines are the same if their texts and their places in the markup are: the path of element names, classes and ids above them. So a sentence that
+a neighbour shows as an advert or in its footer is no evidence against a paragraph.
+
+What the pair shares tells which paths are the site's frame. A path whose lines mostly recur is template, and its aligned lines are deleted, at
+their places only. The path with most text of the page's own is its article's and no template: there only aligned lines before or behind all own ones go, and only
+if most of the path is its own. Paragraphs of a declared article stay whatever the neighbours have, unless an element with a class, an id
+or a role stands between them and the article; lines that markup declares to be frame (menus, footers, forms, notices ...) go in any case.
 
 The order comes from a range partitioning by (host, path, identifier), so a host of any size is spread over
 partitions; only keys, line hashes and deleted places are exchanged.
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from hashgrove.session import materialize
 
-COPY = 0.8
-IN_ARTICLE, OPEN, FRAME = range(3)
+# A line is a declared article's own, beside any article, in a declared frame, or set apart within an article.
+IN_ARTICLE, OPEN, FRAME, INSET = range(4)
 _SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|head|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s>/]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[/!?][^>]*>|<[a-zA-Z][^>]*>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -44,10 +46,19 @@ _WHOLE = frozenset(("html", "body", "main"))
 _BESIDE = frozenset("has with no without is js".split())
 _ARTICLE_TAGS = frozenset(("article", "main"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_NUMBER = re.compile(r"[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LOOSE = frozenset("p li dt dd tr td th option b i em strong span a".split()) - frozenset("a span".split())
 
 
+def _label(name: str, attributes: str) -> tuple[str, bool]:
+    """Name of an element with its classes, id and role, numbers in them aside, and whether it has any of them."""
+    if not attributes.strip():
+        return name, False
+    marks = [f"{key.lower()}={value.strip(chr(34) + chr(39)).lower()}" for key, value in _ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id", "role")]
+    return f"{name}[{_NUMBER.sub('0', ' '.join(marks))}]" if marks else name, bool(marks)
+
+
 def _is_frame(name: str, attributes: str, in_article: bool) -> bool:
     if name in _FRAME_TAGS or name == "header" and not in_article:
         return True
@@ -66,13 +77,13 @@ def _is_frame(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int]]:
-    """Text blocks in page order, each in the article, in a frame, or open (neither is declared)."""
+def blocks(page: str) -> list[tuple[str, int, str]]:
+    """Text blocks in page order: text, what markup declares it to be, and its path."""
     page = _SILENT.sub(" ", page)
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, frame, article: with what stands above
+    out: list[tuple[str, int, str]] = []
+    stack: list[tuple[str, bool, bool, bool, str]] = []  # name, frame, article, set apart: with what stands above; path
     words: list[str] = []
-    kind = OPEN
+    kind, path, loose = OPEN, "", ""
 
     def close() -> None:
         nonlocal words
@@ -80,7 +91,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             text = "".join(words)
             text = " ".join((references.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((text, kind))
+                out.append((text, kind, f"{path}/{loose}"))
             words = []
 
     at = 0
@@ -102,25 +113,31 @@ def blocks(page: str) -> list[tuple[str, int]]:
             if name not in ("img", "wbr", "input"):
                 close()
             continue
+        own = False
         if tag[1]:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if name not in _INLINE:
                 close()
+                loose = ""
             if place >= 0:
                 if name in _INLINE and stack[place][1] != (place > 0 and stack[place - 1][1]):
                     close()
                 del stack[place:]
         else:
-            frame, article = stack[-1][1:] if stack else (False, False)
+            frame, article, apart, above = stack[-1][1:] if stack else (False, False, False, "")
             mine = _is_frame(name, tag[3], article)
             if name in _INLINE and not mine:
                 continue
             close()
-            article = article or name in _ARTICLE_TAGS and not frame and not mine
+            label, marked = _label(name, tag[3])
+            begins = name in _ARTICLE_TAGS and not frame and not mine
             if name not in _LOOSE or mine:
-                stack.append((name, frame or mine, article))
-        frame, article = stack[-1][1:] if stack else (False, False)
-        kind = FRAME if frame else IN_ARTICLE if article else OPEN
+                stack.append((name, frame or mine, article or begins, article and (apart or marked), f"{above}/{label}"))
+                loose = ""
+            else:
+                loose, own = label, marked
+        frame, article, apart, path = stack[-1][1:] if stack else (False, False, False, "")
+        kind = FRAME if frame else OPEN if not article else INSET if apart or own else IN_ARTICLE
     if at < len(page):
         tail = page[at:]
         cut = re.search(r"<[/!?a-zA-Z][^>]*\Z", tail)  # a tag that the end of the page cuts off
@@ -249,54 +266,64 @@ def _neighbours(pages: DataFrame) -> DataFrame:
     return _partners(pages).where("rank = 0").select("id", "other")
 
 
-def _hashed(found: list[tuple[str, int]]) -> list[int]:
-    """A hash of each line with the number of its words (12 bits) and the line's kind (2 bits) lowest."""
-    out = []
-    for text, kind in found:
-        h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-        out.append(h & ~0x3FFF | min(text.count(" ") + 1, 0xFFF) << 2 | kind)
-    return out
+def _hashed(found: list[tuple[str, int, str]]) -> list[int]:
+    """A hash of each line's text and path."""
+    return [xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63) for text, _, path in found]
 
 
-def _digest(lines: list[int]) -> int:
+def _digest(found: list[tuple[str, int, str]]) -> int:
     """A hash of the lines that are in no declared frame."""
-    own = np.array([line >> 2 for line in lines if line & 3 != FRAME], "<i8")
-    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+    return xxhash.xxh64_intdigest("\n".join(text for text, kind, _ in found if kind != FRAME).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _near_copies(own: list[int], other: list[int], shared: list[int]) -> bool:
-    """Whether ``shared`` holds most of the lines and of the words of both pages, declared frames aside."""
-    sides = [[line for line in lines if line & 3 != FRAME] for lines in (shared, own, other)]
-    lines, words = [len(side) for side in sides], [sum(line >> 2 & 0xFFF for line in side) for side in sides]
-    return all(n[0] >= COPY * max(n[1:]) for n in (lines, words))
+def template(lines: list[tuple[int, str, int, str]], aligned: list[list[int]]) -> set[int]:
+    """Places that the neighbours show to be the site's frame.
 
-
-def _frame_lines(own: list[int], other: list[int]) -> list[int] | None:
-    """Lines of ``own`` that are frame by the neighbour's evidence; None for a pair of near copies."""
-    shared = [own[i] for i in common([line >> 2 for line in own], [line >> 2 for line in other])]
-    if _near_copies(own, other, shared):
-        return None
-    marked = {line >> 2 for line in other if line & 3 != OPEN}
-    gone = {line for line in shared if line & 3 != IN_ARTICLE or line >> 2 in marked}
-    article = {line for line in own if line & 3 == IN_ARTICLE}
-    # an article that the neighbour holds whole is quoted, not frame
-    return sorted(gone - article if article <= gone else gone)
-
-
-def _text(found: list[tuple[str, int]], gone: list[int] | None) -> str:
-    """Text of a page's lines without those in ``gone``; None: no neighbour tells the frame, and markup decides alone."""
-    sizes = [sum(len(text) for text, kind in found if kind == k) for k in (IN_ARTICLE, OPEN)]
-    # an article with less text than stands beside it is a teaser
-    alone = gone is None and sizes[0] >= sizes[1] and sizes[0] > 0
-    frame = set(gone or ())
-    return " ".join(text for (text, kind), h in zip(found, _hashed(found), strict=True) if h not in frame and not (alone and kind == OPEN))
+    ``lines`` are (place, text, kind, path) of those outside declared frames, ``aligned`` the places that each neighbour has as well.
+    """
+    count: dict[int, int] = {}
+    for places in aligned:
+        for place in places:
+            count[place] = count.get(place, 0) + 1
+    met = lambda place: count.get(place, 0)
+    shared, whole, own = {}, {}, {}
+    for place, text, _, path in lines:
+        shared[path] = shared.get(path, 0) + met(place)
+        whole[path] = whole.get(path, 0) + len(aligned)
+        own[path] = own.get(path, 0) + (len(text) if not met(place) else 0)
+    # the path with most text that no neighbour has; without any such text the page is a copy, and tells nothing
+    main = max(own, key=lambda path: (own[path], path), default="")
+    if not own.get(main):
+        return set()
+    gone = set()
+    for place, _, kind, path in lines:
+        if kind != IN_ARTICLE and path != main and met(place) and 2 * shared[path] > whole[path]:
+            gone.add(place)
+    inside = [(place, kind, len(text)) for place, text, kind, path in lines if path == main]
+    if 2 * own[main] > sum(size for *_, size in inside):
+        for ordered in (inside, inside[::-1]):
+            for place, kind, _ in ordered:
+                if kind == IN_ARTICLE or met(place) < len(aligned):
+                    break
+                gone.add(place)
+    return gone
+
+
+def _text(lines: list[tuple[int, str, int, str]], aligned: list[list[int]] | None) -> str:
+    """Text of a page's lines (place, text, kind, path) outside declared frames; None: there is no neighbour, and markup decides alone."""
+    if aligned is None:
+        sizes = [sum(len(text) for _, text, kind, _ in lines if (kind == OPEN) == beside) for beside in (False, True)]
+        # an article with less text than stands beside it is a teaser
+        return " ".join(text for _, text, kind, _ in lines if kind != OPEN or sizes[0] < sizes[1] or not sizes[0])
+    gone = template(lines, aligned)
+    return " ".join(text for place, text, *_ in lines if place not in gone)
 
 
 def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Rows (page_id, url, text) for every page.
 
     A null or empty page has an empty text. Pages with a null identifier or URL are in no pair; rows that share an identifier
-    are paired once, by the least of their URLs, and each keeps its own text. Character references are decoded, white space in a block
+    are paired once, by the least of their URLs, for those that have its lines, and each keeps its own text. Character references are decoded, white space in a block
     becomes one space, and blocks are joined by one space.
     """
     source = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
@@ -304,45 +331,45 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [_hashed(blocks(page.as_py())) for page in batch.column(2)]
-            digests = pa.array([_digest(own) for own in lines], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array(lines, pa.list_(pa.int64()))], names=["id", "url", "digest", "lines"])
+            found = [blocks(page.as_py()) for page in batch.column(2)]
+            digests = pa.array([_digest(own) for own in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array([_hashed(own) for own in found], pa.list_(pa.int64()))], names=["id", "url", "digest", "lines"])
 
     named = source.where("id is not null and url is not null").select("id", "url", "html")
     lines = materialize(named.mapInArrow(hashed, f"id {kind}, url string, digest bigint, lines array<bigint>"), "lines")
-    one = _placed(lines).groupBy("id").agg(F.min(F.struct("host", "path", "digest", "lines")).alias("k")).select("id", F.col("k.lines").alias("lines"))
+    one = _placed(lines).groupBy("id").agg(F.min(F.struct("host", "path", "digest", "lines")).alias("k")).select("id", "k.digest", "k.lines")
     pairs = materialize(_partners(lines.select("id", "url", "digest")), "pairs")
-    met = materialize(pairs.join(one, "id").select("id", "rank", "other", F.col("lines").alias("own")), "pairs")
-    sides = met.join(one.select(F.col("id").alias("other"), "lines"), "other").select("id", "rank", "own", "lines")
+    met = materialize(pairs.join(one, "id").select("id", "digest", "other", F.col("lines").alias("own")), "pairs")
+    sides = met.join(one.select(F.col("id").alias("other"), "lines"), "other").select("id", "digest", "own", "lines")
 
     def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [_frame_lines(own, other) for own, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int64()))], names=["id", "rank", "shared"])
+            found = [common(own, other) for own, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "digest", "places"])
 
-    tried = sides.mapInArrow(differenced, f"id {kind}, rank int, shared array<bigint>")
-    # the nearer partner that is no near copy; none: null, and markup decides alone
-    best = F.min(F.when(F.col("shared").isNotNull(), F.struct("rank", "shared"))).alias("k")
-    shared = tried.groupBy("id").agg(best).select("id", F.col("k.shared").alias("shared"))
-    shared = materialize(shared, "shared")
+    tried = sides.mapInArrow(differenced, f"id {kind}, digest bigint, places array<int>")
+    # two neighbours at most
+    aligned = tried.groupBy("id", "digest").agg(F.collect_list("places").alias("aligned"))
+    aligned = materialize(aligned, "aligned")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            found = [[(text, kind) for text, kind in blocks(page.as_py()) if kind != FRAME] for page in batch.column(2)]
-            small = [pack.compress(json.dumps(own).encode()) for own in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["id", "url", "packed"])
+            found = [blocks(page.as_py()) for page in batch.column(2)]
+            digests = pa.array([_digest(own) for own in found], pa.int64())
+            left = [[(place, *line) for place, line in enumerate(own) if line[1] != FRAME] for own in found]
+            small = [pack.compress(json.dumps(own).encode()) for own in left]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array(small, pa.binary())], names=["id", "url", "digest", "packed"])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = []
-            for small, gone in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                texts.append(_text(json.loads(unpack.decompress(small.as_py())), gone))
+            texts = [_text(json.loads(unpack.decompress(small.as_py())), places) for small, places in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
+    # a row that shares its identifier, but not its lines, with the one that was paired has no neighbour
     # the blocks are packed before they travel, and travel at every size: a page's text is most of the input
-    carried = source.mapInArrow(packed, f"id {kind}, url string, packed binary")
-    met = carried.join(shared.hint("merge"), "id", "left").select("id", "url", "packed", "shared")
+    carried = source.mapInArrow(packed, f"id {kind}, url string, digest bigint, packed binary")
+    met = carried.join(aligned.hint("merge"), ["id", "digest"], "left").select("id", "url", "packed", "aligned")
     out = met.mapInArrow(written, f"id {kind}, url string, text string")
     return out.withColumnsRenamed({"id": page_id, "url": url})

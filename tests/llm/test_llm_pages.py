@@ -71,7 +71,7 @@ def test_shared_lines_go_where_no_article_is_declared(spark):
         5: "Same copy",
         6: "Same copy",
         7: "Quoted line.",
-        8: "Other",
+        8: "Quoted line. Other",
     }
 
 
@@ -107,7 +107,7 @@ def extracted(spark, rows):
 
 
 def test_differencing_decides_inside_and_beside_articles(spark):
-    share = "<p>Share this page</p>"
+    share = "<div class=tools>Pass this page on</div>"
     rows = [
         (1, "http://h.org/a/1", f"<article><p>First text.</p>{share}</article>"),
         (2, "http://h.org/a/2", f"<article><p>Second text.</p><p>More.</p>{share}</article>"),
@@ -138,3 +138,99 @@ def test_copies_and_declared_frames_do_not_hide_the_frame(spark):
     assert found[1] == "Alpha text." and found[2] == "Beta text."
     assert {found[10 + i] for i in range(12)} == {"A copied text."} and found[30] == "Another page of the host."
     assert found[40] == " ".join(f"Line {i}" for i in range(9)) and found[41] == found[40] + " Line 9"
+
+
+STOCK = "We print this sentence everywhere."
+
+
+def test_an_article_keeps_what_a_neighbour_shows_elsewhere(spark):
+    rows = [
+        (1, "http://s.org/a/1", f"<nav>Menu</nav><article><h1>Same title</h1><p>First own text.</p><p>{STOCK}</p><p>{STOCK}</p></article><footer>{STOCK}</footer>"),
+        (2, "http://s.org/a/2", f"<nav>Menu</nav><div class=ad>{STOCK}</div><article><h1>Same title</h1><p>Second own text.</p><p>{STOCK}</p></article><footer>{STOCK}</footer>"),
+        (3, "http://s.org/a/3", f"<nav>Menu</nav><article><h1>Same title</h1><p>{STOCK}</p></article><p>{STOCK}</p>"),
+        (4, "http://s.org/a/4", f"<article><p>{STOCK}</p></article>"),
+    ]
+    found = extracted(spark, rows)
+    assert found[1] == f"Same title First own text. {STOCK} {STOCK}"
+    assert found[2] == f"Same title Second own text. {STOCK}"
+    assert found[3].startswith(f"Same title {STOCK}") and found[4] == STOCK
+
+
+def test_only_aligned_places_of_template_paths_go(spark):
+    tools = "<div id=tools-{}><span>Print</span></div>"
+    rows = [(i, f"http://p.org/a/{i}", f"<article><p>Own words of page {i}.</p>{tools.format(i)}<p>Print</p><div class=box><p>Box {i} of its own</p></div></article>") for i in range(1, 5)]
+    # the path of the tools recurs, a paragraph with the same word does not go with it
+    assert extracted(spark, rows) == {i: f"Own words of page {i}. Print Box {i} of its own" for i in range(1, 5)}
+
+
+def test_rows_that_share_an_identifier_keep_their_own_lines(spark):
+    frame = "<div>Site name</div><p>{}</p>"
+    rows = [(1, "http://r.org/1", frame.format("One.")), (1, "http://r.org/1", "<p>Other lines.</p><div>Site name</div>"), (2, "http://r.org/2", frame.format("Two."))]
+    found = pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    # the least of their digests is paired
+    assert sorted(r["text"] for r in found.collect()) in (["One.", "Other lines. Site name", "Two."], ["Other lines.", "Site name One.", "Two."])
+
+
+def by_brute_force(rows):
+    """The whole query page by page: partners by sorting, alignment by a table, votes by counting."""
+    parsed = {i: pages.blocks(html or "") for i, _, html in rows}
+    digest = {i: [t for t, k, _ in own if k != pages.FRAME] for i, own in parsed.items()}
+    place = {}
+    for i, url, _ in rows:
+        rest = url.split("://", 1)[-1]
+        host = rest.split("/", 1)[0].lower().split("?")[0].split("#")[0]
+        host = host.removeprefix("www.").split(":")[0]
+        path = "/" + rest.split("/", 1)[1].split("?")[0].split("#")[0] if "/" in rest else ""
+        place[i] = (host, path, i)
+    order = sorted(place.values())
+    out = {}
+    for k, (host, _, i) in enumerate(order):
+        near = []
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(order) and order[j][0] == host and digest[order[j][2]] == digest[i]:
+                j += step
+            if 0 <= j < len(order) and order[j][0] == host:
+                near.append(order[j][2])
+        lines = [(n, *line) for n, line in enumerate(parsed[i]) if line[1] != pages.FRAME]
+        key = lambda own: [(p, t) for t, _, p in own]
+        if not near:
+            out[i] = pages._text(lines, None)
+            continue
+        aligned = []
+        for other in near:
+            a, b = key(parsed[i]), key(parsed[other])
+            numbers = {x: n for n, x in enumerate({*a, *b})}
+            aligned.append(pages.common([numbers[x] for x in a], [numbers[x] for x in b]))
+            assert len(aligned[-1]) == brute_common(a, b)
+        gone = pages.template(lines, aligned)
+        votes = {}
+        for n, _, kind, path in lines:
+            votes.setdefault(path, []).append(sum(n in places for places in aligned) / len(aligned))
+        for n, _, kind, path in lines:
+            if n in gone:
+                assert kind != pages.IN_ARTICLE and any(n in places for places in aligned)
+            elif kind != pages.IN_ARTICLE and sum(votes[path]) * 2 > len(votes[path]) and any(n in places for places in aligned):
+                # kept although its path is template: then it is the page's main path, or the page has no text of its own
+                own = {}
+                for m, text, _, p in lines:
+                    own[p] = own.get(p, 0) + (0 if any(m in places for places in aligned) else len(text))
+                assert max(own.values()) == own[path]
+        out[i] = " ".join(t for n, t, *_ in lines if n not in gone)
+    return out
+
+
+def test_fifty_given_pages_by_brute_force(spark):
+    given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [(r["page_id"], r["url"], r["html"]) for r in given.select("page_id", "url", "html").collect()]
+    assert len(rows) >= 50
+    found = {r["page_id"]: r["text"] for r in pages.extract(given).collect()}
+    assert found == by_brute_force(rows)
+
+
+def test_no_article_paragraph_of_the_given_pages_is_lost(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in pages.extract(given).collect()}
+    for r in given.collect():
+        article = [text for text, kind, _ in pages.blocks(r["html"] or "") if kind == pages.IN_ARTICLE]
+        assert found[r["page_id"]] == " ".join(article)
