@@ -3,9 +3,9 @@
 1. Seeds: every run of ``seed`` (five) tokens of a benchmark item. Their hashes set bits in a table of fixed size, which goes
    to all tasks; a window of a document whose bits are set is emitted, with the document's token hashes. The table only
    saves work: a full one would let more windows through, and the join that follows is exact.
-2. Documents and items that share enough seeds are joined on their hashes. A tile is made of seeds, so an item of n tokens can
-   only be covered to a share s if at least s * n / seed of its seeds occur in the document.
-3. Each pair is tiled: the longest common run of unmarked tokens is found by Karp-Rabin hashes of all windows (halving
+2. Documents and items are joined on the hashes of the items' rarest seeds. A tile is made of seeds; the seeds left out, those that most
+   documents have, cover less than the asked share of the item's tokens between them, so a document that covers the item has one of the others.
+3. A pair goes on if the item's seeds that occur in the document cover enough of its tokens, and is tiled then: the longest common run of unmarked tokens is found by Karp-Rabin hashes of all windows (halving
    the range of lengths), all its non-overlapping matches are marked, and so on down to ``seed`` tokens. The order of
    tiles is free, so reordered passages are covered as well. Pairs covered enough are returned.
 """
@@ -60,7 +60,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def benchmark_seeds(benchmark: DataFrame, item_id: str, text: str, seed: int) -> DataFrame:
-    """Rows (item, n, tokens, seeds) of every item; both columns are hashes in order. Written to the shared folder."""
+    """Rows (item, tokens, seeds, row) of every item; both lists are hashes in order, ``row`` is its own. Written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,7 +71,8 @@ def benchmark_seeds(benchmark: DataFrame, item_id: str, text: str, seed: int) ->
 
     kind = benchmark.schema[item_id].dataType.simpleString()
     found = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("text"))
-    return materialize(found.mapInArrow(run, f"item {kind}, tokens array<bigint>, seeds array<bigint>"), "benchmark")
+    seeded = found.mapInArrow(run, f"item {kind}, tokens array<bigint>, seeds array<bigint>")
+    return materialize(seeded.withColumn("row", F.monotonically_increasing_id()), "benchmark")
 
 
 def _bit_table(items: DataFrame) -> np.ndarray:
@@ -164,6 +165,63 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int) -> tuple[int, int]:
     return covered, tiles
 
 
+def coverable(seeds: np.ndarray, doc: np.ndarray, length: int) -> int:
+    """Tokens of an item that lie in one of its ``seeds`` (of all its places, in order) which the document has as well."""
+    at = np.flatnonzero(np.isin(seeds, vec.window_hashes(doc, length)))
+    return _positions(at, len(seeds), length)
+
+
+def _positions(at: np.ndarray, places: int, length: int) -> int:
+    """How many tokens windows that begin ``at`` cover."""
+    change = np.zeros(places + length + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + length, -1)
+    return int((np.cumsum(change) > 0).sum())
+
+
+def rarest(seeds: np.ndarray, documents: np.ndarray, tokens: int, coverage: float, length: int) -> np.ndarray:
+    """Seeds without those most ``documents`` have, as many as cover less than ``coverage`` of an item's ``tokens`` between them.
+
+    Whatever covers that share has one of the seeds that are left.
+    """
+    kinds, first, number = np.unique(seeds, return_index=True, return_inverse=True)
+    places = np.split(np.argsort(number, kind="stable"), np.cumsum(np.bincount(number))[:-1]) if len(kinds) else []
+    order = np.lexsort((kinds, -documents[first]))
+    covered, taken = 0, np.zeros(len(seeds) + length, bool)
+    for k, kind in enumerate(order):
+        for at in places[kind]:
+            window = taken[at : at + length]
+            covered += length - int(window.sum())
+            window[:] = True
+        if covered >= coverage * tokens:
+            return kinds[order[k:]]
+    return kinds[:0]
+
+
+def candidates(items: DataFrame, met: DataFrame, coverage: float, seed: int) -> DataFrame:
+    """Pairs (doc, row) of documents and rows of ``items`` that share one of the item's rarest seeds; written."""
+    held = met.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("documents"))
+    held = materialize(held, "seeds")
+    placed = items.select("row", F.size("tokens").alias("n"), F.posexplode("seeds").alias("at", "seed")).join(held, "seed", "left")
+    place = F.struct("at", "seed", F.coalesce("documents", F.lit(0)).alias("documents"))
+    # as long as the item
+    whole = placed.groupBy("row", "n").agg(F.sort_array(F.collect_list(place)).alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked = []
+            for n, seeds, documents in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                picked.append(rarest(seeds.values.to_numpy(), documents.values.to_numpy(), n.as_py(), coverage, seed))
+            sizes = np.array([len(p) for p in picked], np.int64)
+            rows = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(np.concatenate([np.empty(0, np.int64), *picked]))], names=["row", "seed"])
+
+    asked = whole.select("row", "n", F.col("p.seed").alias("seeds"), F.col("p.documents").alias("documents")).mapInArrow(run, "row bigint, seed bigint")
+    asked = materialize(asked, "rarest")
+    shared = met.select("doc", F.explode("seeds").alias("seed")).join(asked, "seed")
+    return materialize(shared.select("doc", "row").distinct(), "pairs")
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -182,27 +240,22 @@ def contaminated(
     """
     items = benchmark_seeds(benchmark.where(F.col(item_id).isNotNull()), item_id, item_text, seed)
     met = _met_seeds(docs, doc_id, text, _bit_table(items), seed)
-    n = F.size("tokens")
-    item_seeds = items.select("item", n.alias("n"), F.explode(F.array_distinct("seeds")).alias("seed"))
-    # how many of an item's places share their seed: repeated seeds count as often as they occur
-    weights = items.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").agg(F.count("*").alias("weight"))
-    weighted = materialize(item_seeds.join(weights, ["item", "seed"]), "benchmark")
-    shared = met.select("doc", F.explode("seeds").alias("seed")).join(weighted, "seed").groupBy("doc", "item", "n").agg(F.sum("weight").alias("shared"))
-    pairs = materialize(shared.where(F.col("shared") * seed >= F.col("n") * coverage).select("doc", "item"), "pairs")
-    ready = pairs.join(met.select("doc", F.col("tokens").alias("doc_tokens")), "doc").join(items.select("item", "tokens"), "item")
+    pairs = candidates(items, met, coverage, seed)
+    ready = pairs.join(met.select("doc", F.col("tokens").alias("doc_tokens")), "doc").join(items.select("row", "item", "tokens", "seeds"), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                tile(item.values.to_numpy().view(np.uint64), doc.values.to_numpy().view(np.uint64), seed)
-                for item, doc in zip(batch.column(2), batch.column(3), strict=True)
-            ]
+            found = []
+            for item, seeds, doc in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
+                item, seeds, doc = (side.values.to_numpy().view(np.uint64) for side in (item, seeds, doc))
+                enough = coverable(seeds, doc, seed) >= coverage * len(item)
+                found.append(tile(item, doc, seed) if enough else (0, 0))
             sizes = pc.list_value_length(batch.column(2)).cast(pa.int64())
             covered, tiles = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, covered, tiles], names=["doc", "item", "item_tokens", "covered_tokens", "tiles"])
 
     kinds = f"doc {ready.schema['doc'].dataType.simpleString()}, item {ready.schema['item'].dataType.simpleString()}"
-    tiled = ready.select("doc", "item", "tokens", "doc_tokens").mapInArrow(run, f"{kinds}, item_tokens bigint, covered_tokens bigint, tiles bigint")
+    tiled = ready.select("doc", "item", "tokens", "seeds", "doc_tokens").mapInArrow(run, f"{kinds}, item_tokens bigint, covered_tokens bigint, tiles bigint")
     share = F.col("covered_tokens") / F.col("item_tokens")
     out = tiled.withColumn("coverage", share).where(share >= coverage).distinct()
     return out.withColumnsRenamed({"doc": doc_id, "item": item_id})

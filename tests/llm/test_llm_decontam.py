@@ -75,6 +75,53 @@ def test_pairs_are_those_of_brute_force(spark, benchmark):
     assert {(100, 0), (207, 7)} <= set(found) and (300, 0) not in found
 
 
+def test_what_covers_an_item_has_one_of_its_rarest_seeds():
+    rng = random.Random(7)
+    covering = 0
+    for _ in range(400):
+        item = np.array([rng.randint(1, 5) for _ in range(rng.randint(3, 30))], np.uint64)
+        seeds = decontam.vec.window_hashes(item, 3)
+        documents = np.array([hash(int(h)) % 7 for h in seeds], np.int64)
+        share = rng.choice([0.1, 0.5, 0.9, 1.0])
+        kept = decontam.rarest(seeds, documents, len(item), share, 3)
+        doc = np.array([rng.randint(1, 5) for _ in range(rng.randint(0, 30))], np.uint64)
+        if rng.random() < 0.6:
+            a, b = sorted(rng.sample(range(len(item) + 1), 2))
+            doc = np.concatenate([doc[:5], item[a:b], doc[5:]])
+        covered = decontam.tile(item, doc, 3)[0]
+        assert decontam.coverable(seeds, doc, 3) >= covered
+        if covered >= share * len(item):
+            covering += 1
+            assert set(kept.tolist()) & set(decontam.vec.window_hashes(doc, 3).tolist())
+    assert covering > 50
+    assert len(decontam.rarest(np.empty(0, np.uint64), np.empty(0, np.int64), 2, 0.5, 3)) == 0
+
+
+def test_a_phrase_that_all_share_makes_no_candidates(spark):
+    rng = random.Random(3)
+    phrase = "twelve words that every single item and every document of them share"
+    word = lambda: f"w{rng.randrange(10**6)}"
+    items = [(i, " ".join([*(word() for _ in range(15)), phrase, *(word() for _ in range(15))])) for i in range(400)]
+    docs = [(i, " ".join([*(word() for _ in range(30)), phrase, *(word() for _ in range(30))])) for i in range(400)] + [(900, items[5][1])]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = []
+    pairs, own = [], decontam.candidates
+    try:
+        decontam.candidates = lambda *a: (pairs.append(own(*a)), pairs[-1])[1]
+        found = [(r["doc_id"], r["item_id"], r["coverage"]) for r in decontam.contaminated(*frames).collect()]
+    finally:
+        decontam.candidates = own
+    assert found == [(900, 5, 1.0)] and pairs[0].count() == 1
+
+
+def test_items_that_share_an_identifier_are_tiled_each(spark):
+    rng = random.Random(5)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(2))
+    items = spark.createDataFrame([(1, a), (1, b), (1, b)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(10, a), (11, b), (12, "x " + b)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()) == [(10, 1), (11, 1), (12, 1)]
+
+
 def test_a_full_table_changes_nothing(spark, benchmark, monkeypatch):
     frame, items = benchmark
     docs = spark.createDataFrame([(1, items[0][1]), (2, awkward.long_text())], "doc_id bigint, text string")
