@@ -120,12 +120,12 @@ def _repeat_sql(pieces: str, key: str, glue: str, names: tuple[str, str], window
 
 _LINE_WINDOWS = """SELECT a.doc_id, a.pos, 3 AS n, [a.k, b.k, c.k] AS h FROM filled a
     JOIN filled b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN filled c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2"""
-# the shortest run of two or more sentences and twelve or more words
+# the shortest run of two or more sentences and twenty-five or more words
 _SPAN_WINDOWS = r"""SELECT doc_id, pos, arg_min(h, n) AS h, min(n) AS n FROM (
     SELECT a.doc_id, a.pos, b.pos - a.pos + 1 AS n, list(b.k) OVER run AS h,
         sum(len(regexp_extract_all(b.k, '[^ \t\n\x0B\f\r]+'))) OVER run AS words
-    FROM filled a JOIN filled b ON b.doc_id = a.doc_id AND b.pos BETWEEN a.pos AND a.pos + 11
-    WINDOW run AS (PARTITION BY a.doc_id, a.pos ORDER BY b.pos)) WHERE n >= 2 AND words >= 12 GROUP BY doc_id, pos"""
+    FROM filled a JOIN filled b ON b.doc_id = a.doc_id AND b.pos BETWEEN a.pos AND a.pos + 24
+    WINDOW run AS (PARTITION BY a.doc_id, a.pos ORDER BY b.pos)) WHERE n >= 2 AND words >= 25 GROUP BY doc_id, pos"""
 
 
 QUERIES = {
@@ -172,6 +172,8 @@ _SPELLING_SQL = rf"""
     SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN way ON way.word = f.word JOIN formed e ON e.word = way.at WHERE e.form IS NULL"""
 
 
+_HEX_OF_WORD = f"hex(trim(translate(t, {_SPACES} || chr(10), '     ')))"
+
 _RESAMPLING_SQL = rf"""
     WITH t AS (SELECT doc_id AS id, TRUE AS own, coalesce(text, '') AS text FROM documents UNION ALL SELECT item_id, FALSE, coalesce(text, '') FROM benchmark),
     l AS (SELECT id, own, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
@@ -221,9 +223,9 @@ ORACLES = {
     "op6_quality_rules": _RULES_SQL,
     "op3_line_dedup": _repeat_sql("string_split(text, chr(10))", f"trim(translate(p, {_SPACES}, '    '))", "chr(10)", ("n_lines", "n_removed"), _LINE_WINDOWS),
     "op8_span_dedup": _repeat_sql(
-        # a control character marks the ends of sentences
-        r"flatten(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?][ \t\r\n]|\n)([^ \t\r\n])', '\1' || chr(1) || '\2', 'g'), '([.!?][ \t\r\n]|\n)([^ \t\r\n" + "\x01" + r"])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: CASE WHEN len(regexp_extract_all(s, '[^ \t\n\x0B\f\r]+')) > 24"
-        r" THEN string_split(regexp_replace(s, '([,;:nt] )', '\1' || chr(2), 'g'), chr(2)) ELSE [s] END))",
+        # a control character marks the ends of sentences and of their parts
+        f"string_split(array_to_string(list_transform(regexp_extract_all(text, '{sentences.TOKEN}'), lambda t: t || CASE WHEN regexp_matches(t, '{sentences.END}')"
+        f" OR {_crc_sql(_HEX_OF_WORD)} % {sentences.PART} = 0 THEN chr(1) ELSE '' END), ''), chr(1))",
         f"trim(translate(p, {_SPACES} || chr(10), '     '))",
         "''",
         ("n_sentences", "n_removed"),

@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hashgrove.llm.repeats import full, later_copies, long_windows_of, without
+from hashgrove.llm.repeats import full, later_copies, let, long_windows_of, without
 
 SPAN = 2
-MIN_WORDS = 12
+MIN_WORDS = 25
+PART = 8
+_WHITE = r" \t\n\x0B\f\r"
+_MARKS = "\u3002\uff01\uff1f"  # full stops of scripts that put no white space behind them
+# a word with the white space around it, cut behind such marks
+TOKEN = f"[{_WHITE}]*[^{_WHITE}{_MARKS}]+[{_MARKS}]*[{_WHITE}]*|[{_WHITE}]*[{_MARKS}]+[{_WHITE}]*"
 # a sentence ends with its mark and one white space, or with a line
-CUT = r"(?<=[.!?][ \t\r\n]|\n)(?=[^ \t\r\n])"
-# a long sentence is cut on, at places that only its own last characters decide
-LONG = 24
-INNER = r"(?<=[,;:nt] )"
-WORD = r"[^ \t\n\x0B\f\r]+"
+END = rf"(?:[.!?][ \t\r\n]|\n|[{_MARKS}][{_WHITE}]*)$"
 
 
 def _sentences(text: Column) -> Column:
-    whole = F.split(F.coalesce(text, F.lit("")), CUT, -1)
-    parts = F.transform(whole, lambda s: F.when(F.regexp_count(s, F.lit(WORD)) > LONG, F.split(s, INNER, -1)).otherwise(F.array(s)))
-    return F.flatten(parts)
+    """Sentences, cut further behind every word whose CRC-32 ``PART`` divides: places that only the word itself decides."""
+
+    def ends(token: Column) -> Column:
+        return token.rlike(END) | (F.pmod(F.crc32(_key(token).cast("binary")), F.lit(PART)) == 0)
+
+    def parts(tokens: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (i == 0) | ends(F.get(tokens, i - 1)))
+        joined = let(starts, lambda s: F.transform(s, lambda a, k: F.array_join(F.slice(tokens, a + 1, F.coalesce(F.get(s, k + 1), F.size(tokens)) - a), "")))
+        return F.when(F.size(tokens) > 0, joined).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), parts)
 
 
 def _key(sentence: Column) -> Column:
@@ -30,8 +39,8 @@ def _key(sentence: Column) -> Column:
 def dedupe_spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id", span: int = SPAN, min_words: int = MIN_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with the sentences cut out that a later copy of a repeated span covers.
 
-    A sentence ends after ``.``, ``!`` or ``?`` and one white space, or at a newline; sentences are compared without surrounding
-    ASCII white space. Sentences of more than ``LONG`` words are cut on after a comma, semicolon, colon or a word that ends in n or t, so
+    A sentence ends after ``.``, ``!`` or ``?`` and one white space, at a newline, or after a full stop of a script without blanks; sentences are
+    compared without surrounding ASCII white space. Every sentence is cut further behind about one word in ``PART``, which the word itself decides, so
     that a passage without marks is found inside another sentence too; the parts count as sentences. From every sentence there is a span: the shortest run of at least ``span`` sentences and ``min_words``
     words, so that runs of a few short sentences, which independent texts share by chance, are no copies. Of equal spans, over all documents, the first by
     (identifier, place) stays and the sentences of all others go. A sentence goes only if an earlier copy of it exists. What

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 
 import awkward
 import pytest
 
 from hashgrove.llm import lines, sentences
+from pyspark.sql import functions as F
 
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -37,13 +39,20 @@ def brute(rows, cut, glue, least, words):
 
 
 def sentences_of(text):
-    whole = re.split(r"(?:(?<=[.!?][ \t\r\n])|(?<=\n))(?=[^ \t\r\n])", text)
-    return [part for s in whole for part in (re.split("(?<=[,;:nt] )", s) if len(s.split()) > 24 else [s])]
+    """Words with the white space around them, joined up to the end of a sentence or a word whose CRC-32 eight divides."""
+    out, held = [], ""
+    for token in re.findall(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r。！？]+[。！？]*[ \t\n\x0b\f\r]*|[ \t\n\x0b\f\r]*[。！？]+[ \t\n\x0b\f\r]*", text):
+        held += token
+        stop = re.search(r"[.!?][ \t\r\n]\Z|\n\Z|[。！？][ \t\n\x0b\f\r]*\Z", token)
+        if stop or zlib.crc32(token.strip(SPACES).encode()) % 8 == 0:
+            out.append(held)
+            held = ""
+    return out + [held] if held else out
 
 
 CASES = {
     "lines": (lines.dedupe_lines, lambda t: t.split("\n"), "\n", 3, 0),
-    "sentences": (sentences.dedupe_spans, sentences_of, "", 2, 12),
+    "sentences": (sentences.dedupe_spans, sentences_of, "", 2, 25),
 }
 
 
@@ -74,10 +83,17 @@ def test_awkward_rows(spark, case):
 
 @pytest.mark.parametrize("case", CASES)
 def test_repeated_unit_shrinks_to_one_copy_and_counts(spark, case):
-    operator, *_ = CASES[case]
-    docs = spark.createDataFrame([(1, "\n".join(["Same line of seven words in all."] * 9))], "doc_id bigint, text string")
-    row = operator(docs, counts=("n", "gone")).first()
-    assert (row["text"].strip(), row["n"], row["gone"]) == ("Same line of seven words in all.", 9, 8)
+    operator, cut, *_ = CASES[case]
+    line = "Same line of seven words in all."
+    docs = spark.createDataFrame([(1, "\n".join([line] * 9))], "doc_id bigint, text string")
+    row, parts = operator(docs, counts=("n", "gone")).first(), len(cut(line))
+    assert (row["text"].strip(), row["n"], row["gone"]) == (line, 9 * parts, 8 * parts)
+
+
+def test_scripts_without_blanks_are_cut_at_their_marks(spark):
+    text = "漢字かな。二つ目の文！  三つ目？English words here. And more"
+    found = spark.createDataFrame([(text,)], "text string").select(sentences._sentences(F.col("text"))).first()[0]
+    assert found == sentences_of(text) and found[:3] == ["漢字かな。", "二つ目の文！  ", "三つ目？"]
 
 
 def test_whole_copies_can_be_dropped(spark):
