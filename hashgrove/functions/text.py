@@ -57,24 +57,26 @@ def category_default(value: Column, default: str, unknown_is_missing: bool = Fal
     return F.when(missing, F.lit(default)).otherwise(value)
 
 
-def _first_rule(agent: Column, rules: Sequence[tuple[tuple[str, ...], str]]) -> Column:
-    result = F.lit(None).cast("string")
+def _first_rule(agent: Column, rules: Sequence[tuple[tuple[str, ...], str]], default: str | None) -> Column:
+    # the labels are known, so what counts as missing is settled here and the rules are tested once
+    result = F.lit(default).cast("string")
     for tokens, label in reversed(rules):
-        result = F.when(reduce(or_, [agent.contains(t) for t in tokens]), label).otherwise(result)
+        named = default if default is not None and label.lower() in ("", "unknown") else label
+        result = F.when(reduce(or_, [agent.contains(t) for t in tokens]), named).otherwise(result)
     return result
 
 
-def device_class(agent: Column) -> Column:
-    """Device class of a user agent, null if no rule fits."""
-    return _first_rule(agent, DEVICE_RULES)
+def device_class(agent: Column, default: str | None = None) -> Column:
+    """Device class of a user agent; ``default`` if no rule fits or the class is unknown."""
+    return _first_rule(agent, DEVICE_RULES, default)
 
 
-def os_class(agent: Column) -> Column:
-    return _first_rule(agent, OS_RULES)
+def os_class(agent: Column, default: str | None = None) -> Column:
+    return _first_rule(agent, OS_RULES, default)
 
 
-def browser_class(agent: Column) -> Column:
-    return _first_rule(agent, BROWSER_RULES)
+def browser_class(agent: Column, default: str | None = None) -> Column:
+    return _first_rule(agent, BROWSER_RULES, default)
 
 
 def clean_name(value: Column) -> Column:

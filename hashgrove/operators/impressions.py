@@ -76,15 +76,15 @@ def expected_profit() -> Column:
 
 
 def device_category(agent: Column) -> Column:
-    return category_default(device_class(agent), UNKNOWN_DEVICE, unknown_is_missing=True)
+    return device_class(agent, UNKNOWN_DEVICE)
 
 
 def os_category(agent: Column) -> Column:
-    return category_default(os_class(agent), UNKNOWN_OS, unknown_is_missing=True)
+    return os_class(agent, UNKNOWN_OS)
 
 
 def browser_category(agent: Column) -> Column:
-    return category_default(browser_class(agent), UNKNOWN_BROWSER, unknown_is_missing=True)
+    return browser_class(agent, UNKNOWN_BROWSER)
 
 
 def pricing_category(pricing_type: Column) -> Column:
