@@ -13,6 +13,7 @@ Blocks are decoded independently, and each from any of its checkpoints: the lane
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -118,6 +119,8 @@ class Words:
     """
 
     def __init__(self, path: str):
+        # a task has a core of its own; threads of the library would wait for one another
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
