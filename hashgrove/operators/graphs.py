@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hashgrove.session import fresh_path, materialize
 
 HASHES = 2  # random orders behind the interval labels
+PLAIN_ROUNDS = 7  # of a search before chains are contracted for it
 FORWARD, BACKWARD = 0, 1  # sides: along the edges, against them
 
 
@@ -147,23 +148,41 @@ def peel(arcs: DataFrame, back: bool = False, labels: bool = True) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Rows (node): the nodes of the graph that are seeds or lie behind one. ``seeds`` has a column ``node``.
 
-    Chains are crossed in one round, so rounds follow the depth of what branches, plus the logarithm of the longest chain.
+    The first ``PLAIN_ROUNDS`` rounds follow edges one by one. What is left then is searched with chains contracted, each crossed in one round: those rounds
+    follow the depth of what branches, plus the logarithm of the longest chain.
     """
     edges = different(edges)
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    log = Log(edges.sparkSession, "reached")
+    newest = log.add(ends.join(seeds.select("node").where("node is not null"), "node", "left_semi").distinct())
+    for _ in range(PLAIN_ROUNDS):
+        if newest.isEmpty():
+            return log.all()
+        newest = _behind(edges, newest, log)
+    if not newest.isEmpty():
+        log.add(_reachable_by_chains(edges, newest, max_rounds).join(log.all(), "node", "left_anti"))
+    return log.all()
+
+
+def _behind(arcs: DataFrame, newest: DataFrame, log: Log) -> DataFrame:
+    """Nodes right behind the ``newest`` that are not in the log yet, added to it."""
+    found = arcs.join(newest.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+    return log.add(found.join(log.all(), "node", "left_anti"))
+
+
+def _reachable_by_chains(edges: DataFrame, seeds: DataFrame, max_rounds: int) -> DataFrame:
+    """``reachable`` for different edges and different nodes of theirs, both written."""
     way = chains(degrees(edges))
     arcs = contracted(edges, way)
-    seeds = materialize(seeds.select("node").where("node is not null").distinct(), "seeds")
     inside = materialize(way.join(seeds, "node", "left_semi"), "seeds")
     started = inside.where("not ring").groupBy("chain").agg(F.min("place").alias("from"))
     started = materialize(started, "seeds")
     log = Log(edges.sparkSession, "reached")
-    ends = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct()
-    newest = log.add(ends.join(seeds.join(inside.select("node"), "node", "left_anti").union(started.select("chain")), "node", "left_semi"))
+    newest = log.add(seeds.join(inside.select("node"), "node", "left_anti").union(started.select("chain")))
     for _ in range(max_rounds):
         if newest.isEmpty():
             break
-        found = arcs.join(newest.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        newest = log.add(found.join(log.all(), "node", "left_anti"))
+        newest = _behind(arcs, newest, log)
     else:
         raise RuntimeError(f"ways longer than {max_rounds} nodes")
     seen = log.all()
