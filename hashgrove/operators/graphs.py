@@ -159,9 +159,9 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> D
         if newest.isEmpty():
             return log.all()
         newest = _behind(edges, newest, log)
-    if not newest.isEmpty():
-        log.add(_reachable_by_chains(edges, newest, max_rounds).join(log.all(), "node", "left_anti"))
-    return log.all()
+    if newest.isEmpty():
+        return log.all()
+    return log.all().union(_reachable_by_chains(edges, newest, max_rounds)).distinct()
 
 
 def _behind(arcs: DataFrame, newest: DataFrame, log: Log) -> DataFrame:
