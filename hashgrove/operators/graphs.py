@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hashgrove.session import fresh_path, materialize
 
 HASHES = 2  # random orders behind the interval labels
-PLAIN_ROUNDS = 7  # of a search before chains are contracted for it
+PLAIN_ROUNDS = 4  # of a search before chains are contracted for it
 FORWARD, BACKWARD = 0, 1  # sides: along the edges, against them
 
 
@@ -148,18 +148,20 @@ def peel(arcs: DataFrame, back: bool = False, labels: bool = True) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Rows (node): the nodes of the graph that are seeds or lie behind one. ``seeds`` has a column ``node``.
 
-    The first ``PLAIN_ROUNDS`` rounds follow edges one by one. What is left then is searched with chains contracted, each crossed in one round: those rounds
-    follow the depth of what branches, plus the logarithm of the longest chain.
+    The first ``PLAIN_ROUNDS`` rounds, and more as long as each finds fewer nodes than the one before, follow edges one by one. What is left then is searched
+    with chains contracted, each crossed in one round: those rounds follow the depth of what branches, plus the logarithm of the longest chain.
     """
     edges = different(edges)
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     log = Log(edges.sparkSession, "reached")
     newest = log.add(ends.join(seeds.select("node").where("node is not null"), "node", "left_semi").distinct())
-    for _ in range(PLAIN_ROUNDS):
-        if newest.isEmpty():
-            return log.all()
-        newest = _behind(edges, newest, log)
-    if newest.isEmpty():
+    found, rounds = newest.count(), 0
+    while found:
+        newest, rounds = _behind(edges, newest, log), rounds + 1
+        before, found = found, newest.count()
+        if rounds >= PLAIN_ROUNDS and found >= before:
+            break
+    if not found:
         return log.all()
     return log.all().union(_reachable_by_chains(edges, newest, max_rounds)).distinct()
 
