@@ -310,6 +310,10 @@ def _licenses(spark, folder):
     return read_view(spark, folder, "identifier_info"), read_view(spark, folder, "license_info")
 
 
+def _lacking_licenses(spark, folder):
+    return read_view(spark, folder, "identifier_info"), read_view(spark, folder, "license_info_lacking")
+
+
 TOTALS = ("identifiers", "opens", "clicks", "conversions")
 
 
@@ -363,7 +367,7 @@ def partner_lattice(spark, folder):
 @query
 def partner_overlap_approx(spark, folder):
     """Coverage of every choice of partners, and whether the sketched one is within four standard errors of the known identifiers."""
-    info, owned = _licenses(spark, folder)
+    info, owned = _lacking_licenses(spark, folder)
     exact = licensing.partner_coverage(info, owned).select("subset", big("identifiers"))
     guess = licensing.partner_overlap_approx(info, owned).withColumnRenamed("identifiers", "guess")
     either = info.select("identifier").union(owned.select("identifier")).distinct().count()
@@ -372,7 +376,7 @@ def partner_overlap_approx(spark, folder):
 
 @query
 def unlicensed(spark, folder):
-    return licensing.unlicensed(*_licenses(spark, folder))
+    return licensing.unlicensed(*_lacking_licenses(spark, folder))
 
 
 @query

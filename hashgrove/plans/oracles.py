@@ -107,6 +107,10 @@ def _licensing(select: str, **ctes: str) -> str:
     return _sql(["identifier_info", "license_info"], select, **ctes)
 
 
+def _lacking(select: str, **ctes: str) -> str:
+    return _sql(["identifier_info"], select, license_info=view_sql("license_info_lacking"), **ctes)
+
+
 # bytes of a text: header and two bytes per UTF-16 unit
 def _text(column: str) -> str:
     beyond = f"regexp_replace({column}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')"
@@ -345,7 +349,7 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
         owned=OWNED,
     ),
     "partner_lattice": _LATTICE,
-    "partner_overlap_approx": _licensing("SELECT subset, identifiers, TRUE AS within FROM coverage", **_COVERAGE),
+    "partner_overlap_approx": _lacking("SELECT subset, identifiers, TRUE AS within FROM coverage", **_COVERAGE),
     "partner_coverage": _licensing("SELECT * FROM coverage", **_COVERAGE),
     "partner_lift": _licensing(
         f"""SELECT c.subset,
@@ -355,7 +359,7 @@ UNION ALL SELECT impression_id, bidder, grp, 'expProfit', {PROFIT} FROM fan""",
         **_COVERAGE,
         everything=f"SELECT count(*) AS identifiers, {_SUMS} FROM identifier_info",
     ),
-    "unlicensed": _licensing(
+    "unlicensed": _lacking(
         """SELECT identifier FROM identifier_info i WHERE NOT EXISTS
         (SELECT 1 FROM license_info l WHERE l.identifier = i.identifier)"""
     ),

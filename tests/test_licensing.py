@@ -5,6 +5,8 @@ import random
 import pytest
 
 from hashgrove.operators import licensing
+from hashgrove.plans.catalog import QUERIES
+from hashgrove.sources.views import read_view
 from helpers import rows
 
 
@@ -55,6 +57,19 @@ def test_unlicensed_and_unmapped(info, licenses):
     assert rows(licensing.unmapped_codes(licenses)) == [("Mystery", 1)]
 
 
+def test_licence_queries_read_every_event(spark, tmp_path):
+    # the view once left user 23 out
+    data = [(0, 23, "view"), (1, 23, "click"), (2, 44, "view")]
+    found = [(e, u, k, f"2024-01-0{e + 1} 00:00:00", float(e)) for e, u, k in data]
+    spark.createDataFrame(found, "event_id bigint, user_id bigint, event_type string, ts string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert read_view(spark, str(tmp_path), "license_info").count() == len(data)
+    assert rows(QUERIES["partner_totals"](spark, str(tmp_path)), "partner", "identifiers", "opens", "clicks") == [("Audience Accuity", 0, 0, 0), ("LiveRamp", 0, 0, 0), ("TowerData", 1, 1, 1)]
+    assert rows(QUERIES["partner_overlap"](spark, str(tmp_path)), "partners", "identifiers") == [("", 1), ("TowerData", 1)]
+    assert {r["subset"]: r["identifiers"] for r in QUERIES["partner_coverage"](spark, str(tmp_path)).collect()}["LiveRamp+TowerData"] == 1
+    assert {r["subset"]: r["opens_share"] for r in QUERIES["partner_lift"](spark, str(tmp_path)).collect()}["TowerData"] == 0.5
+    assert rows(QUERIES["unmapped_codes"](spark, str(tmp_path))) == [("UnknownFile", 2)]
+
+
 def test_choices_among_twelve_partners(spark):
     rng = random.Random(2)
     partner_of = {f"c{i}": f"P{i:02d}" for i in range(12)}
