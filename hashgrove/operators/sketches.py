@@ -164,21 +164,25 @@ def estimates(sketch: Sketch, asked: DataFrame) -> DataFrame:
     keys, shape = sketch.keys, sketch.shape
     columns = [*keys, "category", "value"]
     rows = materialize(asked.select(*columns).withColumn("_id", F.monotonically_increasing_id()), "asked")
+    wanted = rows.select("_id", F.xxhash64("value").alias("_hash"), *keys, "category")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buckets = shape.buckets(batch.column(1).to_numpy())
-            ids = pa.array(np.tile(batch.column(0).to_numpy(), shape.depth))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.repeat(np.arange(shape.depth, dtype=np.int32), batch.num_rows)), pa.array(buckets.ravel().astype(np.int32))], names=["_id", "depth", "bucket"])
+            depth = np.repeat(np.arange(shape.depth, dtype=np.int32), batch.num_rows)
+            again = batch.take(pa.array(np.tile(np.arange(batch.num_rows), shape.depth)))
+            kept = [again.column(0), pa.array(depth), pa.array(buckets.ravel().astype(np.int32)), *again.columns[2:]]
+            yield pa.RecordBatch.from_arrays(kept, names=["_id", "depth", "bucket", *batch.schema.names[2:]])
 
-    placed = rows.select("_id", F.xxhash64("value").alias("h")).mapInArrow(place, "_id bigint, depth int, bucket int")
-    wanted = placed.join(rows.select("_id", *keys, "category"), "_id")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[2:]]
+    placed = wanted.mapInArrow(place, ", ".join(["_id bigint, depth int, bucket int", *kinds]))
     cells = sketch.cells.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("category").alias("_category"), F.col("depth").alias("_depth"), F.col("bucket").alias("_bucket"), "n")
     same = (F.col("depth") == F.col("_depth")) & (F.col("bucket") == F.col("_bucket")) & (F.col("category") == F.col("_category"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    least = wanted.join(cells, same, "left").groupBy("_id").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
-    return rows.join(least, "_id").select(*columns, "n")
+    least = placed.join(cells, same, "left").groupBy("_id").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    # what is asked may be as many rows as the input: its written size would pass for one to broadcast
+    return rows.hint("merge").join(least, "_id").select(*columns, "n")
 
 
 def heavy_hitters(sketch: Sketch, top: int = HITTERS) -> DataFrame:

@@ -228,7 +228,7 @@ def category_estimates(spark, folder):
     exact = materialize(lines.groupBy(F.col("l_returnflag").alias("flag"), "value").agg(F.count(F.lit(1)).alias("exact")), "exact")
     asked = sketches.estimates(found, exact.select("flag", F.lit("order").alias("category"), "value"))
     bound = F.col("exact") + sketches.EPS * F.col("total")
-    within = asked.join(exact, ["flag", "value"]).join(sketches.totals(found), ["flag", "category"])
+    within = asked.join(exact.hint("merge"), ["flag", "value"]).join(sketches.totals(found), ["flag", "category"])
     return within.select("flag", "value", F.col("exact").alias("n"), F.col("n").between(F.col("exact"), bound).alias("within"))
 
 
@@ -239,7 +239,7 @@ def category_hitters(spark, folder):
     found = sketches.heavy_hitters(sketches.summarise(lines, {"flag": F.col("l_returnflag")}, {"order": F.col("value")}), 10)
     exact = lines.groupBy(F.col("l_returnflag").alias("flag"), "value").agg(F.count(F.lit(1)).alias("exact"))
     near = F.col("n") - F.col("exact")
-    return found.join(exact, ["flag", "value"]).select("flag", "value", F.col("exact").alias("n"), (near >= 0).alias("above"))
+    return found.join(exact.hint("merge"), ["flag", "value"]).select("flag", "value", F.col("exact").alias("n"), (near >= 0).alias("above"))
 
 
 @query

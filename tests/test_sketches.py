@@ -137,3 +137,13 @@ def test_a_rest_without_spread_has_none(spark):
     assert rest["ALL", groups.NO_HASH] == 0.0
     with pytest.raises(ValueError, match="bidder_statistics"):
         groups.compare_with_rest(groups.group_aggregates(groups.fan_out_groups(df, F.col("b"), F.col("h")), moments={"v": F.col("v")}))
+
+
+def test_asked_rows_are_not_broadcast(spark):
+    rows = spark.range(3000).selectExpr("id % 2 as k", "cast(id as string) as v", "cast(null as string) as other")
+    found = sketches.summarise(rows, {"k": F.col("k")}, {"v": F.col("v")}, sketches.Shape(0.1, 0.01))
+    asked = sketches.estimates(found, rows.select("k", F.lit("v").alias("category"), F.col("v").alias("value")))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    # the one join that may be broadcast is that with the cells, whose number the sketch's shape bounds
+    assert plan.count("BroadcastExchange") <= 1 and "SortMergeJoin" in plan
+    assert asked.count() == 3000 and asked.where("n < 1").isEmpty()
