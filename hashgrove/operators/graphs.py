@@ -7,7 +7,7 @@ grows, and a lost executor costs a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hashgrove.session import fresh_path, materialize
@@ -145,20 +145,26 @@ def peel(arcs: DataFrame, back: bool = False, labels: bool = True) -> DataFrame:
 # --- reachability --------------------------------------------------------------------------------
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, within: bool = True) -> DataFrame:
     """Rows (node): the nodes of the graph that are seeds or lie behind one. ``seeds`` has a column ``node``.
 
+    Without ``within``, seeds that are no nodes of the graph are kept as well, which spares a look at all nodes.
+
     The first ``PLAIN_ROUNDS`` rounds, and more as long as each finds fewer nodes than the one before, follow edges one by one. What is left then is searched
     with chains contracted, each crossed in one round: those rounds follow the depth of what branches, plus the logarithm of the longest chain.
     """
     edges = different(edges)
-    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     log = Log(edges.sparkSession, "reached")
-    newest = log.add(ends.join(seeds.select("node").where("node is not null"), "node", "left_semi").distinct())
-    found, rounds = newest.count(), 0
+    start = seeds.select("node").where("node is not null")
+    if within:
+        ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+        start = ends.join(start, "node", "left_semi")
+    newest = log.add(start.distinct())
+    (found, low, high), rounds = _extent(newest), 0
     while found:
-        newest, rounds = _behind(edges, newest, log), rounds + 1
-        before, found = found, newest.count()
+        # the rows of other sources stay where they are: where nodes of two kinds alternate, these are half of the edges
+        newest, rounds = _behind(edges.where(F.col("src").between(low, high)), newest, log), rounds + 1
+        before, (found, low, high) = found, _extent(newest)
         if rounds >= PLAIN_ROUNDS and found >= before:
             break
     if not found:
@@ -166,6 +172,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> D
     return log.all().union(_reachable_by_chains(edges, newest, max_rounds)).distinct()
 
 
+def _extent(nodes: DataFrame) -> Row:
+    """How many ``nodes`` there are, the least and the greatest of them."""
+    return nodes.agg(F.count("node"), F.min("node"), F.max("node")).first()
+
+
 def _behind(arcs: DataFrame, newest: DataFrame, log: Log) -> DataFrame:
     """Nodes right behind the ``newest`` that are not in the log yet, added to it."""
     found = arcs.join(newest.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()

@@ -174,20 +174,25 @@ def spread_label(declarations: DataFrame, seeds: DataFrame, task: str = "task",
     every task of that 'from' side is a reason, labelled or not. Tasks and declarations are nodes of one graph, where the
     declarations behind a seed are looked for; rows of declarations in a row are crossed in one round.
     """
+    # named as nodes of the graph
+    key = F.concat(F.lit("d"), F.col("decl_id").cast("string")).alias("decl")
     sides = declarations.where(F.col("task").isNotNull() & F.col("decl_id").isNotNull())
-    before = sides.where("side = 'from'").select("decl_id", F.col("task").alias("src")).distinct()
-    after = sides.where("side = 'to'").select("decl_id", F.col("task").alias("dst")).distinct()
+    before = sides.where("side = 'from'").select(key, F.col("task").alias("src"))
+    after = sides.where("side = 'to'").select(key, F.col("task").alias("dst"))
     seeds = materialize(seeds.select(F.col(task).alias("task")).where(F.col("task").isNotNull()).distinct(), "label")
 
-    def node(kind: str, column: str) -> Column:
-        return F.concat(F.lit(kind), F.col(column).cast("string"))
-
-    into = before.select(node("t", "src").alias("src"), node("d", "decl_id").alias("dst"))
-    out = after.select(node("d", "decl_id").alias("src"), node("t", "dst").alias("dst"))
-    met = graphs.reachable(into.union(out), seeds.select(node("t", "task").alias("node")), max_rounds)
-    fired = materialize(met.where(F.col("node").startswith("d")), "label")
-    labelled = after.join(fired, node("d", "decl_id") == F.col("node"), "left_semi")
-    reasons = labelled.join(before, "decl_id").select(F.col("dst").alias("task"), F.col("src").alias("reason"))
+    def node(column: str) -> Column:
+        return F.concat(F.lit("t"), F.col(column).cast("string"))
+
+    # the search takes different edges
+    into = before.select(node("src").alias("src"), F.col("decl").alias("dst"))
+    out = after.select(F.col("decl").alias("src"), node("dst").alias("dst"))
+    met = graphs.reachable(into.unionAll(out), seeds.select(node("task").alias("node")), max_rounds, within=False)
+    fired = materialize(met.where(F.col("node").startswith("d")).select(F.col("node").alias("decl")), "label")
+    # all by the declaration: each side is moved once; repeats would multiply in the product
+    labelled = after.join(fired, "decl", "left_semi").distinct()
+    causes = before.join(fired, "decl", "left_semi").distinct()
+    reasons = labelled.join(causes, "decl").select(F.col("dst").alias("task"), F.col("src").alias("reason"))
     return seeds.select("task", F.col("task").alias("reason")).unionByName(reasons).distinct()
 
 

@@ -165,3 +165,14 @@ def test_1000_declarations_in_a_row_take_few_rounds(spark, monkeypatch):
     assert found == {("t3", "t3"), ("t501", "other"), ("far", "t990")} | {(f"t{i + 1}", f"t{i}") for i in range(3, 1000)}
     # rounds of doubling and of the search after it; the rest are the tables before and between
     assert sum(r == "chains" for r in rounds if isinstance(r, str)) + sum(not isinstance(r, str) for r in rounds) <= 25
+
+
+def test_a_round_reads_only_edges_of_its_sources(spark, monkeypatch):
+    edges = [(f"{a}{i}", f"{b}{i + (a == 'd')}") for i in range(6) for a, b in ("td", "dt")]
+    seen, behind = [], graphs._behind
+    monkeypatch.setattr(graphs, "_behind", lambda arcs, *rest: seen.append({r["src"][0] for r in arcs.collect()}) or behind(arcs, *rest))
+    seeds = spark.createDataFrame([("t3",), ("t9",)], "node string")
+    table = spark.createDataFrame(edges + edges, "src string, dst string")
+    assert {r["node"] for r in graphs.reachable(table, seeds).collect()} == {"t3", "t4", "t5", "t6", "d3", "d4", "d5"}
+    assert seen[0] == {"t"} and seen[1] == {"d"}
+    assert "t9" in {r["node"] for r in graphs.reachable(table, seeds, within=False).collect()}
