@@ -1,13 +1,15 @@
 """Large directed graphs in rounds over written tables: chains, peeling with labels, reachability and components.
 
-Edges are rows (src, dst). Long chains of nodes with one edge in and one out are contracted first, by pointers that double their
-reach, so that rounds follow the depth of what branches and not the length of chains. Every round is a written table: no lineage
-grows, and a lost executor costs a task.
+Edges are rows (src, dst). Small connected pieces are gathered in one row each and solved there. In the rest, long chains of nodes
+with one edge in and one out are contracted first, by pointers that double their reach, so that rounds follow the depth of what branches
+and not the length of chains. Every round is a written table: no lineage grows, and a lost executor costs a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hashgrove.session import fresh_path, materialize
@@ -15,6 +17,8 @@ from hashgrove.session import fresh_path, materialize
 HASHES = 2  # random orders behind the interval labels
 PLAIN_ROUNDS = 4  # of a search before chains are contracted for it
 FORWARD, BACKWARD = 0, 1  # sides: along the edges, against them
+SMALL = 32  # nodes of a piece that is solved in one row: places in a bit mask
+LEVELS = 4  # of names, after which a piece that has several left counts as large
 
 
 class Log:
@@ -36,7 +40,11 @@ class Log:
 
 def different(edges: DataFrame) -> DataFrame:
     """Edges without repeats and without null ends, written."""
-    return materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    return materialize(_plain(edges), "edges")
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
 
 
 # --- chains --------------------------------------------------------------------------------------
@@ -101,6 +109,114 @@ def contracted(edges: DataFrame, way: DataFrame, ends: DataFrame | None = None)
     return materialize(outside.select(F.coalesce("src_chain", "src").alias("src"), F.coalesce("dst_chain", "dst").alias("dst"), direct.alias("direct"), *sized), "arcs")
 
 
+# --- small pieces --------------------------------------------------------------------------------
+
+
+def _stars(edges: DataFrame, level: int = 0) -> DataFrame:
+    """Rows (node, name, tos, hub), written: each node with the nodes right behind it, named by the least, by the level's hash, of it and its neighbours.
+
+    A ``hub`` has more than ``SMALL`` neighbours, of which some are kept. Repeated edges and null ends go.
+    """
+    ways = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(False).alias("out")))
+    ends = edges.where("src is not null and dst is not null").select(F.inline(ways))
+    # a rank limit: no more than these leave a map task
+    few = ends.withColumn("place", F.dense_rank().over(Window.partitionBy("node").orderBy("other"))).where(F.col("place") <= SMALL + 1)
+
+    def hashed(column: str) -> Column:
+        return F.struct(F.xxhash64(F.lit(level), column).alias("hash"), F.col(column).alias("node"))
+
+    stars = few.groupBy("node").agg(F.min(hashed("other")).alias("least"), F.collect_set(F.when(F.col("out"), F.col("other"))).alias("tos"), (F.max("place") > SMALL).alias("hub"))
+    return materialize(stars.select("node", F.least(hashed("node"), "least")["node"].alias("name"), "tos", "hub"), "stars")
+
+
+def _links(stars: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (src, dst), written: different names of one connected piece; all of its names hang together by them."""
+    met = stars.select(F.explode(F.array_union(F.array("node"), "tos")).alias("node"), "name")
+    hubs = stars.where("hub").select(F.col("node").alias("src"), "name")
+    if not hubs.isEmpty():  # not all nodes behind a hub are in its row
+        met = met.unionAll(edges.where("dst is not null").join(hubs, "src").select(F.col("dst").alias("node"), "name"))
+    links = met.withColumn("first", F.min("name").over(Window.partitionBy("node"))).where("name <> first")
+    return materialize(links.select(F.col("name").alias("src"), F.col("first").alias("dst")).distinct(), "links")
+
+
+def _common_names(links: DataFrame, level: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (name, piece) for the ends of ``links``: one name for all that hang together; and rows (piece) of the pieces that go on after ``LEVELS``, if any.
+
+    The links are a graph of names, which get names of their own: half as many in a long chain, fewer elsewhere.
+    """
+    stars = _stars(links, level)
+    further = _links(stars, links)
+    names = stars.select(F.col("node").alias("name"), F.col("name").alias("piece"))
+    if further.isEmpty():
+        return names, None
+    if level == LEVELS:
+        return names, further.select(F.explode(F.array("src", "dst")).alias("piece")).distinct()
+    above, open_ = _common_names(further, level + 1)
+    above = above.select(F.col("name").alias("piece"), F.col("piece").alias("last"))
+    return names.join(above, "piece", "left").select("name", F.coalesce("last", "piece").alias("piece")), open_
+
+
+def _small_pieces(edges: DataFrame, answer: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (found) for the connected pieces of at most ``SMALL`` nodes, written, and the different edges outside of them, if any.
+
+    ``answer`` makes an array with one struct for each node, whose first field is ``node``, from an array of structs (node, tos) in the order of the nodes.
+    """
+    stars = _stars(edges)
+    links = _links(stars, edges)
+    rows, open_ = stars.withColumn("piece", F.col("name")), None
+    if not links.isEmpty():
+        names, open_ = _common_names(links)
+        rows = stars.join(names, "name", "left").withColumn("piece", F.coalesce("piece", "name"))
+    if open_ is not None:
+        rows = rows.join(open_, "piece", "left_anti")
+    some = rows.select("piece", F.struct("node", "tos").alias("tail"), "hub", F.row_number().over(Window.partitionBy("piece").orderBy("piece")).alias("place")).where(F.col("place") <= SMALL + 1)
+    pieces = some.groupBy("piece").agg(F.sort_array(F.collect_list("tail")).alias("tails"), F.max("hub").alias("hub"))
+    whole = pieces.where(~F.col("hub") & (F.size("tails") <= SMALL))
+    found = materialize(whole.select(answer(F.col("tails")).alias("found")), "found")
+    if found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0] == stars.count():
+        return found, None
+    done = found.select(F.explode("found.node").alias("src"))
+    return found, materialize(_plain(edges).join(done, "src", "left_anti"), "rest")
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _bit(mask: Column, place: Column) -> Column:
+    return F.getbit(mask, place.cast("int")) == 1
+
+
+def _with_masks(tails: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
+    """``then`` of the nodes, the places 0, 1, ... and a mask for each node: the places of the nodes it reaches, over one or more edges."""
+    zero = F.lit(0).cast("bigint")
+
+    def reached(nodes: Column, places: Column) -> Column:
+        def mask(tail: Column) -> Column:
+            return F.aggregate(tail["tos"], zero, lambda m, to: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.array_position(nodes, to) - 1).cast("int"))))
+
+        # what a node reaches over the first k nodes
+        return F.aggregate(places, F.transform(tails, mask), lambda masks, k: F.transform(masks, lambda m: F.when(_bit(m, k), m.bitwiseOR(masks[k])).otherwise(m)))
+
+    places = F.sequence(F.lit(0), F.size(tails) - 1)
+    return _let(tails["node"], lambda nodes: _let(places, lambda each: _let(reached(nodes, each), lambda masks: then(nodes, each, masks))))
+
+
+def _needed(tails: Column) -> Column:
+    """Structs (node, tos, cyclic): of the nodes behind each node those that no other of them reaches, and whether the node lies on a cycle."""
+
+    def of_all(nodes: Column, places: Column, masks: Column) -> Column:
+        def of_one(tail: Column, place: Column) -> Column:
+            far = F.aggregate(tail["tos"], F.lit(0).cast("bigint"), lambda m, to: m.bitwiseOR(masks[(F.array_position(nodes, to) - 1).cast("int")]))
+            tos = _let(far, lambda m: F.filter(tail["tos"], lambda to: ~_bit(m, F.array_position(nodes, to) - 1)))
+            return F.struct(tail["node"].alias("node"), tos.alias("tos"), _bit(masks[place], place).alias("cyclic"))
+
+        return F.transform(tails, of_one)
+
+    return _with_masks(tails, of_all)
+
+
 # --- peeling -------------------------------------------------------------------------------------
 
 
@@ -265,6 +381,21 @@ def redundant(edges: DataFrame) -> DataFrame:
     return found.union(rest.join(hits, ["x", "y"], "left_semi").select("src", "dst").distinct())
 
 
+def reduced(edges: DataFrame) -> DataFrame:
+    """Different edges (src, dst) without those for which there is a longer way as well; raises on a cycle.
+
+    Small pieces are solved in one row each, see ``redundant`` for the others.
+    """
+    found, rest = _small_pieces(edges, _needed)
+    nodes = found.select(F.inline("found"))
+    if not nodes.where("cyclic").isEmpty():
+        raise ValueError("dependencies form a cycle")
+    kept = nodes.select(F.col("node").alias("src"), F.explode("tos").alias("dst"))
+    if rest is None:
+        return kept
+    return kept.union(rest.join(materialize(redundant(rest), "redundant"), ["src", "dst"], "left_anti"))
+
+
 # --- components ----------------------------------------------------------------------------------
 
 

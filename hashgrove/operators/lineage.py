@@ -134,10 +134,9 @@ def reduction(edges: DataFrame) -> DataFrame:
     """Edges without those that another direct successor of the same task makes redundant.
 
     An edge (n, t) is redundant if some direct successor of n reaches t. Raises on a cycle, where
-    this rule would drop edges that nothing replaces. No closure is made: see ``graphs.redundant``.
+    this rule would drop edges that nothing replaces. No closure is made: see ``graphs.reduced``.
     """
-    direct = graphs.different(edges)
-    return direct.join(materialize(graphs.redundant(direct), "redundant"), ["src", "dst"], "left_anti")
+    return graphs.reduced(_pairs(edges))
 
 
 def sorted_edges(edges: DataFrame) -> DataFrame:

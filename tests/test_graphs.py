@@ -176,3 +176,22 @@ def test_a_round_reads_only_edges_of_its_sources(spark, monkeypatch):
     assert {r["node"] for r in graphs.reachable(table, seeds).collect()} == {"t3", "t4", "t5", "t6", "d3", "d4", "d5"}
     assert seen[0] == {"t"} and seen[1] == {"d"}
     assert "t9" in {r["node"] for r in graphs.reachable(table, seeds, within=False).collect()}
+
+
+def test_small_pieces_are_solved_without_rounds(spark, monkeypatch):
+    pairs = several(11, graphs_=60, acyclic=True)
+    for name in ("peel", "chains", "contracted"):
+        monkeypatch.setattr(graphs, name, lambda *a, n=name, **k: pytest.fail(f"{n} goes over all edges in rounds"))
+    written = _rows_written(spark, monkeypatch)
+    assert set(rows(lineage.reduction(frame(spark, pairs)))) == needed(pairs)
+    assert len(written) <= 2 * (graphs.LEVELS + 1) + 1 and max(written) <= len(pairs)
+
+
+def test_small_and_large_pieces_in_one_table(spark):
+    # a hub, a long chain, a piece of 32 nodes and one of 33 beside small ones; repeats
+    pairs = several(12, acyclic=True) | {("hub", f"h{i:02d}") for i in range(50)} | {("h00", "h01"), ("in", "hub"), ("in", "h07")}
+    pairs |= {(f"c{i:02d}", f"c{i + 1:02d}") for i in range(60)} | {("c03", "c50")}
+    for n in (graphs.SMALL, graphs.SMALL + 1):
+        pairs |= {(f"s{n}-00", f"s{n}-{i:02d}") for i in range(1, n)} | {(f"s{n}-{i:02d}", f"s{n}-{n - 1:02d}") for i in range(1, n - 1)}
+    table = frame(spark, pairs)
+    assert set(rows(lineage.reduction(table.union(table)))) == needed(pairs)
