@@ -217,6 +217,19 @@ def _needed(tails: Column) -> Column:
     return _with_masks(tails, of_all)
 
 
+def _least_on_cycle(tails: Column) -> Column:
+    """Structs (node, component): the least node that reaches a node and is reached by it, null without any."""
+
+    def of_all(nodes: Column, places: Column, masks: Column) -> Column:
+        def of_one(node: Column, place: Column) -> Column:
+            both = F.filter(places, lambda k: _bit(masks[place], k) & _bit(masks[k], place))
+            return F.struct(node.alias("node"), F.when(_bit(masks[place], place), nodes[both[0]]).alias("component"))
+
+        return F.transform(nodes, of_one)
+
+    return _with_masks(tails, of_all)
+
+
 # --- peeling -------------------------------------------------------------------------------------
 
 
@@ -430,11 +443,20 @@ def _counted(arcs: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) of the nodes on a cycle, self-loops included; a component is named by its least node.
 
+    Small pieces are solved in one row each, see ``_large_components`` for the others.
+    """
+    found, rest = _small_pieces(edges, _least_on_cycle)
+    members = found.select(F.inline("found")).where("component is not null")
+    return members if rest is None else members.union(_large_components(rest))
+
+
+def _large_components(edges: DataFrame) -> DataFrame:
+    """``strong_components`` for different edges, written, in rounds over all of them.
+
     Chains are contracted and rings among them set apart, then nodes without an edge in or out are taken away until none is left. In what
     remains, the greatest node that reaches a node is its colour; backward from the greatest node, within its colour, lies its component. This
     is repeated on what is left, which loses a node of every colour each time.
     """
-    edges = different(edges)
     ends = degrees(edges)
     way = chains(ends)
     arcs = _trimmed(contracted(edges, way, ends))

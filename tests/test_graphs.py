@@ -180,11 +180,15 @@ def test_a_round_reads_only_edges_of_its_sources(spark, monkeypatch):
 
 def test_small_pieces_are_solved_without_rounds(spark, monkeypatch):
     pairs = several(11, graphs_=60, acyclic=True)
+    turned = pairs | {(b, a) for a, b in sorted(pairs)[::7]}
     for name in ("peel", "chains", "contracted"):
         monkeypatch.setattr(graphs, name, lambda *a, n=name, **k: pytest.fail(f"{n} goes over all edges in rounds"))
     written = _rows_written(spark, monkeypatch)
     assert set(rows(lineage.reduction(frame(spark, pairs)))) == needed(pairs)
-    assert len(written) <= 2 * (graphs.LEVELS + 1) + 1 and max(written) <= len(pairs)
+    behind = reach(turned)
+    expected = {(a, min(b for b in behind[a] if a in behind.get(b, ()))) for a in behind if a in behind[a]}
+    assert set(rows(lineage.cycles(frame(spark, turned)))) == expected
+    assert len(written) <= 2 * (2 * (graphs.LEVELS + 1) + 1) and max(written) <= len(turned)
 
 
 def test_small_and_large_pieces_in_one_table(spark):
@@ -195,3 +199,7 @@ def test_small_and_large_pieces_in_one_table(spark):
         pairs |= {(f"s{n}-00", f"s{n}-{i:02d}") for i in range(1, n)} | {(f"s{n}-{i:02d}", f"s{n}-{n - 1:02d}") for i in range(1, n - 1)}
     table = frame(spark, pairs)
     assert set(rows(lineage.reduction(table.union(table)))) == needed(pairs)
+    back = pairs | {("h09", "in"), ("c60", "c10"), ("s32-31", "s32-00"), ("s33-32", "s33-05")}
+    behind = reach(back)
+    expected = {(a, min(b for b in behind[a] if a in behind.get(b, ()))) for a in behind if a in behind[a]}
+    assert set(rows(lineage.cycles(frame(spark, back)))) == expected
